@@ -72,14 +72,14 @@ def with_hh(body: str) -> str:
     return f"WITH hh AS (\n{fixture_cte_sql()}\n)\n{body}"
 
 
-def _cut(out: list[tuple[str, str]], labels: list[str], where: list[str]) -> str:
-    """SELECT ``out`` FROM labelled rows of ``hh`` filtered by ``where``."""
+def _cut(out: list[tuple[str, str]], labels: list[str], where: list[str], source: str = "hh") -> str:
+    """SELECT ``out`` FROM labelled rows of ``source`` filtered by ``where``."""
     inner = ", ".join(f"{LABEL_SQL[c]} AS {c}" for c in labels)
     conds = " AND ".join([SNAPS, *where])
     keys = ", ".join(labels + ["DAILY_TIME_KEY"])
     select = ",\n    ".join(e if e == n else f"{e} AS {n}" for n, e in out)
-    return with_hh(
-        f"SELECT\n    {select}\nFROM (SELECT DAILY_TIME_KEY, CUSTOMER_FLAG, {inner} FROM hh WHERE {conds}) t\n"
+    return (
+        f"SELECT\n    {select}\nFROM (SELECT DAILY_TIME_KEY, CUSTOMER_FLAG, {inner} FROM {source} WHERE {conds}) t\n"
         f"GROUP BY {keys}"
     )
 
@@ -101,7 +101,7 @@ def _xtab(a: str, b: str, where: list[str]) -> str:
     return _cut(keys + _measures("household_count", "customer_count", False), [a, b], where)
 
 
-BLOCK_GROUP_SUMMARY = with_hh(
+BLOCK_GROUP_SUMMARY = (
     "SELECT DAILY_TIME_KEY, CENSUS_BLOCK_GROUP, hhs, num_customers, PERC_HH_W_CHILDREN,\n"
     "    1 - PERC_HH_W_CHILDREN AS perc_hh_wo_children, bulk_hhs,\n"
     "    CAST(num_customers AS DOUBLE) / CAST(NULLIF(hhs, 0) AS DOUBLE) AS penetration,\n"
@@ -119,7 +119,7 @@ BLOCK_GROUP_SUMMARY = with_hh(
     ") s"
 )
 
-CUT_BLOCK_BULK = with_hh(
+CUT_BLOCK_BULK = (
     "SELECT CASE WHEN blk.mx = 1 THEN 'has_bulk' ELSE 'no_bulk' END AS block_bulk_status,\n"
     "    h.DAILY_TIME_KEY,\n"
     f"    {CUST.replace('CUSTOMER_FLAG', 'h.CUSTOMER_FLAG')} AS customer_count,\n"
@@ -133,7 +133,7 @@ CUT_BLOCK_BULK = with_hh(
     "GROUP BY 1, 2"
 )
 
-DEMOGRAPHIC_PULL = with_hh(
+DEMOGRAPHIC_PULL = (
     f"SELECT {', '.join(DEMOGRAPHIC_PULL_COLUMNS)},\n"
     "    COUNT(*) AS hhs,\n"
     "    COUNT(*) FILTER (WHERE CUSTOMER_KEY > 0) AS num_customers,\n"
@@ -142,7 +142,7 @@ DEMOGRAPHIC_PULL = with_hh(
     f"GROUP BY {', '.join(DEMOGRAPHIC_PULL_COLUMNS)}"
 )
 
-WORKBENCH_SQL: dict[str, str] = {
+WORKBENCH_BODIES: dict[str, str] = {
     "block_group_summary": BLOCK_GROUP_SUMMARY,
     "cut_dwelling": _single("DWELLING_SEGMENT", False, "total_households", "customer_count", True, [DWELL]),
     "cut_bulk": _single("BULK_FLG", True, "total_households", "customer_count", True, []),
@@ -178,3 +178,158 @@ WORKBENCH_SQL: dict[str, str] = {
     "xtab_kids_group_transport": _xtab("kids_group", "transport_group", [HH0, TRN, KG]),
     "demographic_pull": DEMOGRAPHIC_PULL,
 }
+
+WORKBENCH_SQL: dict[str, str] = {k: with_hh(v) for k, v in WORKBENCH_BODIES.items()}
+
+
+# --- follow-up analyses ---------------------------------------------------------
+
+# The nine single cuts: (dimension name, body, label column, households, customers).
+_SINGLES = [
+    ("dwelling", "cut_dwelling", "DWELLING_SEGMENT", "total_households", "customer_count"),
+    ("bulk", "cut_bulk", "BULK_FLG", "total_households", "customer_count"),
+    ("block_bulk", "cut_block_bulk", "block_bulk_status", "total_households", "customer_count"),
+    ("kids", "cut_kids", "kids_bucket", "total_households", "customer_count"),
+    ("family_mix", "cut_family_mix", "household_mix", "total_households", "customers"),
+    ("ownership", "cut_ownership", "ownership_bucket", "total_hhs", "customer_count"),
+    ("kids_group", "cut_kids_group", "kids_group", "total_households", "customers"),
+    ("labor", "cut_labor", "labor_group", "total_households", "customers"),
+    ("transport", "cut_transport", "transport_group", "total_households", "customers"),
+]
+
+ALL_CUTS_LONG = "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS dimension, CAST({label} AS VARCHAR) AS bucket, DAILY_TIME_KEY, "
+    f"{hh} AS households, {cc} AS customers, penetration_rate FROM ({WORKBENCH_BODIES[key]}) c_{name}"
+    for name, key, label, hh, cc in _SINGLES
+)
+
+
+def _on(day: str, col: str) -> str:
+    return f"MAX(CASE WHEN DAILY_TIME_KEY = DATE '{day}' THEN {col} END)"
+
+
+YOY_CHANGE = (
+    "SELECT dimension, bucket,\n"
+    f"    {_on('2025-03-31', 'households')} AS households_current,\n"
+    f"    {_on('2025-03-31', 'customers')} AS customers_current,\n"
+    f"    {_on('2025-03-31', 'penetration_rate')} AS penetration_current,\n"
+    f"    {_on('2024-03-31', 'households')} AS households_prior,\n"
+    f"    {_on('2024-03-31', 'customers')} AS customers_prior,\n"
+    f"    {_on('2024-03-31', 'penetration_rate')} AS penetration_prior,\n"
+    f"    {_on('2025-03-31', 'penetration_rate')} - {_on('2024-03-31', 'penetration_rate')} AS penetration_change\n"
+    f"FROM ({ALL_CUTS_LONG}) long\nGROUP BY dimension, bucket"
+)
+
+SPREAD_RANKING = (
+    "SELECT dimension, DAILY_TIME_KEY, n_buckets, max_penetration, min_penetration, spread,\n"
+    "    CAST(RANK() OVER (PARTITION BY DAILY_TIME_KEY ORDER BY spread DESC) AS INTEGER) AS spread_rank\n"
+    "FROM (SELECT dimension, DAILY_TIME_KEY, COUNT(*) AS n_buckets, MAX(penetration_rate) AS max_penetration,\n"
+    "        MIN(penetration_rate) AS min_penetration, MAX(penetration_rate) - MIN(penetration_rate) AS spread\n"
+    f"      FROM ({ALL_CUTS_LONG}) long GROUP BY dimension, DAILY_TIME_KEY) s"
+)
+
+
+def _interaction(key: str, a: str, b: str, hh: str, cc: str) -> str:
+    def margin(*part: str) -> str:
+        over = f"OVER (PARTITION BY {', '.join(part)})"
+        return f"CAST(SUM({cc}) {over} AS DOUBLE) / CAST(SUM({hh}) {over} AS DOUBLE)"
+
+    pa, pb, pall = margin("DAILY_TIME_KEY", a), margin("DAILY_TIME_KEY", b), margin("DAILY_TIME_KEY")
+    return (
+        f"SELECT {a}, {b}, DAILY_TIME_KEY, {hh}, {cc}, penetration_rate,\n"
+        f"    {pa} AS penetration_a, {pb} AS penetration_b, {pall} AS penetration_all,\n"
+        f"    penetration_rate - ({pa} + {pb} - {pall}) AS interaction\n"
+        f"FROM ({WORKBENCH_BODIES[key]}) x"
+    )
+
+
+MIN_SAMPLE = (
+    "SELECT *, household_count < 30 AS small_sample\n"
+    f"FROM ({WORKBENCH_BODIES['xtab_kids_transport']}) x"
+)
+
+AS_PERCENT = (
+    "SELECT DAILY_TIME_KEY, kids_bucket, customer_count, total_households, penetration_rate * 100 AS penetration_rate\n"
+    f"FROM ({WORKBENCH_BODIES['cut_kids']}) k"
+)
+
+# Correlations: the pull unpivoted to (row id, column position, value), one
+# row per non-NULL value; a self-join on the row id pairs exactly the rows
+# where both columns are known (pairwise-complete).
+_STAT_COLUMNS = [*DEMOGRAPHIC_PULL_COLUMNS[1:], "penetration"]
+_PULL_LONG = "\nUNION ALL\n".join(
+    f"SELECT rid, {i} AS pos, '{c}' AS col, CAST({c} AS DOUBLE) AS val FROM pull WHERE {c} IS NOT NULL"
+    for i, c in enumerate(_STAT_COLUMNS)
+)
+_COLS = "\nUNION ALL\n".join(f"SELECT {i} AS pos, '{c}' AS col" for i, c in enumerate(_STAT_COLUMNS))
+_R = (
+    "CASE WHEN MIN(a.val) < MAX(a.val) AND MIN(b.val) < MAX(b.val) "
+    "THEN ROUND(COVAR_POP(a.val, b.val) / SQRT(VAR_POP(a.val) * VAR_POP(b.val)), 9) END"
+)
+_STATS_PREFIX = (
+    f"pull AS (SELECT ROW_NUMBER() OVER () AS rid, * FROM ({DEMOGRAPHIC_PULL}) p),\n"
+    f"pl AS ({_PULL_LONG}),\n"
+    f"cols AS ({_COLS}),\n"
+    f"pair_stats AS (\n  SELECT a.pos AS pa, b.pos AS pb, COUNT(*) AS n, {_R} AS r,\n"
+    "    CASE WHEN MIN(a.val) < MAX(a.val) THEN ROUND(REGR_SLOPE(b.val, a.val), 9) END AS slope,\n"
+    "    CASE WHEN MIN(a.val) < MAX(a.val) THEN ROUND(REGR_INTERCEPT(b.val, a.val), 9) END AS intercept\n"
+    "  FROM pl a JOIN pl b ON a.rid = b.rid AND a.pos < b.pos GROUP BY a.pos, b.pos),\n"
+    "pairs AS (SELECT ca.col AS col_a, cb.col AS col_b, COALESCE(s.n, 0) AS n, s.r, s.slope, s.intercept\n"
+    "  FROM cols ca JOIN cols cb ON ca.pos < cb.pos\n"
+    "  LEFT JOIN pair_stats s ON s.pa = ca.pos AND s.pb = cb.pos)\n"
+)
+
+
+def _with_stats(body: str) -> str:
+    return f"WITH hh AS (\n{fixture_cte_sql()}\n),\n{_STATS_PREFIX}{body}"
+
+
+DEMOGRAPHIC_CORRELATION = _with_stats("SELECT col_a, col_b, n, r FROM pairs")
+PREDICTOR_RANKING = _with_stats(
+    "SELECT CAST(ROW_NUMBER() OVER (ORDER BY r_squared DESC NULLS LAST, col_a ASC) AS INTEGER) AS rank,\n"
+    "    col_a AS column, n, r, r_squared\n"
+    "FROM (SELECT col_a, n, r, ROUND(r * r, 9) AS r_squared FROM pairs WHERE col_b = 'penetration') t"
+)
+UNIVARIATE_REGRESSION = _with_stats(
+    "SELECT col_a AS column, n, slope, intercept, ROUND(r * r, 9) AS r_squared FROM pairs WHERE col_b = 'penetration'"
+)
+
+_ACS_COLUMNS = ", ".join(DEMOGRAPHIC_PULL_COLUMNS)
+ENRICHED = (
+    "(SELECT h.DAILY_TIME_KEY, h.CUSTOMER_FLAG, a.* EXCLUDE (CENSUS_BLOCK_GROUP)\n"
+    " FROM (SELECT DAILY_TIME_KEY, CENSUS_BLOCK_GROUP, CUSTOMER_FLAG FROM hh) h\n"
+    f" LEFT JOIN (SELECT DISTINCT {_ACS_COLUMNS} FROM hh\n"
+    "            WHERE DAILY_TIME_KEY = DATE '2025-03-31' AND CENSUS_BLOCK_GROUP IS NOT NULL) a\n"
+    " ON h.CENSUS_BLOCK_GROUP = a.CENSUS_BLOCK_GROUP) e"
+)
+ENRICH_WITH_CENSUS = _single("labor_group", False, "total_households", "customers", False, [HH0, LAB]).replace(
+    "FROM hh WHERE", f"FROM {ENRICHED} WHERE"
+)
+
+CUSTOM_DIMENSION = (
+    "SELECT age_decade, DAILY_TIME_KEY, COUNT(*) AS household_count,\n"
+    "    COUNT(*) FILTER (WHERE CUSTOMER_KEY > 0) AS customer_count,\n"
+    "    CAST(COUNT(*) FILTER (WHERE CUSTOMER_KEY > 0) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS penetration_rate\n"
+    "FROM (SELECT DAILY_TIME_KEY, CUSTOMER_KEY, CAST(FLOOR(MEDIAN_HH_AGE / 10) * 10 AS INTEGER) AS age_decade\n"
+    f"      FROM hh WHERE {SNAPS} AND MEDIAN_HH_AGE IS NOT NULL) t\n"
+    "GROUP BY age_decade, DAILY_TIME_KEY"
+)
+
+ANALYSIS_SQL: dict[str, str] = {
+    "all_cuts_long": with_hh(ALL_CUTS_LONG),
+    "yoy_change": with_hh(YOY_CHANGE),
+    "spread_ranking": with_hh(SPREAD_RANKING),
+    "interaction_dwelling_kids": with_hh(
+        _interaction("xtab_dwelling_kids", "DWELLING_SEGMENT", "kids_bucket", "total_households", "customer_count")
+    ),
+    "interaction_kids_transport": with_hh(
+        _interaction("xtab_kids_transport", "kids_bucket", "transport_group", "household_count", "customer_count")
+    ),
+    "min_sample": with_hh(MIN_SAMPLE),
+    "as_percent": with_hh(AS_PERCENT),
+    "demographic_correlation": DEMOGRAPHIC_CORRELATION,
+    "predictor_ranking": PREDICTOR_RANKING,
+    "univariate_regression": UNIVARIATE_REGRESSION,
+    "enrich_with_census": with_hh(ENRICH_WITH_CENSUS),
+    "custom_dimension": with_hh(CUSTOM_DIMENSION),
+}
