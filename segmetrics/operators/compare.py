@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import ratio
 from ..plans.catalog import CUTS, CutSpec
 from ..plans.workbench import rollup, segment_cube
+from ..session import materialize
 from ..sources.household import Snapshot, _as_date
 from ..sources.schema import DATE
 from .penetration import CANONICAL, Measures
@@ -42,11 +43,12 @@ def to_long(cut: DataFrame, spec: CutSpec) -> DataFrame:
 def all_cuts_long(df: DataFrame, snapshots: Sequence[Snapshot], status: DataFrame | None = None) -> DataFrame:
     """The nine single cuts stacked in long form.
 
-    Built from one segment cube: the nine rollups share the cube's
-    exchange (``ReusedExchange`` in the plan), so the snapshots and the
-    history are each scanned once for all nine.
+    Built from one checkpointed segment cube, so the snapshots and the
+    history are each scanned once for all nine. (Without the checkpoint the
+    optimizer pushes each rollup's guard filter into its own copy of the
+    cube plan, and the nine copies could not share one exchange.)
     """
-    cube = segment_cube(df, snapshots, status)
+    cube = materialize(segment_cube(df, snapshots, status), "segment_cube")
     parts = [to_long(rollup(cube, spec), spec) for spec in SINGLE_CUTS]
     return reduce(DataFrame.unionByName, parts)
 

@@ -64,7 +64,7 @@ def kids_in_percent(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
 
 def _pull(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
     # Several aggregation passes read the pull: checkpoint it once.
-    return materialize(demographic_pull(df, snapshots))
+    return materialize(demographic_pull(df, snapshots), "demographic_pull")
 
 
 def correlation_matrix(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:

@@ -121,5 +121,5 @@ def penetration_workbench(
     """All cuts of ``specs`` keyed by query name, from one checkpointed cube."""
     cube = segment_cube(df, snapshots, status)
     if checkpoint:
-        cube = materialize(cube)
+        cube = materialize(cube, "segment_cube")
     return {spec.key: rollup(cube, spec) for spec in specs}

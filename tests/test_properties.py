@@ -51,8 +51,8 @@ def test_xtab_margins_equal_guarded_single_cuts(hh, spec):
             .agg(F.sum(spec.measures.households).alias("h"), F.sum(spec.measures.customers).alias("c"))
         )
         single = penetration_by(hh, [keep], SNAPS, guard=row_guard(spec.guard_list), measures=Measures("h", "c"))
-        a = sorted(tuple(r) for r in margin.collect())
-        b = sorted(tuple(r)[:4] for r in single.collect())
+        a = sorted((tuple(r) for r in margin.collect()), key=repr)
+        b = sorted((tuple(r)[:4] for r in single.collect()), key=repr)
         assert a == b
 
 
