@@ -16,7 +16,8 @@ keeps the sums free of cancellation.
 
 A statistic is NULL when it is undefined: fewer than two distinct x (or y)
 values among the complete rows. The test is ``min < max`` -- exact, unlike a
-variance that carries rounding noise. Results are rounded to 9 decimals.
+variance that carries rounding noise. NaN counts as missing, like NULL.
+Results are rounded to 9 decimals.
 """
 
 from __future__ import annotations
@@ -94,7 +95,9 @@ def pair_moments(pull: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[
     min_y, max_y`` with sums of values shifted by ``kx`` / ``ky``.
     """
     cols = list(columns)
-    numeric = pull.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    # NaN counts as missing, like NULL (Arrow hands both to numpy as NaN).
+    missing = F.lit(None).cast("double")
+    numeric = pull.select(*[F.nanvl(F.col(c).cast("double"), missing).alias(c) for c in cols])
     means = numeric.agg(*[F.avg(c) for c in cols]).first()
     shift = np.array([0.0 if v is None else float(v) for v in means])
     index = np.array([(cols.index(a), cols.index(b)) for a, b in pairs], dtype=np.int64).reshape(-1, 2)

@@ -333,3 +333,12 @@ ANALYSIS_SQL: dict[str, str] = {
     "enrich_with_census": with_hh(ENRICH_WITH_CENSUS),
     "custom_dimension": with_hh(CUSTOM_DIMENSION),
 }
+
+BLOCK_BULK_STATUS = with_hh(
+    "SELECT CENSUS_BLOCK_GROUP, CASE WHEN MAX(BULK_FLG) = 1 THEN 'has_bulk' ELSE 'no_bulk' END AS block_bulk_status\n"
+    "FROM hh GROUP BY CENSUS_BLOCK_GROUP"
+)
+SOURCE_SQL: dict[str, str] = {
+    "block_bulk_status": BLOCK_BULK_STATUS,
+    "block_bulk_status_stream": BLOCK_BULK_STATUS,
+}

@@ -112,13 +112,23 @@ FIXTURE_COLUMNS: tuple[tuple[str, str, str], ...] = (
 assert tuple(c for c, _, _ in FIXTURE_COLUMNS[1:]) == HOUSEHOLD_COLUMNS
 
 
-def household_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived household fact table over ``{sf_dir}/lineitem`` and ``part``.
+def derive_households(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """The household columns over ``lineitem`` joined to ``part`` (batch or stream).
 
     Plain inner equi-join; Spark picks broadcast or shuffle join from the
     part table's size, and AQE splits a skewed part key. Column pruning
     drops every derived column a query does not read, so a cut over two
     columns only reads ``l_orderkey, l_linenumber, l_partkey, p_partkey``.
+    """
+    x = lineitem.join(part, lineitem["l_partkey"] == part["p_partkey"], "inner").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("h"),
+        F.col("p_partkey").alias("b"),
+    )
+    return x.selectExpr(*[f"CAST({e} AS {t}) AS {c}" for c, t, e in FIXTURE_COLUMNS])
+
+
+def household_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived household fact table over ``{sf_dir}/lineitem`` and ``part``.
 
     A lineitem scan with fewer input splits than task slots (the test files
     are single Parquet row groups, which cannot be split) is hash-spread on
@@ -130,11 +140,20 @@ def household_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     if li.rdd.getNumPartitions() < slots:
         li = li.repartition(slots, "l_orderkey")
     pt = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
-    x = li.join(pt, li["l_partkey"] == pt["p_partkey"], "inner").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("h"),
-        F.col("p_partkey").alias("b"),
+    return derive_households(li, pt)
+
+
+def household_fixture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table as a stream: lineitem files as they land, part static."""
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    li = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "lineitem.parquet")
+        .parquet(sf_dir)
+        .select("l_orderkey", "l_linenumber", "l_partkey")
     )
-    return x.selectExpr(*[f"CAST({e} AS {t}) AS {c}" for c, t, e in FIXTURE_COLUMNS])
+    pt = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    return derive_households(li, pt)
 
 
 def fixture_cte_sql() -> str:
