@@ -2,7 +2,7 @@
 
 Mirrors the driver's check: column names compared as a set, row counts,
 and an order-insensitive comparison of the rows. Doubles are compared after
-rounding to ``digits`` decimals; everything else exactly.
+rounding to ``digits`` decimals (``None``: bit-exact); everything else exactly.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def _norm(v, digits: int):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return round(v, digits) + 0.0
+        return v + 0.0 if digits is None else round(v, digits) + 0.0
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if hasattr(v, "item"):  # numpy scalar
@@ -46,7 +46,7 @@ def _rows(cols: list[str], rows: list[tuple], digits: int) -> Counter:
     return Counter(tuple(_norm(r[i], digits) for i in order) for r in rows)
 
 
-def compare(spark_df: DataFrame, sql: str, con: duckdb.DuckDBPyConnection, digits: int = 9) -> dict:
+def compare(spark_df: DataFrame, sql: str, con: duckdb.DuckDBPyConnection, digits: int | None = 9) -> dict:
     """Report ``{columns_match, rows_spark, rows_oracle, values_match, ...}``."""
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
