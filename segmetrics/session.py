@@ -48,7 +48,15 @@ def local_session(cpus: int | str = "*", app: str = "segmetrics", shuffle_partit
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the session names, if any."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        found = spark.sparkContext.getCheckpointDir()
+    except Exception:  # e.g. Spark Connect: only the configuration is visible
+        found = None
+    return found or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def _is_local(spark: SparkSession) -> bool:
+    return str(spark.conf.get("spark.master", "")).startswith("local")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -60,10 +68,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     found = checkpoint_dir(spark)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not _is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before materializing results")
     path = tempfile.mkdtemp(prefix="segmetrics-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 

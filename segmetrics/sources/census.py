@@ -26,11 +26,20 @@ def enrich_with_census(households: DataFrame, attributes: DataFrame, on: str = B
     left to the planner: the attribute table is block-grain (bounded by the
     number of block groups), so Spark broadcasts it when its measured size is
     under the broadcast threshold and otherwise shuffles, with AQE splitting
-    a skewed block's partition.
+    a skewed block's partition. Households with a NULL block group bypass
+    the join and get NULL attributes.
     """
     if duplicate_keys(attributes, on).take(1):
         raise DuplicateKeyError(f"attribute table repeats {on} values")
     overlap = (set(households.columns) & set(attributes.columns)) - {on}
     if overlap:
         raise ValueError(f"columns on both sides: {sorted(overlap)}")
-    return households.join(attributes, on, "left")
+    # Households without a block group can never match. Kept out of the join,
+    # they are not shuffled at all: in a shuffled join every NULL key would
+    # land in one reducer, and ungeocoded households can be a large share.
+    keyed = households.where(F.col(on).isNotNull()).join(attributes, on, "left")
+    no_block = households.where(F.col(on).isNull()).select(
+        *households.columns,
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in attributes.schema.fields if f.name != on],
+    )
+    return keyed.unionByName(no_block)
