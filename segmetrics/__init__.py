@@ -9,7 +9,7 @@ from .functions.dimensions import DIMENSIONS, Dimension, custom_dimension
 from .operators.blocks import block_bulk_status, block_group_summary, cut_block_bulk, demographic_pull
 from .operators.penetration import Measures, penetration_by
 from .plans.catalog import CUTS, CUTS_BY_KEY, QUERIES
-from .sources.household import read_household_history, write_household_history
+from .sources.household import household_table, read_household_history, write_household_history
 
 __all__ = [
     "CUTS",
@@ -23,6 +23,7 @@ __all__ = [
     "custom_dimension",
     "cut_block_bulk",
     "demographic_pull",
+    "household_table",
     "penetration_by",
     "read_household_history",
     "write_household_history",

@@ -48,6 +48,13 @@ def read_household_history(
     return apply_column_map(reader.parquet(path), column_map)
 
 
+def household_table(
+    spark: SparkSession, name: str, column_map: Mapping[str, str] | None = None
+) -> DataFrame:
+    """The fact table registered in the catalog as ``name`` (canonical names)."""
+    return apply_column_map(spark.table(name), column_map)
+
+
 def write_household_history(
     df: DataFrame, path: str, mode: str = "errorifexists", partitions: int | None = None
 ) -> None:
