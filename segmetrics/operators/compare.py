@@ -103,20 +103,24 @@ def spread_ranking(long: DataFrame, min_households: int | None = None) -> DataFr
     return spreads.withColumn("spread_rank", F.rank().over(w))
 
 
-def interaction_effect(xtab: DataFrame, a: str, b: str, measures: Measures) -> DataFrame:
+def interaction_effect(
+    xtab: DataFrame, a: str, b: str, measures: Measures, by: Sequence[str] = ()
+) -> DataFrame:
     """``pr_ab - (pr_a + pr_b - pr_all)`` for every cell of a cross-tab.
 
     The margins are re-derived from the cross-tab's own (identically
-    guarded) counts by windowed sums, never by averaging rates.
+    guarded) counts by windowed sums, never by averaging rates. ``by`` names
+    columns that separate several stacked cross-tabs.
     """
     hh, cc = F.col(measures.households), F.col(measures.customers)
 
     def margin(*keys: str):
-        w = Window.partitionBy(*keys)
+        w = Window.partitionBy(*by, *keys)
         return ratio(F.sum(cc).over(w), F.sum(hh).over(w))
 
     return (
         xtab.select(
+            *by,
             a,
             b,
             DATE,
@@ -135,6 +139,38 @@ def interaction_effect(xtab: DataFrame, a: str, b: str, measures: Measures) -> D
     )
 
 
+CROSS_TABS: tuple[CutSpec, ...] = tuple(c for c in CUTS if len(c.dims) == 2)
+XTAB_LONG = Measures("households", "customers", "penetration_rate")
+
+
+def all_interactions(df: DataFrame, snapshots: Sequence[Snapshot], status: DataFrame | None = None) -> DataFrame:
+    """Interaction effects of all 18 cross-tabs, stacked, from one cube.
+
+    Output ``cross_tab, bucket_a, bucket_b, DAILY_TIME_KEY, households,
+    customers, penetration_rate, penetration_a, penetration_b,
+    penetration_all, interaction``. One scan of the snapshots (and one of the
+    history) serves all 18 instead of 18 separate scans.
+    """
+    cube = materialize(segment_cube(df, snapshots, status), "segment_cube")
+    parts = []
+    for spec in CROSS_TABS:
+        a, b = spec.dims
+        m = spec.measures
+        parts.append(
+            rollup(cube, spec).select(
+                F.lit(spec.key).alias("cross_tab"),
+                F.col(a.column).cast("string").alias("bucket_a"),
+                F.col(b.column).cast("string").alias("bucket_b"),
+                F.col(DATE),
+                F.col(m.households).alias(XTAB_LONG.households),
+                F.col(m.customers).alias(XTAB_LONG.customers),
+                F.col(m.penetration).alias(XTAB_LONG.penetration),
+            )
+        )
+    stacked = reduce(DataFrame.unionByName, parts)
+    return interaction_effect(stacked, "bucket_a", "bucket_b", XTAB_LONG, by=["cross_tab"])
+
+
 def min_sample(cut: DataFrame, households: str, n: int, flag: bool = False) -> DataFrame:
     """Keep segments with at least ``n`` households, or flag the small ones."""
     if flag:

@@ -243,6 +243,50 @@ def _interaction(key: str, a: str, b: str, hh: str, cc: str) -> str:
     )
 
 
+_XTABS = [
+    (key, a, b, "total_households" if key == "xtab_dwelling_kids" else "household_count")
+    for key, a, b in [
+        ("xtab_dwelling_kids", "DWELLING_SEGMENT", "kids_bucket"),
+        ("xtab_dwelling_ownership", "DWELLING_SEGMENT", "ownership_bucket"),
+        ("xtab_dwelling_family", "DWELLING_SEGMENT", "household_mix"),
+        ("xtab_kids_ownership", "kids_bucket", "ownership_bucket"),
+        ("xtab_kids_family", "kids_bucket", "household_mix"),
+        ("xtab_ownership_family", "ownership_bucket", "household_mix"),
+        ("xtab_dwelling_kids_group", "DWELLING_SEGMENT", "kids_group"),
+        ("xtab_ownership_kids_group", "ownership_bucket", "kids_group"),
+        ("xtab_dwelling_labor", "DWELLING_SEGMENT", "labor_group"),
+        ("xtab_kids_labor", "kids_bucket", "labor_group"),
+        ("xtab_ownership_labor", "ownership_bucket", "labor_group"),
+        ("xtab_labor_family", "labor_group", "household_mix"),
+        ("xtab_labor_kids_group", "labor_group", "kids_group"),
+        ("xtab_dwelling_transport", "DWELLING_SEGMENT", "transport_group"),
+        ("xtab_kids_transport", "kids_bucket", "transport_group"),
+        ("xtab_ownership_transport", "ownership_bucket", "transport_group"),
+        ("xtab_family_transport", "household_mix", "transport_group"),
+        ("xtab_kids_group_transport", "kids_group", "transport_group"),
+    ]
+]
+XTABS_LONG = "\nUNION ALL\n".join(
+    f"SELECT '{key}' AS cross_tab, CAST({a} AS VARCHAR) AS bucket_a, CAST({b} AS VARCHAR) AS bucket_b, "
+    f"DAILY_TIME_KEY, {hh} AS households, customer_count AS customers, penetration_rate "
+    f"FROM ({WORKBENCH_BODIES[key]}) x_{i}"
+    for i, (key, a, b, hh) in enumerate(_XTABS)
+)
+
+
+def _margin(*part: str) -> str:
+    over = f"OVER (PARTITION BY cross_tab, {', '.join(part)})"
+    return f"CAST(SUM(customers) {over} AS DOUBLE) / CAST(SUM(households) {over} AS DOUBLE)"
+
+
+_MA, _MB, _MALL = _margin("DAILY_TIME_KEY", "bucket_a"), _margin("DAILY_TIME_KEY", "bucket_b"), _margin("DAILY_TIME_KEY")
+ALL_INTERACTIONS = (
+    "SELECT cross_tab, bucket_a, bucket_b, DAILY_TIME_KEY, households, customers, penetration_rate,\n"
+    f"    {_MA} AS penetration_a, {_MB} AS penetration_b, {_MALL} AS penetration_all,\n"
+    f"    penetration_rate - ({_MA} + {_MB} - {_MALL}) AS interaction\n"
+    f"FROM ({XTABS_LONG}) long"
+)
+
 MIN_SAMPLE = (
     "SELECT *, household_count < 30 AS small_sample\n"
     f"FROM ({WORKBENCH_BODIES['xtab_kids_transport']}) x"
@@ -325,6 +369,7 @@ ANALYSIS_SQL: dict[str, str] = {
     "interaction_kids_transport": with_hh(
         _interaction("xtab_kids_transport", "kids_bucket", "transport_group", "household_count", "customer_count")
     ),
+    "all_interactions": with_hh(ALL_INTERACTIONS),
     "min_sample": with_hh(MIN_SAMPLE),
     "as_percent": with_hh(AS_PERCENT),
     "demographic_correlation": DEMOGRAPHIC_CORRELATION,

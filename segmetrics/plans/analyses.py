@@ -17,6 +17,7 @@ from ..functions.measures import key_gt_0
 from ..operators.blocks import demographic_pull
 from ..operators.compare import (
     all_cuts_long,
+    all_interactions,
     as_percent,
     interaction_effect,
     min_sample,
@@ -116,6 +117,7 @@ ANALYSES = {
     "spread_ranking": ranked_spreads,
     "interaction_dwelling_kids": _interaction("xtab_dwelling_kids"),
     "interaction_kids_transport": _interaction("xtab_kids_transport"),
+    "all_interactions": all_interactions,
     "min_sample": small_segments,
     "as_percent": kids_in_percent,
     "demographic_correlation": correlation_matrix,

@@ -13,6 +13,7 @@ from conftest import CUR, PRI, rows
 from segmetrics.operators.blocks import demographic_pull
 from segmetrics.operators.compare import (
     all_cuts_long,
+    all_interactions,
     as_percent,
     interaction_effect,
     min_sample,
@@ -86,6 +87,22 @@ def test_interaction_matches_pandas(hh):
     assert np.allclose(got["interaction"], expected, atol=1e-12)
 
 
+def test_all_interactions_equal_per_cross_tab(hh):
+    stacked = all_interactions(hh, SNAPS).cache()
+    assert stacked.select("cross_tab").distinct().count() == 18
+    for key in ("xtab_dwelling_kids", "xtab_labor_family"):
+        spec = CUTS_BY_KEY[key]
+        a, b = (d.column for d in spec.dims)
+        direct = interaction_effect(spec.run(hh, SNAPS), a, b, spec.measures).collect()
+        want = sorted(((r[a], r[b], r["DAILY_TIME_KEY"], r["interaction"]) for r in direct), key=repr)
+        got = sorted(
+            ((r["bucket_a"], r["bucket_b"], r["DAILY_TIME_KEY"], r["interaction"])
+             for r in stacked.where(F.col("cross_tab") == key).collect()),
+            key=repr,
+        )
+        assert got == want
+
+
 def test_min_sample_filter_and_flag(hh):
     xtab = CUTS_BY_KEY["xtab_kids_transport"].run(hh, SNAPS)
     flagged = min_sample(xtab, XTAB.households, 30, flag=True)
