@@ -9,14 +9,13 @@ a handful of rows each.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import ratio
 from ..plans.catalog import CUTS, CutSpec
-from ..plans.workbench import rollup, segment_cube
+from ..plans.workbench import segment_cube, stacked_rollup
 from ..session import materialize
 from ..sources.household import Snapshot, _as_date
 from ..sources.schema import DATE
@@ -44,13 +43,12 @@ def all_cuts_long(df: DataFrame, snapshots: Sequence[Snapshot], status: DataFram
     """The nine single cuts stacked in long form.
 
     Built from one checkpointed segment cube, so the snapshots and the
-    history are each scanned once for all nine. (Without the checkpoint the
-    optimizer pushes each rollup's guard filter into its own copy of the
-    cube plan, and the nine copies could not share one exchange.)
+    history are each scanned once for all nine, and one aggregation over the
+    fanned-out cube sums all nine cuts (``stacked_rollup``).
     """
     cube = materialize(segment_cube(df, snapshots, status), "segment_cube")
-    parts = [to_long(rollup(cube, spec), spec) for spec in SINGLE_CUTS]
-    return reduce(DataFrame.unionByName, parts)
+    stacked = stacked_rollup(cube, SINGLE_CUTS, [spec.dims[0].name for spec in SINGLE_CUTS])
+    return stacked.select(F.col("tag").alias("dimension"), F.col("bucket_a").alias("bucket"), *LONG_COLUMNS[2:])
 
 
 def yoy_change(
@@ -149,25 +147,12 @@ def all_interactions(df: DataFrame, snapshots: Sequence[Snapshot], status: DataF
     Output ``cross_tab, bucket_a, bucket_b, DAILY_TIME_KEY, households,
     customers, penetration_rate, penetration_a, penetration_b,
     penetration_all, interaction``. One scan of the snapshots (and one of the
-    history) serves all 18 instead of 18 separate scans.
+    history) and one aggregation serve all 18 instead of 18 separate scans.
     """
     cube = materialize(segment_cube(df, snapshots, status), "segment_cube")
-    parts = []
-    for spec in CROSS_TABS:
-        a, b = spec.dims
-        m = spec.measures
-        parts.append(
-            rollup(cube, spec).select(
-                F.lit(spec.key).alias("cross_tab"),
-                F.col(a.column).cast("string").alias("bucket_a"),
-                F.col(b.column).cast("string").alias("bucket_b"),
-                F.col(DATE),
-                F.col(m.households).alias(XTAB_LONG.households),
-                F.col(m.customers).alias(XTAB_LONG.customers),
-                F.col(m.penetration).alias(XTAB_LONG.penetration),
-            )
-        )
-    stacked = reduce(DataFrame.unionByName, parts)
+    stacked = stacked_rollup(cube, CROSS_TABS, [spec.key for spec in CROSS_TABS]).withColumnRenamed(
+        "tag", "cross_tab"
+    )
     return interaction_effect(stacked, "bucket_a", "bucket_b", XTAB_LONG, by=["cross_tab"])
 
 

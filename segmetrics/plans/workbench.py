@@ -16,7 +16,9 @@ Plan at scale:
 4. aggregate away the block: the cube has at most one row per combination
    of labels and bits per date -- a bound set by the label vocabularies,
    not by the data -- and is checkpointed to the shared checkpoint folder;
-5. each of the 27 rollups reads the checkpointed cube.
+5. one more aggregation sums every cut at once over the cube fanned out to
+   the cuts each row qualifies for; each of the 27 results is a filter of
+   that (checkpointed) table.
 
 Compared with 27 separate queries this reads the snapshots once instead of
 27 times and the history once instead of once per block-bulk query.
@@ -111,6 +113,31 @@ def rollup(cube: DataFrame, spec: CutSpec) -> DataFrame:
     return sort_nulls_last(out, spec.order_by) if spec.order_by else out
 
 
+def stacked_rollup(cube: DataFrame, specs: Sequence[CutSpec], tags: Sequence[str]) -> DataFrame:
+    """Several cuts in one aggregation, stacked as ``tag, bucket_a, bucket_b, date``.
+
+    Each cube row is fanned out to the cuts whose guards it passes (at most
+    ``len(specs)`` copies of a table bounded by the label vocabularies, never
+    household rows) and one ``groupBy`` sums all cuts at once: one shuffle
+    instead of one per cut. Buckets are cast to string; ``bucket_b`` is NULL
+    for single-dimension cuts. Output ``tag, bucket_a, bucket_b,
+    DAILY_TIME_KEY, households, customers, penetration_rate``.
+    """
+    entries = []
+    for spec, tag in zip(specs, tags):
+        cols = [F.col(d.column).cast("string") for d in spec.dims] + [F.lit(None).cast("string")]
+        entry = F.struct(F.lit(tag).alias("tag"), cols[0].alias("bucket_a"), cols[1].alias("bucket_b"))
+        guard = all_of([CUBE_GUARDS[g]() for g in spec.guard_list])
+        entries.append(entry if guard is None else F.when(guard, entry))
+    fanned = cube.select(F.explode(F.array(*entries)).alias("t"), DATE, "_hh", "_cc").where(F.col("t").isNotNull())
+    return (
+        fanned.groupBy(F.col("t.tag").alias("tag"), F.col("t.bucket_a").alias("bucket_a"),
+                       F.col("t.bucket_b").alias("bucket_b"), DATE)
+        .agg(F.sum("_hh").alias("households"), F.sum("_cc").alias("customers"))
+        .withColumn("penetration_rate", ratio("customers", "households"))
+    )
+
+
 def penetration_workbench(
     df: DataFrame,
     snapshots: Sequence[Snapshot],
@@ -118,8 +145,37 @@ def penetration_workbench(
     specs: Sequence[CutSpec] = CUTS,
     checkpoint: bool = True,
 ) -> dict[str, DataFrame]:
-    """All cuts of ``specs`` keyed by query name, from one checkpointed cube."""
+    """All cuts of ``specs`` keyed by query name, from one checkpointed cube.
+
+    With ``checkpoint`` the cube and the stacked sums of all cuts (one
+    aggregation, ``stacked_rollup``) are written to the checkpoint folder,
+    and each result is a filter and projection of that small table; without
+    it each cut is its own rollup of the cube.
+    """
     cube = segment_cube(df, snapshots, status)
-    if checkpoint:
-        cube = materialize(cube, "segment_cube")
-    return {spec.key: rollup(cube, spec) for spec in specs}
+    if not checkpoint:
+        return {spec.key: rollup(cube, spec) for spec in specs}
+    cube = materialize(cube, "segment_cube")
+    stacked = materialize(stacked_rollup(cube, specs, [s.key for s in specs]), "segment_cuts")
+    return {spec.key: _unstack(stacked, spec, cube) for spec in specs}
+
+
+def _unstack(stacked: DataFrame, spec: CutSpec, cube: DataFrame) -> DataFrame:
+    """One cut back out of the stacked table, with its own names and types."""
+    m = spec.measures
+    buckets = [
+        F.col(b).cast(cube.schema[d.column].dataType).alias(d.column)
+        for b, d in zip(("bucket_a", "bucket_b"), spec.dims)
+    ]
+    out = (
+        stacked.where(F.col("tag") == spec.key)
+        .select(
+            *buckets,
+            F.col(DATE),
+            F.col("households").alias(m.households),
+            F.col("customers").alias(m.customers),
+            F.col("penetration_rate").alias(m.penetration),
+        )
+        .select(*spec.columns)
+    )
+    return sort_nulls_last(out, spec.order_by) if spec.order_by else out

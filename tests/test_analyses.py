@@ -15,6 +15,7 @@ from segmetrics.operators.compare import (
     all_cuts_long,
     all_interactions,
     as_percent,
+    to_long,
     interaction_effect,
     min_sample,
     spread_ranking,
@@ -49,6 +50,10 @@ def test_long_form_stacks_nine_cuts(hh):
     direct = {(r["kids_bucket"], r["DAILY_TIME_KEY"], r["total_households"])
               for r in CUTS_BY_KEY["cut_kids"].run(hh, SNAPS).collect()}
     assert kids == direct
+    as_long = to_long(CUTS_BY_KEY["cut_kids"].run(hh, SNAPS), CUTS_BY_KEY["cut_kids"])
+    assert sorted(map(tuple, as_long.collect()), key=repr) == sorted(
+        map(tuple, long.where("dimension = 'kids'").collect()), key=repr
+    )
 
 
 def test_yoy_pivots_dates_and_keeps_one_sided_segments(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import CUR, PRI
 from segmetrics.plans.catalog import CUTS
-from segmetrics.plans.workbench import penetration_workbench, segment_cube
+from segmetrics.plans.workbench import penetration_workbench, rollup, segment_cube, stacked_rollup
 
 SNAPS = (CUR, PRI)
 
@@ -33,3 +33,24 @@ def test_cube_is_small_and_complete(hh):
     rows = hh.where(F.col("DAILY_TIME_KEY").isin(list(SNAPS))).count()
     assert cube.agg(F.sum("_hh")).first()[0] == rows
     assert cube.count() < rows
+
+
+def test_stacked_rollup_equals_each_rollup(hh):
+    cube = segment_cube(hh, SNAPS).cache()
+    stacked = stacked_rollup(cube, CUTS, [c.key for c in CUTS]).cache()
+    for spec in CUTS:
+        cols = [d.column for d in spec.dims]
+        m = spec.measures
+        want = sorted(
+            (
+                (*[None if r[c] is None else str(r[c]) for c in cols], *([None] if len(cols) == 1 else []),
+                 r["DAILY_TIME_KEY"], r[m.households], r[m.customers], r[m.penetration])
+                for r in rollup(cube, spec).collect()
+            ),
+            key=repr,
+        )
+        got = sorted(
+            (tuple(r)[1:] for r in stacked.where(F.col("tag") == spec.key).collect()),
+            key=repr,
+        )
+        assert got == want, spec.key
