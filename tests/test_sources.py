@@ -64,3 +64,19 @@ def test_catalog_table(spark, hh):
     hh.createOrReplaceTempView("household_daily_history_test")
     df = household_table(spark, "household_daily_history_test")
     assert _sorted(QUERIES["cut_bulk"](df, SNAPS)) == _sorted(QUERIES["cut_bulk"](hh, SNAPS))
+
+
+def test_writer_spreads_a_hot_block_over_several_files(spark, hh, tmp_path):
+    # Nine in ten households sit in one block group.
+    hot = hh.withColumn(
+        "CENSUS_BLOCK_GROUP",
+        F.when(F.col("HOUSEHOLD_ROW_ID") % 10 != 0, F.lit("000000000042")).otherwise(F.col("CENSUS_BLOCK_GROUP")),
+    ).drop("HOUSEHOLD_ROW_ID")
+    path = str(tmp_path / "hot")
+    write_household_history(hot, path, partitions=8)
+    day = spark.read.parquet(f"{path}/DAILY_TIME_KEY=2025-03-31")
+    files = day.select(F.input_file_name().alias("f"), "CENSUS_BLOCK_GROUP").where(
+        F.col("CENSUS_BLOCK_GROUP") == "000000000042"
+    )
+    assert files.select("f").distinct().count() > 1
+    assert spark.read.parquet(path).count() == hot.count()
