@@ -53,11 +53,6 @@ def block_bulk_status(history: DataFrame) -> DataFrame:
     )
 
 
-def attach_block_bulk_status(df: DataFrame, status: DataFrame) -> DataFrame:
-    """Household rows with their block's status (inner join: NULL blocks drop)."""
-    return df.join(status, BLOCK, "inner")
-
-
 def cut_block_bulk(
     df: DataFrame,
     snapshots: Sequence[Snapshot],

@@ -71,6 +71,8 @@ class CutSpec:
     def run(self, df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
         if BLOCK_BULK in self.dims:
             # Needs the full-history block status: pre-aggregated block join.
+            if len(self.dims) != 1:
+                raise ValueError("block bulk status is only available as a single cut")
             return cut_block_bulk(df, snapshots, measures=self.measures).select(*self.columns)
         return penetration_by(
             df,
