@@ -1,10 +1,13 @@
 """Block-group operators: bulk presence, block summary, wide demographic pull.
 
-``cut_block_bulk`` is the only query that reads the whole history. It never
-joins at household grain: both inputs are first reduced to one row per block
-(per snapshot) by partial aggregation, then joined on the block key. The
-join's inputs are therefore bounded by the number of block groups, whatever
-the number of households, and a hot block cannot skew it.
+``cut_block_bulk`` is the only query that reads the whole history. Its block
+status table has one row per block group. It is written once to the
+checkpoint folder and counted: up to ``BROADCAST_MAX_ROWS`` rows it is
+broadcast to every task and joined to the household rows where they are
+read, so the only shuffle carries (status, date) partial counts. Beyond that
+bound, both sides are first reduced to block grain by partial aggregation
+and joined on the block key. Neither path shuffles household rows, and a hot
+block cannot skew either.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dimensions import BLOCK_BULK_LABELS
 from ..functions.measures import customers, flag_eq_1, households, key_gt_0, ratio
+from ..session import materialize
 from ..sources.household import Snapshot, snapshot_filter
 from ..sources.schema import (
     BLOCK,
@@ -32,6 +36,19 @@ APARTMENT = "APARTMENT"
 HOUSE = "HOUSE"
 # --- end of fixed values -----------------------------------------------------
 
+# Block-grain tables with at most this many rows are broadcast. One row per
+# census block group: the United States has about 240,000, i.e. ~15 MB here.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcastable(table: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether ``table`` (a written, block-grain table) is small enough to broadcast.
+
+    Counts the table (one cheap job on a materialized table) and compares
+    with the row bound, so a broadcast never rests on a size estimate.
+    """
+    return table.count() <= (BROADCAST_MAX_ROWS if max_rows is None else max_rows)
+
 
 def block_bulk_status(history: DataFrame) -> DataFrame:
     """``(CENSUS_BLOCK_GROUP, block_bulk_status)`` over **all** stored days.
@@ -61,15 +78,28 @@ def cut_block_bulk(
 ) -> DataFrame:
     """Penetration of households in blocks with / without any bulk household.
 
-    ``status`` defaults to ``block_bulk_status(df)`` (full history of ``df``);
-    pass a persisted status table to skip that scan. Output:
-    ``block_bulk_status, DAILY_TIME_KEY, customer_count, total_households,
-    penetration_rate``.
+    ``status`` defaults to ``block_bulk_status(df)`` over the full history of
+    ``df``, written to the checkpoint folder; pass a persisted status table
+    (e.g. the streaming one) to skip that scan. Output: ``block_bulk_status,
+    DAILY_TIME_KEY, customer_count, total_households, penetration_rate``.
     """
-    status = block_bulk_status(df) if status is None else status
+    status = materialize(block_bulk_status(df), "block_bulk_status") if status is None else status
+    rows = df.where(snapshot_filter(df, snapshots) & F.col(BLOCK).isNotNull())
+    if broadcastable(status):
+        counted = (
+            rows.join(F.broadcast(status), BLOCK, "inner")
+            .groupBy("block_bulk_status", DATE)
+            .agg(customers(flag_eq_1()).alias(measures.customers), households().alias(measures.households))
+        )
+        return counted.select(
+            "block_bulk_status",
+            DATE,
+            measures.customers,
+            measures.households,
+            ratio(measures.customers, measures.households).alias(measures.penetration),
+        )
     per_block = (
-        df.where(snapshot_filter(df, snapshots) & F.col(BLOCK).isNotNull())
-        .groupBy(BLOCK, DATE)
+        rows.groupBy(BLOCK, DATE)
         .agg(households().alias("_hh"), customers(flag_eq_1()).alias("_cc"))
     )
     return (

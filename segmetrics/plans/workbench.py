@@ -9,13 +9,17 @@ never averaged.
 Plan at scale:
 
 1. scan the two snapshot partitions once, reading only label and guard
-   inputs; partial aggregate by (block, date, labels, bits);
-2. scan the full history for ``MAX(BULK_FLG)`` per block (partial aggregate);
-3. join the two **block-grain** results on the block key (bounded by the
-   number of block groups; no household-grain join, no skew);
-4. aggregate away the block: the cube has at most one row per combination
-   of labels and bits per date -- a bound set by the label vocabularies,
-   not by the data -- and is checkpointed to the shared checkpoint folder;
+   inputs;
+2. scan the full history for ``MAX(BULK_FLG)`` per block (partial aggregate)
+   and write that block status table to the checkpoint folder;
+3. if the status table has at most ``BROADCAST_MAX_ROWS`` rows (counted, not
+   estimated), broadcast it and label the household rows where they are
+   read, so the cube's aggregate shuffles only partial counts per label
+   combination; otherwise partial-aggregate the snapshots to block grain and
+   join the two block-grain tables on the block key;
+4. the cube has at most one row per combination of labels and bits per
+   date -- a bound set by the label vocabularies, not by the data -- and is
+   checkpointed to the shared checkpoint folder;
 5. one more aggregation sums every cut at once over the cube fanned out to
    the cuts each row qualifies for; each of the 27 results is a filter of
    that (checkpointed) table.
@@ -45,7 +49,7 @@ from ..functions.dimensions import (
     not_null,
 )
 from ..functions.measures import customers, flag_eq_1, households, ratio
-from ..operators.blocks import block_bulk_status
+from ..operators.blocks import block_bulk_status, broadcastable
 from ..operators.penetration import sort_nulls_last
 from ..session import materialize
 from ..sources.household import Snapshot, snapshot_filter
@@ -77,21 +81,29 @@ def segment_cube(df: DataFrame, snapshots: Sequence[Snapshot], status: DataFrame
     cut is kept in the ``ok_*`` bits, so one cube serves every guard
     combination (including the two queries with non-standard guards).
     """
-    status = block_bulk_status(df) if status is None else status
-    per_block = (
-        df.where(snapshot_filter(df, snapshots))
-        .select(
-            F.col(DATE),
-            F.col(BLOCK),
-            *[d.label() for d in ROW_LABELS],
-            *[F.coalesce(ROW_GUARDS[g](), F.lit(False)).alias(_bit(g)) for g in BIT_GUARDS],
-            flag_eq_1().alias("_is_customer"),
+    status = materialize(block_bulk_status(df), "block_bulk_status") if status is None else status
+    labelled = [
+        F.col(DATE),
+        *[d.label() for d in ROW_LABELS],
+        *[F.coalesce(ROW_GUARDS[g](), F.lit(False)).alias(_bit(g)) for g in BIT_GUARDS],
+    ]
+    rows = df.where(snapshot_filter(df, snapshots))
+    # Left joins keep households of NULL / unknown blocks with a NULL status;
+    # only the block-bulk cut drops them (its guard tests the status).
+    if broadcastable(status):
+        # Status travels to every task; households are labelled where read and
+        # the only shuffle carries partial counts per label combination.
+        return (
+            rows.join(F.broadcast(status), BLOCK, "left")
+            .select(*labelled, "block_bulk_status", flag_eq_1().alias("_is_customer"))
+            .groupBy(*CUBE_KEYS)
+            .agg(households().alias("_hh"), customers(F.col("_is_customer")).alias("_cc"))
         )
+    per_block = (
+        rows.select(F.col(BLOCK), *labelled, flag_eq_1().alias("_is_customer"))
         .groupBy(DATE, BLOCK, *[d.column for d in ROW_LABELS], *[_bit(g) for g in BIT_GUARDS])
         .agg(households().alias("_hh"), customers(F.col("_is_customer")).alias("_cc"))
     )
-    # Left join keeps households of NULL / unknown blocks with a NULL status;
-    # only the block-bulk cut drops them (its guard tests the status).
     return (
         per_block.join(status, BLOCK, "left")
         .groupBy(*CUBE_KEYS)

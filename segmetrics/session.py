@@ -28,7 +28,12 @@ RECOMMENDED_CONF: dict[str, str] = {
 }
 
 
-def local_session(cpus: int | str = "*", app: str = "segmetrics", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    cpus: int | str = "*",
+    app: str = "segmetrics",
+    shuffle_partitions: int = 8,
+    extra: dict[str, str] | None = None,
+) -> SparkSession:
     """A local session for tests and benchmarks (UI off, AQE on)."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -38,7 +43,7 @@ def local_session(cpus: int | str = "*", app: str = "segmetrics", shuffle_partit
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
     )
-    for k, v in RECOMMENDED_CONF.items():
+    for k, v in {**RECOMMENDED_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

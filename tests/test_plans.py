@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 from conftest import CUR, PRI
+from segmetrics.operators import blocks
+from segmetrics.operators.blocks import block_bulk_status
 from segmetrics.plans.catalog import QUERIES
 from segmetrics.sources.household import read_household_history, write_household_history
 
@@ -40,13 +42,24 @@ def test_snapshot_filter_prunes_partitions(table, key):
     assert "PartitionFilters: [isnotnull(DAILY_TIME_KEY" in scan or "PartitionFilters: [DAILY_TIME_KEY" in scan
 
 
-def test_block_bulk_reads_full_history_on_one_side_only(table):
-    found = scans(plan(QUERIES["cut_block_bulk"](table, SNAPS)))
-    assert len(found) == 2
-    pruned = [s for s in found if "PartitionFilters: []" not in s]
-    full = [s for s in found if "PartitionFilters: []" in s]
-    assert len(pruned) == 1 and len(full) == 1
-    assert "ReadSchema: struct<CENSUS_BLOCK_GROUP:string,BULK_FLG:int>" in full[0]
+def test_block_status_reads_full_history_only_block_and_flag(table):
+    (scan,) = scans(plan(block_bulk_status(table)))
+    assert "PartitionFilters: []" in scan
+    assert "ReadSchema: struct<CENSUS_BLOCK_GROUP:string,BULK_FLG:int>" in scan
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_block_bulk_cut_prunes_snapshots_and_joins_block_grain(table, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(blocks, "BROADCAST_MAX_ROWS", 0)
+    text = plan(QUERIES["cut_block_bulk"](table, SNAPS))
+    household_scans = [s for s in scans(text) if "household_daily_history" in s]
+    assert len(household_scans) == 1 and "PartitionFilters: []" not in household_scans[0]
+    if broadcast:
+        assert "BroadcastHashJoin" in text
+    else:
+        # Both join inputs are aggregates keyed by the block group.
+        assert "keys=[CENSUS_BLOCK_GROUP" in text
 
 
 def test_dwelling_cut_reads_two_columns(table):

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pytest
 
 from conftest import CUR, OLD, PRI
+from segmetrics.operators import blocks
 from segmetrics.oracle import WORKBENCH_BODIES
 from segmetrics.plans.catalog import CUTS, QUERIES
 from segmetrics.plans.workbench import penetration_workbench
@@ -92,8 +93,11 @@ def test_statement_matches_oracle_on_random_rows(tables, key):
     assert _bag(got.columns, [tuple(r) for r in got.collect()]) == _bag(want_cols, rel.fetchall())
 
 
-def test_workbench_matches_direct_on_random_rows(tables):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_workbench_matches_direct_on_random_rows(tables, broadcast, monkeypatch):
     df, _ = tables
+    if not broadcast:
+        monkeypatch.setattr(blocks, "BROADCAST_MAX_ROWS", 0)
     rolled = penetration_workbench(df, SNAPS)
     for spec in CUTS:
         a = sorted(map(tuple, rolled[spec.key].collect()), key=repr)
