@@ -2,8 +2,8 @@
 
 ``cut_block_bulk`` is the only query that reads the whole history. Its block
 status table has one row per block group. It is written once to the
-checkpoint folder and counted: up to ``BROADCAST_MAX_ROWS`` rows it is
-broadcast to every task and joined to the household rows where they are
+checkpoint folder and counted: up to ``session.BROADCAST_MAX_ROWS`` rows it
+is broadcast to every task and joined to the household rows where they are
 read, so the only shuffle carries (status, date) partial counts. Beyond that
 bound, both sides are first reduced to block grain by partial aggregation
 and joined on the block key. Neither path shuffles household rows, and a hot
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dimensions import BLOCK_BULK_LABELS
 from ..functions.measures import customers, flag_eq_1, households, key_gt_0, ratio
-from ..session import materialize
+from ..session import broadcastable, materialize
 from ..sources.household import Snapshot, snapshot_filter
 from ..sources.schema import (
     BLOCK,
@@ -36,20 +36,6 @@ APARTMENT = "APARTMENT"
 HOUSE = "HOUSE"
 # --- end of fixed values -----------------------------------------------------
 
-# Block-grain tables with at most this many rows are broadcast. One row per
-# census block group: the United States has about 240,000, i.e. ~15 MB here.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcastable(table: DataFrame, max_rows: int | None = None) -> bool:
-    """Whether ``table`` (a written, block-grain table) is small enough to broadcast.
-
-    Counts the table (one cheap job on a materialized table) and compares
-    with the row bound, so a broadcast never rests on a size estimate.
-    """
-    return table.count() <= (BROADCAST_MAX_ROWS if max_rows is None else max_rows)
-
-
 def block_bulk_status(history: DataFrame) -> DataFrame:
     """``(CENSUS_BLOCK_GROUP, block_bulk_status)`` over **all** stored days.
 

@@ -49,9 +49,9 @@ from ..functions.dimensions import (
     not_null,
 )
 from ..functions.measures import customers, flag_eq_1, households, ratio
-from ..operators.blocks import block_bulk_status, broadcastable
+from ..operators.blocks import block_bulk_status
 from ..operators.penetration import sort_nulls_last
-from ..session import materialize
+from ..session import broadcastable, materialize
 from ..sources.household import Snapshot, snapshot_filter
 from ..sources.schema import BLOCK, DATE
 from .catalog import CUTS, CutSpec

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fits_broadcast
 from .schema import BLOCK
 
 
@@ -21,15 +22,17 @@ def enrich_with_census(households: DataFrame, attributes: DataFrame, on: str = B
     """Left join of households to one attribute row per block group.
 
     Raises ``DuplicateKeyError`` when ``attributes`` repeats a key, since a
-    repeated key would silently multiply households. The check is one
-    aggregate job that returns at most one row to the driver. The join is
-    left to the planner: the attribute table is block-grain (bounded by the
-    number of block groups), so Spark broadcasts it when its measured size is
-    under the broadcast threshold and otherwise shuffles, with AQE splitting
-    a skewed block's partition. Households with a NULL block group bypass
-    the join and get NULL attributes.
+    repeated key would silently multiply households. One aggregate job over
+    the attribute table returns two numbers: the largest rows-per-key (the
+    duplicate check) and the number of keys. Up to the broadcast bound the
+    table is broadcast and joined where the households are read; beyond it
+    the join shuffles both sides, with AQE splitting a hot block's
+    partition. Households with a NULL block group bypass the join and get
+    NULL attributes.
     """
-    if duplicate_keys(attributes, on).take(1):
+    per_key = attributes.groupBy(on).count()
+    most, keys = per_key.agg(F.max("count"), F.count(F.lit(1))).first()
+    if most is not None and most > 1:
         raise DuplicateKeyError(f"attribute table repeats {on} values")
     overlap = (set(households.columns) & set(attributes.columns)) - {on}
     if overlap:
@@ -37,7 +40,8 @@ def enrich_with_census(households: DataFrame, attributes: DataFrame, on: str = B
     # Households without a block group can never match. Kept out of the join,
     # they are not shuffled at all: in a shuffled join every NULL key would
     # land in one reducer, and ungeocoded households can be a large share.
-    keyed = households.where(F.col(on).isNotNull()).join(attributes, on, "left")
+    side = F.broadcast(attributes) if fits_broadcast(keys) else attributes
+    keyed = households.where(F.col(on).isNotNull()).join(side, on, "left")
     no_block = households.where(F.col(on).isNull()).select(
         *households.columns,
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in attributes.schema.fields if f.name != on],

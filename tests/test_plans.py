@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from conftest import CUR, PRI
-from segmetrics.operators import blocks
+from segmetrics import session
 from segmetrics.operators.blocks import block_bulk_status
 from segmetrics.plans.catalog import QUERIES
 from segmetrics.sources.household import read_household_history, write_household_history
@@ -51,7 +51,7 @@ def test_block_status_reads_full_history_only_block_and_flag(table):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_block_bulk_cut_prunes_snapshots_and_joins_block_grain(table, broadcast, monkeypatch):
     if not broadcast:
-        monkeypatch.setattr(blocks, "BROADCAST_MAX_ROWS", 0)
+        monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 0)
     text = plan(QUERIES["cut_block_bulk"](table, SNAPS))
     household_scans = [s for s in scans(text) if "household_daily_history" in s]
     assert len(household_scans) == 1 and "PartitionFilters: []" not in household_scans[0]

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 
 from conftest import CUR, OLD, PRI
-from segmetrics.operators import blocks
+from segmetrics import session
 from segmetrics.oracle import WORKBENCH_BODIES
 from segmetrics.plans.catalog import CUTS, QUERIES
 from segmetrics.plans.workbench import penetration_workbench
@@ -97,7 +97,7 @@ def test_statement_matches_oracle_on_random_rows(tables, key):
 def test_workbench_matches_direct_on_random_rows(tables, broadcast, monkeypatch):
     df, _ = tables
     if not broadcast:
-        monkeypatch.setattr(blocks, "BROADCAST_MAX_ROWS", 0)
+        monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 0)
     rolled = penetration_workbench(df, SNAPS)
     for spec in CUTS:
         a = sorted(map(tuple, rolled[spec.key].collect()), key=repr)
