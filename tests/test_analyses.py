@@ -203,3 +203,20 @@ def test_enrichment_keeps_households_without_census(spark):
     acs = spark.createDataFrame([("A", 7)], "CENSUS_BLOCK_GROUP string, TOTAL_FAMILIES int")
     got = {r["CENSUS_BLOCK_GROUP"]: r["TOTAL_FAMILIES"] for r in enrich_with_census(households, acs).collect()}
     assert got == {"A": 7, "B": None, None: None}
+
+
+def test_enrichment_broadcast_and_shuffled_paths_agree(spark, hh, monkeypatch):
+    from segmetrics import session
+
+    acs = (
+        hh.where(F.col("DAILY_TIME_KEY") == F.lit(CUR))
+        .where(F.col("CENSUS_BLOCK_GROUP").isNotNull())
+        .select("CENSUS_BLOCK_GROUP", *DEMOGRAPHIC_COLUMNS)
+        .distinct()
+    )
+    households = hh.select("DAILY_TIME_KEY", "CENSUS_BLOCK_GROUP", "CUSTOMER_FLAG")
+    broadcast = sorted(map(tuple, enrich_with_census(households, acs).collect()), key=repr)
+    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 0)
+    shuffled = enrich_with_census(households, acs)
+    assert sorted(map(tuple, shuffled.collect()), key=repr) == broadcast
+    assert len(broadcast) == hh.count()
