@@ -65,3 +65,15 @@ def test_daily_job_chain(spark, hh, tmp_path):
     export_csv(pull, f"{out}/pull_csv")
     assert spark.read.parquet(f"{out}/correlation").count() == 55 * 54 // 2
     assert spark.read.option("header", True).csv(f"{out}/pull_csv").count() == pull.count()
+
+
+def test_rerun_without_new_files_changes_nothing(spark, hh, tmp_path):
+    landing, table, ckpt = str(tmp_path / "landing"), str(tmp_path / "status"), str(tmp_path / "ckpt")
+    for day in (OLD, PRI, CUR):
+        _land_day(hh, landing, day)
+    refresh_block_bulk(household_stream(spark, landing), table, ckpt)
+    before = _status(block_bulk_table(spark, table))
+    versions = spark.read.parquet(table).select("epoch").distinct().count()
+    refresh_block_bulk(household_stream(spark, landing), table, ckpt)  # a retried daily run
+    assert _status(block_bulk_table(spark, table)) == before
+    assert spark.read.parquet(table).select("epoch").distinct().count() == versions
