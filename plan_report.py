@@ -14,6 +14,7 @@ import re
 import sys
 import tempfile
 
+from segmetrics.plans.analyses import ANALYSES
 from segmetrics.plans.catalog import QUERIES
 from segmetrics.plans.workbench import segment_cube
 from segmetrics.session import local_session
@@ -70,6 +71,19 @@ def main(argv: list[str]) -> None:
             f"| {k} | {f['scans']} | {f['pruned']} | {f['pushed']} | {f['cols']} | {f['shuffles']} "
             f"| {f['broadcasts']} | {f['joins']} | {f['python']} |"
         )
+    print("\n## Follow-up analyses\n")
+    print("Same facts for the analyses. Several of them first write an intermediate table (block status,")
+    print("segment cube, stacked cuts, pull) to the checkpoint folder; the plan below is the final query")
+    print("over those tables, so its scans include them. *python* is `yes` where the statistics run numpy")
+    print("inside `mapInPandas`.\n")
+    print("| analysis | scans | pruned | pushed | cols | shuffles | broadcasts | joins | python |")
+    print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
+    for k, q in ANALYSES.items():
+        f = facts(q(table, SNAPSHOTS))
+        print(
+            f"| {k} | {f['scans']} | {f['pruned']} | {f['pushed']} | {f['cols']} | {f['shuffles']} "
+            f"| {f['broadcasts']} | {f['joins']} | {f['python']} |"
+        )
     print("\n## Final plans of four representative queries\n")
     print("`*(n)` marks operators compiled into whole-stage-codegen stage n; long lines are cut at 150 characters.")
     samples = {
