@@ -175,7 +175,7 @@ def windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
     starts = materialize(starts, "window-hits")
     text = F.col("text")
     rows = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("print"), F.crc32(text.cast("binary")).alias("check"), text)
-    texts = rows.join(starts, ["print", "check"]).groupBy("print", "check").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
+    texts = rows.join(starts.hint("merge"), ["print", "check"]).groupBy("print", "check").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
     texts = texts.select("print", "check", "hits", words_of(text).alias("words"))
     texts = materialize(texts.select("*", shingle_array(F.col("words")).alias("shingles")), "window-texts")
     n = F.size("words")

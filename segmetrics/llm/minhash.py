@@ -1,11 +1,13 @@
 """MinHash near-duplicates, with odd sketches to check banded candidates.
 
 1. Every whole text becomes its set of word shingles (64-bit hashes),
-   ``BANDS * ROWS`` MinHash samples, and an odd sketch: each sample flips one
+   ``BANDS * ROWS`` MinHash samples, and an odd sketch of them: each sample flips one
    bit of a 512-bit map, so that the XOR of two sketches has a bit for each
    position flipped by an odd number of samples that differ. Its population
    count estimates the share of differing samples, most precisely for high
-   similarities, from 64 bytes instead of the samples.
+   similarities, from 64 bytes instead of the samples. A second odd sketch folds
+   the whole set (1024 bits); its XOR counts at most the symmetric difference,
+   so it turns away pairs just below the threshold and never a link.
 2. Documents with equal sets are one class; its smallest id represents it.
    ``ROWS`` samples make a band; classes that share a band are candidates. A
    pair of similarity 0.8 shares none of 30 bands of 4 rows with probability
@@ -18,8 +20,8 @@
    is either inside one component or was compared: no cap, and no link lost
    to a large band.
 
-The sketch test never decides that two documents are linked, and turns away a
-pair at the threshold with probability below 1e-8 (``sketch_limit``).
+Sketches never decide that two documents are linked; that of the samples turns
+away a pair at the threshold with probability below 1e-8 (``sketch_limit``).
 
 Defined results: a null or wordless text has an empty set and is linked with
 nothing; a text with fewer words than a shingle has its whole word sequence
@@ -43,6 +45,7 @@ BANDS, ROWS = 30, 4
 SAMPLES = BANDS * ROWS
 SKETCH_LONGS = 8
 SKETCH_BITS = 64 * SKETCH_LONGS
+PARITY_LONGS = 16
 _WORD_CACHE = 400_000
 
 # Multipliers and offsets of the sample hashes, from a fixed seed.
@@ -111,6 +114,13 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def set_parity(shingles: np.ndarray) -> np.ndarray:
+    """Odd sketch of the whole set: parities of the positions that its shingles hash to."""
+    at = (_mix(shingles ^ _PLUS[0]) % np.uint64(64 * PARITY_LONGS)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * PARITY_LONGS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def sketch_limit(threshold: float, miss: float = 1e-8) -> int:
     """Most differing sketch bits that a pair at ``threshold`` can show, but for a chance of ``miss``.
 
@@ -127,23 +137,24 @@ def sketch_limit(threshold: float, miss: float = 1e-8) -> int:
 
 
 def signatures(text: str | Column, words_each: int) -> Column:
-    """Struct: set size, 128-bit key of the set, band keys and odd sketch (null where the set is empty)."""
+    """Struct: set size, 128-bit key of the set, band keys and odd sketches (null where the set is empty)."""
 
-    @F.arrow_udf("n long, set_key binary, bands array<long>, sketch array<long>")
+    @F.arrow_udf("n long, set_key binary, bands array<long>, sketch array<long>, parity array<long>")
     def sign(texts: pa.Array) -> pa.Array:
-        sizes, keys, bands, sketches = [], [], [], []
+        sizes, keys, bands, sketches, parities = [], [], [], [], []
         for t in texts:
             shingles = shingle_set(t.as_py(), words_each)
             sizes.append(len(shingles))
             if not len(shingles):
-                keys.append(None), bands.append(None), sketches.append(None)
+                keys.append(None), bands.append(None), sketches.append(None), parities.append(None)
                 continue
             low = minhashes(shingles)
             keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
             bands.append(band_keys(low))
             sketches.append(odd_sketch(low))
+            parities.append(set_parity(shingles))
         longs = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)], ["n", "set_key", "bands", "sketch"])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs), pa.array(parities, longs)], ["n", "set_key", "bands", "sketch", "parity"])
 
     return sign(F.col(text) if isinstance(text, str) else text)
 
@@ -158,22 +169,33 @@ def shingle_sets(text: str | Column, words_each: int) -> Column:
     return sets(F.col(text) if isinstance(text, str) else text)
 
 
+def _differing(name: str, longs: int) -> Column:
+    """Population count of the XOR of both sides' bitmaps."""
+    each = [F.bit_count(F.get(f"{name}_a", F.lit(i)).bitwiseXOR(F.get(f"{name}_b", F.lit(i)))) for i in range(longs)]
+    return sum(each[1:], each[0])
+
+
 def _may_link(percent: int) -> Column:
-    """Whether sketches and set sizes of both sides allow the threshold."""
-    differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(1, SKETCH_LONGS)), F.bit_count(F.col("sketch_a")[0].bitwiseXOR(F.col("sketch_b")[0])))
+    """Whether sizes and odd sketches of both sides allow the threshold.
+
+    Whole-set sketches: with S the sum of the sizes and D the size of the
+    symmetric difference, a link is D * (100 + percent) <= S * (100 - percent);
+    differing positions never exceed D, so this test turns away no link.
+    """
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return sizes & (differ <= sketch_limit(percent / 100))
+    samples = _differing("sketch", SKETCH_LONGS) <= sketch_limit(percent / 100)
+    whole = _differing("parity", PARITY_LONGS) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return sizes & samples & whole
 
 
-def _side(nodes: DataFrame, side: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+def _side_columns(side: str) -> list[Column]:
+    return [F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "sketch", "parity")]]
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = materialize(texts.join(ids, "node", "left_semi").select("node", shingle_sets("text", words_each).alias("set")), "shingle-sets")
-    sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on the full sets (node, set)."""
+    # Merge joins at every size: the sets grow with the corpus.
+    sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b")
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     return sides.where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent).select("a", "b")
 
@@ -188,16 +210,21 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, id_
     # stands for several sets (rows that share an id) links those classes.
     classes = materialize(with_id.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     nodes = materialize(
-        with_id.withColumnRenamed("doc_id", "node").join(classes, ["set_key", "node"], "left_semi").dropDuplicates(["set_key", "node"]).select("node", "n", "bands", "sketch"), "class-signatures"
+        with_id.withColumnRenamed("doc_id", "node").join(classes, ["set_key", "node"], "left_semi").dropDuplicates(["set_key", "node"]).select("node", "n", "bands", "sketch", "parity"), "class-signatures"
     )
     bands = nodes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("band", "first")
-    members = materialize(bands.join(shared, "band"), "band-members")
+    members = materialize(bands.join(shared.hint("merge"), "band"), "band-members")
 
-    texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node")
+    # Candidate pairs that the sketches allow: first each member with the first of
+    # its band, then, once those links are contracted, the members still apart.
     stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(_side(nodes, "b"), "b").join(_side(nodes, "a"), "a").where(_may_link(percent)).select("a", "b").distinct()
-    links = materialize(confirmed(materialize(stars, "star-pairs"), texts, words_each, percent), "links")
+    stars = stars.join(nodes.select(*_side_columns("b")), "b").join(nodes.select(*_side_columns("a")), "a").where(_may_link(percent))
+    stars = materialize(stars.select("a", "b").distinct(), "star-pairs")
+    texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node")
+    banded = members.select("node").distinct()
+    sets = materialize(texts.join(banded.hint("merge"), "node", "left_semi").select("node", shingle_sets("text", words_each).alias("set")), "shingle-sets")
+    links = materialize(confirmed(stars, sets, percent), "links")
 
     same_id = with_id.select("doc_id", "set_key").distinct().join(classes, "set_key").where("doc_id <> node").select(F.col("doc_id").alias("b"), F.col("node").alias("a"))
     reached = materialize(components(links), "components")
@@ -205,12 +232,12 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, id_
     # Band members that are still apart after the stars: pair them up.
     labelled = members.select("band", "node").join(reached, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     apart = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = materialize(labelled.join(apart, "band", "left_semi").join(nodes.select("node", "n", "sketch"), "node"), "members-apart")
+    rest = materialize(labelled.join(apart, "band", "left_semi").join(nodes.select("node", "n", "sketch", "parity"), "node"), "members-apart")
     one = rest.select("band", F.col("component").alias("component_a"), *_side_columns("a"))
     two = rest.select("band", F.col("component").alias("component_b"), *_side_columns("b"))
     cross = one.join(two, "band").where((F.col("component_a") != F.col("component_b")) & (F.col("a") < F.col("b")) & _may_link(percent)).select("a", "b").distinct()
     cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
-    more = confirmed(cross, texts, words_each, percent)
+    more = confirmed(cross, sets, percent)
 
     linked = components(links.select("a", "b").union(more).union(same_id.select("a", "b")))
     whole = signed.join(classes, "set_key", "left").join(linked, signed["doc_id"] == linked["node"], "left")
@@ -218,10 +245,6 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, id_
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _side_columns(side: str) -> list[Column]:
-    return [F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")]
-
-
 def keep_one_each(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stays: the smallest id of each group, and all unlinked ones."""
     gone = materialize(near_duplicates(docs, words_each, percent).where("NOT kept").select("doc_id").distinct(), "near-copies")
