@@ -1,13 +1,10 @@
 """Block-group operators: bulk presence, block summary, wide demographic pull.
 
-``cut_block_bulk`` is the only query that reads the whole history. Its block
-status table has one row per block group. It is written once to the
-checkpoint folder and counted: up to ``session.BROADCAST_MAX_ROWS`` rows it
-is broadcast to every task and joined to the household rows where they are
-read, so the only shuffle carries (status, date) partial counts. Beyond that
-bound, both sides are first reduced to block grain by partial aggregation
-and joined on the block key. Neither path shuffles household rows, and a hot
-block cannot skew either.
+``cut_block_bulk`` is the only query that reads the whole history. Both sides
+(the status over the history, the households of the snapshots) are first
+reduced to block grain by partial aggregation and then joined on the block
+key, in one lazy job and by one plan at every size. No household row is
+shuffled, and a hot block is one row per task.
 """
 
 from __future__ import annotations
@@ -19,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.dimensions import BLOCK_BULK_LABELS
 from ..functions.measures import customers, flag_eq_1, households, key_gt_0, ratio
-from ..session import broadcastable, materialize
 from ..sources.household import Snapshot, snapshot_filter
 from ..sources.schema import (
     BLOCK,
@@ -65,25 +61,12 @@ def cut_block_bulk(
     """Penetration of households in blocks with / without any bulk household.
 
     ``status`` defaults to ``block_bulk_status(df)`` over the full history of
-    ``df``, written to the checkpoint folder; pass a persisted status table
-    (e.g. the streaming one) to skip that scan. Output: ``block_bulk_status,
+    ``df``; pass a persisted status table (e.g. the streaming one) to skip
+    that scan. Output: ``block_bulk_status,
     DAILY_TIME_KEY, customer_count, total_households, penetration_rate``.
     """
-    status = materialize(block_bulk_status(df), "block_bulk_status") if status is None else status
+    status = block_bulk_status(df) if status is None else status
     rows = df.where(snapshot_filter(df, snapshots) & F.col(BLOCK).isNotNull())
-    if broadcastable(status):
-        counted = (
-            rows.join(F.broadcast(status), BLOCK, "inner")
-            .groupBy("block_bulk_status", DATE)
-            .agg(customers(flag_eq_1()).alias(measures.customers), households().alias(measures.households))
-        )
-        return counted.select(
-            "block_bulk_status",
-            DATE,
-            measures.customers,
-            measures.households,
-            ratio(measures.customers, measures.households).alias(measures.penetration),
-        )
     per_block = (
         rows.groupBy(BLOCK, DATE)
         .agg(households().alias("_hh"), customers(flag_eq_1()).alias("_cc"))

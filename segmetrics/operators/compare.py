@@ -13,12 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dimensions import BLOCK_BULK
 from ..functions.measures import ratio
 from ..plans.catalog import CUTS, CutSpec
-from ..plans.workbench import segment_cube, stacked_rollup
-from ..session import materialize
-from ..sources.household import Snapshot, _as_date
+from ..plans.workbench import stacked_cuts
+from ..sources.household import Snapshot, snapshot_literals
 from ..sources.schema import DATE
+from .blocks import cut_block_bulk
 from .penetration import CANONICAL, Measures
 
 SINGLE_CUTS: tuple[CutSpec, ...] = tuple(c for c in CUTS if len(c.dims) == 1)
@@ -42,13 +43,18 @@ def to_long(cut: DataFrame, spec: CutSpec) -> DataFrame:
 def all_cuts_long(df: DataFrame, snapshots: Sequence[Snapshot], status: DataFrame | None = None) -> DataFrame:
     """The nine single cuts stacked in long form.
 
-    Built from one checkpointed segment cube, so the snapshots and the
-    history are each scanned once for all nine, and one aggregation over the
-    fanned-out cube sums all nine cuts (``stacked_rollup``).
+    The eight cuts by household labels come from one scan of the snapshots
+    and one aggregation; the block-bulk cut, which needs the history, is
+    added. Lazy: no job runs before an action.
     """
-    cube = materialize(segment_cube(df, snapshots, status), "segment_cube")
-    stacked = stacked_rollup(cube, SINGLE_CUTS, [spec.dims[0].name for spec in SINGLE_CUTS])
-    return stacked.select(F.col("tag").alias("dimension"), F.col("bucket_a").alias("bucket"), *LONG_COLUMNS[2:])
+    direct = [spec for spec in SINGLE_CUTS if BLOCK_BULK not in spec.dims]
+    stacked = stacked_cuts(df, snapshots, direct, [spec.dims[0].name for spec in direct])
+    long = stacked.select(F.col("tag").alias("dimension"), F.col("bucket_a").alias("bucket"), *LONG_COLUMNS[2:])
+    for spec in SINGLE_CUTS:
+        if BLOCK_BULK in spec.dims:
+            cut = cut_block_bulk(df, snapshots, status, spec.measures)
+            long = long.unionByName(to_long(cut, spec))
+    return long
 
 
 def yoy_change(
@@ -64,7 +70,7 @@ def yoy_change(
     segment keys, no self-join). A segment seen on one date only has NULLs
     for the other and a NULL change.
     """
-    cur, pri = _as_date(current), _as_date(prior)
+    cur, pri = snapshot_literals(cut, [current, prior])
     is_cur = F.col(DATE) == F.lit(cur)
     is_pri = F.col(DATE) == F.lit(pri)
 
@@ -141,18 +147,17 @@ CROSS_TABS: tuple[CutSpec, ...] = tuple(c for c in CUTS if len(c.dims) == 2)
 XTAB_LONG = Measures("households", "customers", "penetration_rate")
 
 
-def all_interactions(df: DataFrame, snapshots: Sequence[Snapshot], status: DataFrame | None = None) -> DataFrame:
-    """Interaction effects of all 18 cross-tabs, stacked, from one cube.
+def all_interactions(
+    df: DataFrame, snapshots: Sequence[Snapshot], specs: Sequence[CutSpec] = CROSS_TABS
+) -> DataFrame:
+    """Interaction effects of all 18 cross-tabs (or of ``specs``), stacked.
 
     Output ``cross_tab, bucket_a, bucket_b, DAILY_TIME_KEY, households,
     customers, penetration_rate, penetration_a, penetration_b,
-    penetration_all, interaction``. One scan of the snapshots (and one of the
-    history) and one aggregation serve all 18 instead of 18 separate scans.
+    penetration_all, interaction``. One scan of the snapshots and one
+    aggregation serve all 18; the history is not read.
     """
-    cube = materialize(segment_cube(df, snapshots, status), "segment_cube")
-    stacked = stacked_rollup(cube, CROSS_TABS, [spec.key for spec in CROSS_TABS]).withColumnRenamed(
-        "tag", "cross_tab"
-    )
+    stacked = stacked_cuts(df, snapshots, specs, [spec.key for spec in specs]).withColumnRenamed("tag", "cross_tab")
     return interaction_effect(stacked, "bucket_a", "bucket_b", XTAB_LONG, by=["cross_tab"])
 
 

@@ -1,32 +1,23 @@
 """Correlation, predictor ranking and univariate regression over the pull.
 
 Inputs are rows of the wide demographic pull (one per block-group version).
-All three statistics come from the same per-pair moments over
-pairwise-complete rows (both columns known):
-
-    n, sums of (x-kx), (y-ky), (x-kx)², (y-ky)², (x-kx)(y-ky), min/max x, min/max y
-
-Each task turns its rows into those moments for **all** pairs at once with
-numpy matrix products (an ``n x C`` block in, ``C x C`` matrices out);
-Spark then adds up the per-task moments with one ``groupBy(pair)`` of sums,
-mins and maxes. The plan stays three operators wide whatever the number of
-columns, no pair of rows meets, and each task emits one row per column pair.
-The shifts ``kx`` are the columns' global means (one small aggregate), which
-keeps the sums free of cancellation.
+Every row is fanned out to its column pairs, and Spark's central-moment
+aggregates (``covar_pop``, ``var_pop``, ``avg``) run over the
+pairwise-complete rows (both columns known), with partial aggregation: a
+task emits one row per column pair. They update means and co-moments
+together, so a subset far from a column's overall mean loses no digits.
 
 A statistic is NULL when it is undefined: fewer than two distinct x (or y)
-values among the complete rows. The test is ``min < max`` -- exact, unlike a
-variance that carries rounding noise. NaN counts as missing, like NULL.
-Results are rounded to 9 decimals.
+values among the complete rows. The test is ``min < max``, exact unlike a
+variance that carries rounding noise; ``try_divide`` covers variances that
+underflow. NaN counts as missing, like NULL. Results are rounded to 9 decimals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import DEMOGRAPHIC_COLUMNS
@@ -34,122 +25,58 @@ from ..sources.schema import DEMOGRAPHIC_COLUMNS
 TARGET = "penetration"
 DIGITS = 9
 
-MOMENTS_SCHEMA = (
-    "i int, j int, n long, sx double, sy double, sxx double, syy double, sxy double, "
-    "min_x double, max_x double, min_y double, max_y double"
-)
-
-
-def _moments_of_partition(pairs: np.ndarray, shift: np.ndarray):
-    """mapInPandas body: accumulate the partition, emit one row per pair."""
-    pi, pj = pairs[:, 0], pairs[:, 1]
-    c = len(shift)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros((c, c))
-        s = np.zeros((c, c))  # s[a, b]  = sum of (x_a - k_a) over rows where a and b are known
-        q = np.zeros((c, c))  # q[a, b]  = sum of (x_a - k_a)^2 over the same rows
-        p = np.zeros((c, c))  # p[a, b]  = sum of (x_a - k_a)(x_b - k_b)
-        lo = np.full((c, c), np.inf)  # lo[a, b] = min of x_a over rows where b is known
-        hi = np.full((c, c), -np.inf)
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
-            known = ~np.isnan(x)
-            m = known.astype(np.float64)
-            z = np.where(known, x - shift, 0.0)
-            n += m.T @ m
-            s += z.T @ m
-            q += (z * z).T @ m
-            p += z.T @ z
-            low = np.where(known, x, np.inf)
-            high = np.where(known, x, -np.inf)
-            for b in range(c):
-                rows = known[:, b]
-                if rows.any():
-                    lo[:, b] = np.minimum(lo[:, b], low[rows].min(axis=0))
-                    hi[:, b] = np.maximum(hi[:, b], high[rows].max(axis=0))
-        yield pd.DataFrame(
-            {
-                "i": pi.astype(np.int32),
-                "j": pj.astype(np.int32),
-                "n": n[pi, pj].astype(np.int64),
-                "sx": s[pi, pj],
-                "sy": s[pj, pi],
-                "sxx": q[pi, pj],
-                "syy": q[pj, pi],
-                "sxy": p[pi, pj],
-                "min_x": lo[pi, pj],
-                "max_x": hi[pi, pj],
-                "min_y": lo[pj, pi],
-                "max_y": hi[pj, pi],
-            }
-        )
-
-    return run
-
-
-def pair_moments(pull: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pairwise-complete moments for ``pairs`` of ``columns``.
-
-    Output ``col_a, col_b, n, kx, ky, sx, sy, sxx, syy, sxy, min_x, max_x,
-    min_y, max_y`` with sums of values shifted by ``kx`` / ``ky``.
+
+
+def _pairwise(pull: DataFrame, columns: Sequence[str], target_only: bool) -> DataFrame:
+    """(i, j, x, y) for every row and column pair i < j; only j = last with ``target_only``."""
+    missing = F.lit(None).cast("double")
+    values = pull.select(F.array(*[F.nanvl(F.col(c).cast("double"), missing) for c in columns]).alias("v"))
+    last = len(columns) - 1
+    if target_only:
+        y = F.get("v", F.lit(last)).alias("y")
+        return values.select(F.posexplode(F.slice("v", 1, last)).alias("i", "x"), F.lit(last).alias("j"), y)
+    first = values.select("v", F.posexplode("v").alias("i", "x")).where(F.col("i") < last)
+    rest = F.slice("v", F.col("i") + 2, F.lit(last) - F.col("i"))
+    second = first.select("i", "x", F.posexplode(rest).alias("k", "y"))
+    return second.select("i", "x", (F.col("i") + F.col("k") + 1).alias("j"), "y")
+
+
+def pair_fits(pull: DataFrame, columns: Sequence[str], target_only: bool = False) -> DataFrame:
+    """``col_a, col_b, n, r, slope, intercept`` of every column pair (b on a).
+
+    All pairs are listed, also those without a complete row (n = 0).
     """
     cols = list(columns)
-    # NaN counts as missing, like NULL (Arrow hands both to numpy as NaN).
-    missing = F.lit(None).cast("double")
-    numeric = pull.select(*[F.nanvl(F.col(c).cast("double"), missing).alias(c) for c in cols])
-    means = numeric.agg(*[F.avg(c) for c in cols]).first()
-    shift = np.array([0.0 if v is None else float(v) for v in means])
-    index = np.array([(cols.index(a), cols.index(b)) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
-    partial = numeric.mapInPandas(_moments_of_partition(index, shift), MOMENTS_SCHEMA)
-    total = partial.groupBy("i", "j").agg(
-        F.sum("n").alias("n"),
-        *[F.sum(k).alias(k) for k in ("sx", "sy", "sxx", "syy", "sxy")],
-        F.min("min_x").alias("min_x"),
-        F.max("max_x").alias("max_x"),
-        F.min("min_y").alias("min_y"),
-        F.max("max_y").alias("max_y"),
+    rows = _pairwise(pull, cols, target_only)
+    complete = F.col("x").isNotNull() & F.col("y").isNotNull()
+    x, y = F.when(complete, F.col("x")), F.when(complete, F.col("y"))
+    fits = rows.groupBy("i", "j").agg(
+        F.count(x).alias("n"),
+        F.covar_pop(x, y).alias("cov"),
+        F.var_pop(x).alias("vx"),
+        F.var_pop(y).alias("vy"),
+        F.avg(x).alias("mx"),
+        F.avg(y).alias("my"),
+        (F.min(x) < F.max(x)).alias("x_varies"),
+        (F.min(y) < F.max(y)).alias("y_varies"),
     )
-    names = F.array(*[F.lit(c) for c in cols])
-    shifts = F.array(*[F.lit(float(v)) for v in shift])
-    return total.select(
-        F.element_at(names, F.col("i") + 1).alias("col_a"),
-        F.element_at(names, F.col("j") + 1).alias("col_b"),
+    r = F.try_divide(F.col("cov"), F.sqrt("vx") * F.sqrt("vy"))
+    slope = F.try_divide(F.col("cov"), F.col("vx"))
+    one = F.lit(1.0)
+    fits = fits.select(
+        "i",
+        "j",
         "n",
-        F.element_at(shifts, F.col("i") + 1).alias("kx"),
-        F.element_at(shifts, F.col("j") + 1).alias("ky"),
-        "sx",
-        "sy",
-        "sxx",
-        "syy",
-        "sxy",
-        "min_x",
-        "max_x",
-        "min_y",
-        "max_y",
+        F.when(F.col("x_varies") & F.col("y_varies") & r.isNotNull(), F.round(F.greatest(-one, F.least(one, r)), DIGITS)).alias("r"),
+        F.when(F.col("x_varies"), F.round(slope, DIGITS)).alias("slope"),
+        F.when(F.col("x_varies"), F.round(F.col("my") - slope * F.col("mx"), DIGITS)).alias("intercept"),
+    )
+    last = len(cols) - 1
+    pairs = [(i, j, cols[i], cols[j]) for i in range(last) for j in ([last] if target_only else range(i + 1, last + 1))]
+    listed = pull.sparkSession.createDataFrame(pairs, "i int, j int, col_a string, col_b string")
+    return listed.join(fits, ["i", "j"], "left").select(
+        "col_a", "col_b", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "r", "slope", "intercept"
     )
-
-
-def _defined(lo: str, hi: str) -> Column:
-    return F.col(lo) < F.col(hi)
-
-
-def _fit_columns() -> dict[str, Column]:
-    """Population covariance, variances, means and r from the moments."""
-    n = F.col("n").cast("double")
-    mx, my = F.col("sx") / n, F.col("sy") / n
-    cov = F.col("sxy") / n - mx * my
-    vx = F.col("sxx") / n - mx * mx
-    vy = F.col("syy") / n - my * my
-    varies_x, varies_y = _defined("min_x", "max_x"), _defined("min_y", "max_y")
-    r = F.when(varies_x & varies_y, F.round(cov / F.sqrt(vx * vy), DIGITS))
-    slope = cov / vx
-    intercept = (F.col("ky") + my) - slope * (F.col("kx") + mx)
-    return {
-        "r": r,
-        "slope": F.when(varies_x, F.round(slope, DIGITS)),
-        "intercept": F.when(varies_x, F.round(intercept, DIGITS)),
-    }
 
 
 def demographic_correlation(
@@ -159,23 +86,14 @@ def demographic_correlation(
 
     Output ``col_a, col_b, n, r``.
     """
-    cols = list(columns)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    fit = _fit_columns()
-    return pair_moments(pull, cols, pairs).select("col_a", "col_b", "n", fit["r"].alias("r"))
+    return pair_fits(pull, columns).select("col_a", "col_b", "n", "r")
 
 
 def _against_target(pull: DataFrame, columns: Sequence[str]) -> DataFrame:
-    cols = [*columns, TARGET]
-    fit = _fit_columns()
-    m = pair_moments(pull, cols, [(c, TARGET) for c in columns])
-    return m.select(
-        F.col("col_a").alias("column"),
-        "n",
-        fit["r"].alias("r"),
-        fit["slope"].alias("slope"),
-        fit["intercept"].alias("intercept"),
-    ).withColumn("r_squared", F.round(F.col("r") * F.col("r"), DIGITS))
+    fits = pair_fits(pull, [*columns, TARGET], target_only=True)
+    return fits.select(F.col("col_a").alias("column"), "n", "r", "slope", "intercept").withColumn(
+        "r_squared", F.round(F.col("r") * F.col("r"), DIGITS)
+    )
 
 
 def predictor_ranking(pull: DataFrame, columns: Sequence[str] = DEMOGRAPHIC_COLUMNS) -> DataFrame:

@@ -311,7 +311,7 @@ _R = (
     "THEN ROUND(COVAR_POP(a.val, b.val) / SQRT(VAR_POP(a.val) * VAR_POP(b.val)), 9) END"
 )
 _STATS_PREFIX = (
-    f"pull AS (SELECT ROW_NUMBER() OVER () AS rid, * FROM ({DEMOGRAPHIC_PULL}) p),\n"
+    f"pull AS MATERIALIZED (SELECT ROW_NUMBER() OVER () AS rid, * FROM ({DEMOGRAPHIC_PULL}) p),\n"
     f"pl AS ({_PULL_LONG}),\n"
     f"cols AS ({_COLS}),\n"
     f"pair_stats AS (\n  SELECT a.pos AS pa, b.pos AS pb, COUNT(*) AS n, {_R} AS r,\n"

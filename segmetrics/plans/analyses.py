@@ -26,7 +26,6 @@ from ..operators.compare import (
 )
 from ..operators.penetration import Measures, penetration_by
 from ..operators.stats import demographic_correlation, predictor_ranking, univariate_regression
-from ..session import materialize
 from ..sources.census import enrich_with_census
 from ..sources.household import Snapshot, snapshot_literals
 from ..sources.schema import BLOCK, BULK, CUSTOMER_FLAG, CUSTOMER_KEY, DATE, DEMOGRAPHIC_COLUMNS, DWELLING
@@ -64,8 +63,7 @@ def kids_in_percent(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
 
 
 def _pull(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
-    # Several aggregation passes read the pull: checkpoint it once.
-    return materialize(demographic_pull(df, snapshots), "demographic_pull")
+    return demographic_pull(df, snapshots)
 
 
 def correlation_matrix(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
@@ -94,7 +92,7 @@ def enriched_labor_cut(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFram
         .distinct()
     )
     households = df.select(DATE, BLOCK, DWELLING, BULK, CUSTOMER_KEY, CUSTOMER_FLAG)
-    return CUTS_BY_KEY["cut_labor"].run(enrich_with_census(households, acs), snapshots)
+    return CUTS_BY_KEY["cut_labor"].run(enrich_with_census(households, acs, check_keys=False), snapshots)
 
 
 AGE_DECADE = custom_dimension(

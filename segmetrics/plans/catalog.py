@@ -27,6 +27,7 @@ from ..functions.dimensions import (
     OWNERSHIP,
     TRANSPORT,
     Dimension,
+    all_of,
     guard_names,
     row_guard,
 )
@@ -78,7 +79,7 @@ class CutSpec:
             df,
             self.dims,
             snapshots,
-            guard=row_guard(self.guard_list),
+            guard=all_of([row_guard(self.guard_list), *[d.extra_guard_fn() for d in self.dims if d.extra_guard_fn]]),
             measures=self.measures,
             columns=self.columns,
             order_by=self.order_by or None,

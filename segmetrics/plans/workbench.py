@@ -10,16 +10,13 @@ Plan at scale:
 
 1. scan the two snapshot partitions once, reading only label and guard
    inputs;
-2. scan the full history for ``MAX(BULK_FLG)`` per block (partial aggregate)
-   and write that block status table to the checkpoint folder;
-3. if the status table has at most ``BROADCAST_MAX_ROWS`` rows (counted, not
-   estimated), broadcast it and label the household rows where they are
-   read, so the cube's aggregate shuffles only partial counts per label
-   combination; otherwise partial-aggregate the snapshots to block grain and
-   join the two block-grain tables on the block key;
-4. the cube has at most one row per combination of labels and bits per
-   date -- a bound set by the label vocabularies, not by the data -- and is
-   checkpointed to the shared checkpoint folder;
+2. scan the full history for ``MAX(BULK_FLG)`` per block (partial aggregate),
+   only if the block-bulk cut is among the cuts;
+3. reduce the snapshots to block grain by a partial aggregate and join the
+   two block-grain tables on the block key (no such join without that cut);
+4. the cube has at most one row per combination of labels and bits per date
+   that occurs (it still grows with the data until all of them have) and is
+   written to the shared checkpoint folder, as two steps read it;
 5. one more aggregation sums every cut at once over the cube fanned out to
    the cuts each row qualifies for; each of the 27 results is a filter of
    that (checkpointed) table.
@@ -35,88 +32,129 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dimensions import (
-    BULK_DIM,
-    DWELLING_DIM,
-    FAMILY_MIX,
-    KIDS,
-    KIDS_GROUP,
-    LABOR,
-    OWNERSHIP,
-    ROW_GUARDS,
-    TRANSPORT,
-    all_of,
-    not_null,
-)
+from ..functions.dimensions import BLOCK_BULK, ROW_GUARDS, Dimension, all_of, not_null
 from ..functions.measures import customers, flag_eq_1, households, ratio
 from ..operators.blocks import block_bulk_status
 from ..operators.penetration import sort_nulls_last
-from ..session import broadcastable, materialize
+from ..session import materialize
 from ..sources.household import Snapshot, snapshot_filter
 from ..sources.schema import BLOCK, DATE
 from .catalog import CUTS, CutSpec
 
-ROW_LABELS = (DWELLING_DIM, BULK_DIM, KIDS, OWNERSHIP, FAMILY_MIX, KIDS_GROUP, LABOR, TRANSPORT)
-# Guard bits stored in the cube: every named row guard that is a row test.
-BIT_GUARDS = tuple(g for g in ROW_GUARDS if g != "block_status_known")
 
 
 def _bit(name: str) -> str:
     return f"ok_{name}"
 
 
-# The same named guards, evaluated on the cube instead of on household rows.
-CUBE_GUARDS: dict[str, Callable[[], Column]] = {
-    **{g: (lambda g=g: F.col(_bit(g))) for g in BIT_GUARDS},
-    "block_status_known": lambda: not_null("block_bulk_status"),
-}
+def row_tests(specs: Sequence[CutSpec]) -> dict[str, Callable[[], Column]]:
+    """Bit name -> row test, for every guard that ``specs`` need (named or a dimension's own)."""
+    tests: dict[str, Callable[[], Column]] = {}
+    for spec in specs:
+        for g in spec.guard_list:
+            if g != "block_status_known":
+                tests[_bit(g)] = ROW_GUARDS[g]
+        for d in spec.dims:
+            if d.extra_guard_fn is not None:
+                tests[_bit(f"dim_{d.name}")] = d.extra_guard_fn
+    return tests
 
-CUBE_KEYS = (DATE, *[d.column for d in ROW_LABELS], *[_bit(g) for g in BIT_GUARDS], "block_bulk_status")
 
+def _spec_bits(spec: CutSpec) -> list[str]:
+    return list(row_tests([spec]))
 
-def segment_cube(df: DataFrame, snapshots: Sequence[Snapshot], status: DataFrame | None = None) -> DataFrame:
-    """Households and customers per (date, labels, guard bits, block bulk status).
 
+def cube_guard(spec: CutSpec) -> Column | None:
+    """The guard of ``spec``, evaluated on the cube instead of on household rows."""
+    status = [not_null("block_bulk_status")] if BLOCK_BULK in spec.dims else []
+    return all_of([*[F.col(b) for b in _spec_bits(spec)], *status])
+
+
+def row_labels(specs: Sequence[CutSpec]) -> list[Dimension]:
+    """The dimensions of ``specs`` that are labels of a household row, once each."""
+    found: list[Dimension] = []
+    for spec in specs:
+        found.extend(d for d in spec.dims if d != BLOCK_BULK and d not in found)
+    return found
+
+
+def segment_cube(
+    df: DataFrame,
+    snapshots: Sequence[Snapshot],
+    status: DataFrame | None = None,
+    specs: Sequence[CutSpec] = CUTS,
+) -> DataFrame:
+    """Households and customers per (date, labels, guard bits[, block bulk status]).
+
+    Holds the labels and bits that ``specs`` need and no others; the history
+    is read for the block status only if one of them is the block-bulk cut.
     Labels are the unguarded bucket expressions; whether a row may enter a
     cut is kept in the ``ok_*`` bits, so one cube serves every guard
     combination (including the two queries with non-standard guards).
     """
-    status = materialize(block_bulk_status(df), "block_bulk_status") if status is None else status
+    dims, tests = row_labels(specs), row_tests(specs)
+    keys = [DATE, *[d.column for d in dims], *tests]
     labelled = [
         F.col(DATE),
-        *[d.label() for d in ROW_LABELS],
-        *[F.coalesce(ROW_GUARDS[g](), F.lit(False)).alias(_bit(g)) for g in BIT_GUARDS],
+        *[d.label() for d in dims],
+        *[F.coalesce(test(), F.lit(False)).alias(bit) for bit, test in tests.items()],
     ]
     rows = df.where(snapshot_filter(df, snapshots))
-    # Left joins keep households of NULL / unknown blocks with a NULL status;
-    # only the block-bulk cut drops them (its guard tests the status).
-    if broadcastable(status):
-        # Status travels to every task; households are labelled where read and
-        # the only shuffle carries partial counts per label combination.
+    if not any(BLOCK_BULK in spec.dims for spec in specs):
         return (
-            rows.join(F.broadcast(status), BLOCK, "left")
-            .select(*labelled, "block_bulk_status", flag_eq_1().alias("_is_customer"))
-            .groupBy(*CUBE_KEYS)
+            rows.select(*labelled, flag_eq_1().alias("_is_customer"))
+            .groupBy(*keys)
             .agg(households().alias("_hh"), customers(F.col("_is_customer")).alias("_cc"))
         )
+    # Both sides are reduced to block grain before the join. The left join
+    # keeps households of NULL / unknown blocks with a NULL status; only the
+    # block-bulk cut drops them (its guard tests the status).
+    status = block_bulk_status(df) if status is None else status
     per_block = (
         rows.select(F.col(BLOCK), *labelled, flag_eq_1().alias("_is_customer"))
-        .groupBy(DATE, BLOCK, *[d.column for d in ROW_LABELS], *[_bit(g) for g in BIT_GUARDS])
+        .groupBy(BLOCK, *keys)
         .agg(households().alias("_hh"), customers(F.col("_is_customer")).alias("_cc"))
     )
     return (
         per_block.join(status, BLOCK, "left")
-        .groupBy(*CUBE_KEYS)
+        .groupBy(*keys, "block_bulk_status")
         .agg(F.sum("_hh").alias("_hh"), F.sum("_cc").alias("_cc"))
     )
 
 
+def stacked_cuts(
+    df: DataFrame, snapshots: Sequence[Snapshot], specs: Sequence[CutSpec], tags: Sequence[str]
+) -> DataFrame:
+    """Several cuts of household rows in one scan and one aggregation, without a cube.
+
+    Each household is fanned out to the (tag, bucket, bucket) entries it
+    counts in, and the partial aggregate leaves a few dozen rows per task.
+    Same columns as ``stacked_rollup``; block bulk is not a label of a row
+    and not possible here.
+    """
+    entries = []
+    for spec, tag in zip(specs, tags):
+        cols = [d.label_fn().cast("string") for d in spec.dims] + [F.lit(None).cast("string")]
+        entry = F.struct(F.lit(tag).alias("tag"), cols[0].alias("bucket_a"), cols[1].alias("bucket_b"))
+        guard = all_of([test() for test in row_tests([spec]).values()])
+        entries.append(entry if guard is None else F.when(guard, entry))
+    rows = df.where(snapshot_filter(df, snapshots))
+    fanned = rows.select(F.explode(F.array(*entries)).alias("t"), DATE, flag_eq_1().alias("_is_customer"))
+    return (
+        fanned.where(F.col("t").isNotNull())
+        .groupBy(F.col("t.tag").alias("tag"), F.col("t.bucket_a").alias("bucket_a"),
+                 F.col("t.bucket_b").alias("bucket_b"), DATE)
+        .agg(households().alias("households"), customers(F.col("_is_customer")).alias("customers"))
+        .withColumn("penetration_rate", ratio("customers", "households"))
+    )
+
+
 def rollup(cube: DataFrame, spec: CutSpec) -> DataFrame:
     """One cut or cross-tab from the cube (same output as ``spec.run``)."""
     m = spec.measures
     keys = [d.column for d in spec.dims] + [DATE]
     out = (
-        cube.where(all_of([CUBE_GUARDS[g]() for g in spec.guard_list]) if spec.guard_list else F.lit(True))
+        cube.where(guard if (guard := cube_guard(spec)) is not None else F.lit(True))
         .groupBy(*keys)
         .agg(F.sum("_hh").alias(m.households), F.sum("_cc").alias(m.customers))
         .select(*keys, m.households, m.customers, ratio(m.customers, m.households).alias(m.penetration))
@@ -139,7 +177,7 @@ def stacked_rollup(cube: DataFrame, specs: Sequence[CutSpec], tags: Sequence[str
     for spec, tag in zip(specs, tags):
         cols = [F.col(d.column).cast("string") for d in spec.dims] + [F.lit(None).cast("string")]
         entry = F.struct(F.lit(tag).alias("tag"), cols[0].alias("bucket_a"), cols[1].alias("bucket_b"))
-        guard = all_of([CUBE_GUARDS[g]() for g in spec.guard_list])
+        guard = cube_guard(spec)
         entries.append(entry if guard is None else F.when(guard, entry))
     fanned = cube.select(F.explode(F.array(*entries)).alias("t"), DATE, "_hh", "_cc").where(F.col("t").isNotNull())
     return (
@@ -164,7 +202,7 @@ def penetration_workbench(
     and each result is a filter and projection of that small table; without
     it each cut is its own rollup of the cube.
     """
-    cube = segment_cube(df, snapshots, status)
+    cube = segment_cube(df, snapshots, status, specs)
     if not checkpoint:
         return {spec.key: rollup(cube, spec) for spec in specs}
     cube = materialize(cube, "segment_cube")

@@ -28,25 +28,6 @@ RECOMMENDED_CONF: dict[str, str] = {
 }
 
 
-# Block-grain tables (one row per census block group; the United States has
-# about 240,000) with at most this many rows are broadcast, after counting them.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def fits_broadcast(rows: int) -> bool:
-    """Whether a table of ``rows`` rows is under the broadcast bound."""
-    return rows <= BROADCAST_MAX_ROWS
-
-
-def broadcastable(table: DataFrame) -> bool:
-    """Whether ``table`` (a written, block-grain table) is small enough to broadcast.
-
-    Counts the table (one cheap job on a materialized table) rather than
-    trusting a size estimate.
-    """
-    return fits_broadcast(table.count())
-
-
 def local_session(
     cpus: int | str = "*",
     app: str = "segmetrics",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast
 from .schema import BLOCK
 
 
@@ -18,32 +17,26 @@ def duplicate_keys(attributes: DataFrame, on: str = BLOCK) -> DataFrame:
     return attributes.groupBy(on).count().where(F.col("count") > 1)
 
 
-def enrich_with_census(households: DataFrame, attributes: DataFrame, on: str = BLOCK) -> DataFrame:
+def enrich_with_census(
+    households: DataFrame, attributes: DataFrame, on: str = BLOCK, check_keys: bool = True
+) -> DataFrame:
     """Left join of households to one attribute row per block group.
 
     Raises ``DuplicateKeyError`` when ``attributes`` repeats a key, since a
-    repeated key would silently multiply households. One aggregate job over
-    the attribute table returns two numbers: the largest rows-per-key (the
-    duplicate check) and the number of keys. Up to the broadcast bound the
-    table is broadcast and joined where the households are read; beyond it
-    the join shuffles both sides, with AQE splitting a hot block's
-    partition. Households with a NULL block group bypass the join and get
-    NULL attributes.
+    repeated key would silently multiply households. That check is one
+    aggregate job over the attribute table; ``check_keys=False`` skips it
+    where the keys are known to be unique, and the result is then lazy. The
+    join is left to Spark: broadcast if the measured size allows it, else
+    shuffled, with AQE splitting a hot block's partition. Households with a
+    NULL block group match nothing; a row hash spreads them over the
+    partitions, where their common NULL key would send them all to one.
     """
-    per_key = attributes.groupBy(on).count()
-    most, keys = per_key.agg(F.max("count"), F.count(F.lit(1))).first()
-    if most is not None and most > 1:
-        raise DuplicateKeyError(f"attribute table repeats {on} values")
     overlap = (set(households.columns) & set(attributes.columns)) - {on}
     if overlap:
         raise ValueError(f"columns on both sides: {sorted(overlap)}")
-    # Households without a block group can never match. Kept out of the join,
-    # they are not shuffled at all: in a shuffled join every NULL key would
-    # land in one reducer, and ungeocoded households can be a large share.
-    side = F.broadcast(attributes) if fits_broadcast(keys) else attributes
-    keyed = households.where(F.col(on).isNotNull()).join(side, on, "left")
-    no_block = households.where(F.col(on).isNull()).select(
-        *households.columns,
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in attributes.schema.fields if f.name != on],
-    )
-    return keyed.unionByName(no_block)
+    if check_keys and not duplicate_keys(attributes, on).isEmpty():
+        raise DuplicateKeyError(f"attribute table repeats {on} values")
+    spread = F.when(F.col(on).isNull(), F.xxhash64(*[c for c in households.columns if c != on])).otherwise(F.lit(0))
+    left = households.withColumn("_spread", spread.cast("long"))
+    right = attributes.withColumn("_spread", F.lit(0).cast("long"))
+    return left.join(right, [on, "_spread"], "left").drop("_spread")

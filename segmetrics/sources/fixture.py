@@ -127,26 +127,12 @@ def derive_households(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     return x.selectExpr(*[f"CAST({e} AS {t}) AS {c}" for c, t, e in FIXTURE_COLUMNS])
 
 
-def _slots_and_splits(spark: SparkSession, df: DataFrame) -> tuple[int, int]:
-    """(task slots, input splits of ``df``); (0, 0) where a session cannot tell."""
-    try:
-        return spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    except Exception:  # e.g. a Spark Connect session has no RDD view
-        return 0, 0
-
-
 def household_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived household fact table over ``{sf_dir}/lineitem`` and ``part``.
 
-    A lineitem scan with fewer input splits than task slots (the test files
-    are single Parquet row groups, which cannot be split) is hash-spread on
-    the order key first so the per-row work uses every core; a table at
-    scale has far more splits than slots and is read as is.
+    The scan is read as it is split: one plan at every size.
     """
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
-    slots, splits = _slots_and_splits(spark, li)
-    if splits < slots:
-        li = li.repartition(slots, "l_orderkey")
     pt = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     return derive_households(li, pt)
 

@@ -25,7 +25,6 @@ import zstandard
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from segmetrics import session as policy
 from segmetrics.plans.catalog import QUERIES
 from segmetrics.plans.workbench import penetration_workbench
 from segmetrics.session import RECOMMENDED_CONF, ensure_checkpoint_dir
@@ -102,7 +101,6 @@ def main(argv: list[str]) -> None:
         ).select("DAILY_TIME_KEY", "CENSUS_BLOCK_GROUP", "DWELLING_SEGMENT", "CUSTOMER_FLAG")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-        policy.BROADCAST_MAX_ROWS = 0  # measure the shuffled join, not the broadcast
         run(enrich_with_census(with_nulls, acs).groupBy("TOTAL_HOUSEHOLDS").count())
 
     jobs = {

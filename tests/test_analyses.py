@@ -205,9 +205,7 @@ def test_enrichment_keeps_households_without_census(spark):
     assert got == {"A": 7, "B": None, None: None}
 
 
-def test_enrichment_broadcast_and_shuffled_paths_agree(spark, hh, monkeypatch):
-    from segmetrics import session
-
+def test_enrichment_broadcast_and_shuffled_paths_agree(spark, hh):
     acs = (
         hh.where(F.col("DAILY_TIME_KEY") == F.lit(CUR))
         .where(F.col("CENSUS_BLOCK_GROUP").isNotNull())
@@ -216,7 +214,65 @@ def test_enrichment_broadcast_and_shuffled_paths_agree(spark, hh, monkeypatch):
     )
     households = hh.select("DAILY_TIME_KEY", "CENSUS_BLOCK_GROUP", "CUSTOMER_FLAG")
     broadcast = sorted(map(tuple, enrich_with_census(households, acs).collect()), key=repr)
-    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 0)
-    shuffled = enrich_with_census(households, acs)
-    assert sorted(map(tuple, shuffled.collect()), key=repr) == broadcast
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        shuffled = enrich_with_census(households, acs, check_keys=False)
+        assert sorted(map(tuple, shuffled.collect()), key=repr) == broadcast
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert len(broadcast) == hh.count()
+
+
+@pytest.mark.parametrize(
+    "xs, ys, slope",
+    [
+        ([1e6 + 0.01 * i for i in range(8)], [0.1 * i for i in range(8)], 10.0),
+        ([1e8 + 0.5 * i for i in range(8)], [0.1 * i for i in range(8)], 0.2),
+        ([1e9 + i for i in range(8)], [0.1 * i for i in range(8)], 0.1),
+        ([1e8 + 0.001 * i for i in range(8)], [0.1 * i for i in range(8)], 100.0),
+    ],
+)
+def test_statistics_on_a_subset_far_from_the_mean(spark, xs, ys, slope):
+    """2,000 rows with y unknown must not cost digits of the eight complete ones."""
+    from segmetrics.operators.stats import pair_fits
+
+    rows = [(0.0, None)] * 2000 + list(zip(xs, ys))
+    df = spark.createDataFrame(rows, "x double, y double").repartition(4)
+    got = pair_fits(df, ["x", "y"]).first()
+    want = df.where("y is not null").agg(F.corr("x", "y").alias("r"), F.regr_slope("y", "x").alias("s")).first()
+    assert got["n"] == 8 and abs(got["r"]) <= 1
+    assert got["r"] == pytest.approx(want["r"], abs=1e-6) and got["slope"] == pytest.approx(slope, rel=1e-3)
+
+
+def test_cut_spec_keeps_a_custom_guard(spark, hh):
+    import dataclasses
+
+    from segmetrics.functions.dimensions import custom_dimension
+    from segmetrics.operators.penetration import penetration_by
+    from segmetrics.plans.catalog import CUTS_BY_KEY
+    from segmetrics.plans.workbench import penetration_workbench
+
+    big = custom_dimension("many_families", lambda: F.col("TOTAL_FAMILIES") > 100, guard=lambda: F.col("TOTAL_FAMILIES") > 50)
+    base = CUTS_BY_KEY["cut_kids"]
+    spec = dataclasses.replace(base, key="custom", dims=(big,), layout=("many_families", "DAILY_TIME_KEY", "hh", "cc", "pr"), order_by=(), guards=None)
+    want = penetration_by(hh, [big], [CUR, PRI], measures=spec.measures, columns=spec.columns)
+    want = sorted(map(tuple, want.collect()), key=repr)
+    assert sorted(map(tuple, spec.run(hh, [CUR, PRI]).collect()), key=repr) == want
+    bench = penetration_workbench(hh, [CUR, PRI], specs=[spec])["custom"]
+    assert sorted(map(tuple, bench.collect()), key=repr) == want
+
+
+def test_yoy_change_on_an_int_date_key(spark, hh):
+    from segmetrics.operators.compare import yoy_change
+    from segmetrics.plans.catalog import CUTS_BY_KEY
+
+    spec = CUTS_BY_KEY["cut_kids"]
+    dims = [spec.dims[0].column]
+    want = yoy_change(spec.run(hh, [CUR, PRI]), dims, CUR, PRI, spec.measures).collect()
+    as_int = hh.withColumn("DAILY_TIME_KEY", F.date_format("DAILY_TIME_KEY", "yyyyMMdd").cast("int"))
+    got = yoy_change(spec.run(as_int, [CUR, PRI]), dims, CUR, PRI, spec.measures).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and got

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pytest
 
 from conftest import CUR, PRI
-from segmetrics import session
 from segmetrics.operators.blocks import block_bulk_status
 from segmetrics.plans.catalog import QUERIES
 from segmetrics.sources.household import read_household_history, write_household_history
@@ -48,18 +47,13 @@ def test_block_status_reads_full_history_only_block_and_flag(table):
     assert "ReadSchema: struct<CENSUS_BLOCK_GROUP:string,BULK_FLG:int>" in scan
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_block_bulk_cut_prunes_snapshots_and_joins_block_grain(table, broadcast, monkeypatch):
-    if not broadcast:
-        monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 0)
+def test_block_bulk_cut_prunes_snapshots_and_joins_block_grain(table):
     text = plan(QUERIES["cut_block_bulk"](table, SNAPS))
     household_scans = [s for s in scans(text) if "household_daily_history" in s]
-    assert len(household_scans) == 1 and "PartitionFilters: []" not in household_scans[0]
-    if broadcast:
-        assert "BroadcastHashJoin" in text
-    else:
-        # Both join inputs are aggregates keyed by the block group.
-        assert "keys=[CENSUS_BLOCK_GROUP" in text
+    # The snapshots, pruned, and the history for the block status.
+    assert len(household_scans) == 2 and sum("PartitionFilters: []" in s for s in household_scans) == 1
+    # Both join inputs are aggregates keyed by the block group.
+    assert "keys=[CENSUS_BLOCK_GROUP" in text or "Keys [1]: [CENSUS_BLOCK_GROUP" in text
 
 
 def test_dwelling_cut_reads_two_columns(table):
@@ -81,3 +75,12 @@ def test_guards_pushed_to_scan(table, key):
     for col in ("TRANSPORTATION_DRIVE_ALONE", "TRANSPORTATION_CARPOOL", "TRANSPORTATION_WORK_FROM_HOME"):
         assert f"IsNotNull({col})" in scan
     assert "Not(EqualTo(TOTAL_HOUSEHOLDS,0))" in scan
+
+
+def test_all_interactions_and_narrow_workbench_leave_the_history_alone(table):
+    from segmetrics.operators.compare import CROSS_TABS, all_interactions
+    from segmetrics.plans.workbench import segment_cube
+
+    for df in (all_interactions(table, SNAPS), segment_cube(table, SNAPS, specs=CROSS_TABS)):
+        (scan,) = scans(plan(df))
+        assert "PartitionFilters: []" not in scan and "BULK_FLG" not in scan

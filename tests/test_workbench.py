@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import CUR, PRI
-from segmetrics import session
 from segmetrics.plans.catalog import CUTS, CUTS_BY_KEY
 from segmetrics.plans.workbench import penetration_workbench, rollup, segment_cube, stacked_rollup
 
@@ -55,11 +54,3 @@ def test_stacked_rollup_equals_each_rollup(hh):
             key=repr,
         )
         assert got == want, spec.key
-
-
-def test_block_grain_fallback_equals_broadcast_path(hh, monkeypatch):
-    broadcast_cube = sorted(map(tuple, segment_cube(hh, SNAPS).collect()), key=repr)
-    broadcast_q04 = sorted(map(tuple, CUTS_BY_KEY["cut_block_bulk"].run(hh, SNAPS).collect()), key=repr)
-    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 0)
-    assert sorted(map(tuple, segment_cube(hh, SNAPS).collect()), key=repr) == broadcast_cube
-    assert sorted(map(tuple, CUTS_BY_KEY["cut_block_bulk"].run(hh, SNAPS).collect()), key=repr) == broadcast_q04
