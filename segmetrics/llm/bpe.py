@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 250_000
 NO_PAIR = (1 << 62) - 1
 
 
@@ -284,8 +284,11 @@ def encoded(text: str | Column, path: str) -> Column:
     @F.arrow_udf("ids array<int>, decoded string")
     def encode(texts: pa.Array) -> pa.Array:
         vocab = vocabulary(path)
-        found = vocab.pieces(texts.to_pylist())
-        ids, decoded = [f[0] for f in found], [f[1] for f in found]
+        ids, decoded = [], []
+        for at in range(0, len(texts), 256):  # few texts as Python objects at a time
+            for packed, text in vocab.pieces(texts.slice(at, 256).to_pylist()):
+                ids.append(packed)
+                decoded.append(text)
         ends = np.zeros(len(ids) + 1, np.int32)
         np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
         flat = pa.array(np.frombuffer(b"".join(ids), np.int32))

@@ -46,7 +46,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_LONGS = 8
 SKETCH_BITS = 64 * SKETCH_LONGS
 PARITY_LONGS = 16
-_WORD_CACHE = 400_000
+_WORD_CACHE = 100_000
 
 # Multipliers and offsets of the sample hashes, from a fixed seed.
 _RANDOM = np.random.default_rng(20_240_229)

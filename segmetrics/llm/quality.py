@@ -33,7 +33,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,9 +118,10 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 def counts_of(text: str | Column) -> Column:
     """Struct of the text's counts."""
 
-    @F.pandas_udf(COUNT_TYPE)
-    def counts(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_counts(t) for t in texts], columns=list(COUNTS), dtype="int64")
+    @F.arrow_udf(COUNT_TYPE)
+    def counts(texts: pa.Array) -> pa.Array:
+        table = np.array([text_counts(t.as_py()) for t in texts], np.int64).reshape(-1, len(COUNTS))
+        return pa.StructArray.from_arrays([pa.array(column) for column in table.T], list(COUNTS))
 
     return counts(F.col(text) if isinstance(text, str) else text)
 
