@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmetrics.llm import bpe, chat, decontaminate, licenses, minhash, quality, secrets, shards, suffixes, token_counts
+from segmetrics.llm.batches import text_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
