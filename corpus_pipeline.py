@@ -12,16 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmetrics.llm import bpe, decontaminate, minhash, quality, secrets
+from segmetrics.llm.batches import text_batches
 from segmetrics.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the certified cutoffs."""
+    text_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    text_batches(spark)
     return minhash.keep_one_each(docs, words_each=5, percent=80)
 
 
@@ -37,6 +40,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and the decoded text."""
+    text_batches(spark)
     return bpe.encoding_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
