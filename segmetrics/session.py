@@ -83,7 +83,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()``: a lost executor re-reads the written
@@ -91,9 +91,10 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     checkpoint the table is columnar, so each later job reads only the
     columns it needs, with the vectorized reader and real size statistics
     for the planner. Used for small results several jobs read (the segment
-    cube, the demographic pull).
+    cube, the demographic pull). ``codec`` overrides the session's Parquet
+    compression.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.parquet(path)
