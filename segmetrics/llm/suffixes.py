@@ -11,7 +11,9 @@ a document with a smaller id.
    aggregate with map-side combine), with the bytes around them (a segment:
    all windows that have this minimizer). Equal segments are one, with
    their smallest id. So all equal windows meet in the bucket of their minimizer.
-3. A bucket's segments are split into shards. The transform of each shard is
+3. Of a bucket's segments only those that share the gram and half of the bytes that a
+   window has around it, on one side, can share a window; the others stay as they are.
+   These are split into shards. The transform of each shard is
    built alone; transforms are merged pairwise by interleave refinement:
    start from "all of the first, then all of the second" and repeat a stable
    counting sort of the interleave by the symbols that it brings together. After h
@@ -47,7 +49,7 @@ from segmetrics.session import materialize
 LENGTH = 50
 GRAM = 24
 BUCKET = 4000
-SHARD = 1000
+SHARD = 2000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
@@ -106,7 +108,7 @@ def transform(strings: list[bytes], number: int = 0) -> tuple[np.ndarray, np.nda
         # Ends have ranks of their own, so a suffix is decided before it leaves its string.
         key = rank * (len(text) + 300)
         key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
         rank = np.empty_like(rank)
         rank[order] = new
@@ -127,20 +129,26 @@ def _interleaved(mask: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.
     return out
 
 
-def merge(one: tuple, two: tuple, depth: int) -> tuple[tuple, np.ndarray]:
+def merge(one: tuple, two: tuple, depth: int, whole: bool = True) -> tuple[tuple, np.ndarray]:
     """Merge two transforms; also the blocks of rows with ``depth`` common symbols.
 
-    Returns the merged transform in the order of the first ``depth`` symbols at
-    least, refined until the interleave no longer changes, and block numbers.
+    Returns the merged transform and block numbers. ``whole`` refines until the
+    interleave no longer changes, so that the result can be merged again; without it the
+    rows are in the order of their first ``depth`` symbols, which is all that the blocks need.
     """
     ends = np.concatenate([np.zeros(int((one[0] == 0).sum()), bool), np.ones(int((two[0] == 0).sum()), bool)])
     mask = np.concatenate([np.zeros(len(one[0]), bool), np.ones(len(two[0]), bool)])
     block = np.zeros(len(mask), np.int64)
     at_depth = None
+    # Symbols by rank among those present: mostly one byte, one pass of the counting sort.
+    present = np.unique(np.concatenate([one[0], two[0]]))
+    code = np.zeros(257, np.uint8 if len(present) <= 256 else np.uint16)
+    code[present] = np.arange(len(present))
+    first, second = code[one[0]], code[two[0]]
     rounds = 0
     while True:
-        symbols = _interleaved(mask, one[0], two[0])
-        order = np.argsort(symbols.astype(np.uint16), kind="stable")  # radix sort
+        symbols = _interleaved(mask, first, second)
+        order = np.argsort(symbols, kind="stable")  # a counting sort for these types
         new = mask[order]
         new[: len(ends)] = ends
         sorted_symbols, sorted_block = symbols[order], block[order]
@@ -151,22 +159,22 @@ def merge(one: tuple, two: tuple, depth: int) -> tuple[tuple, np.ndarray]:
         same = bool((new == mask).all())
         mask = new
         if rounds == depth:
-            at_depth = (mask, block)
-        if rounds >= depth and same:
+            at_depth = block
+        if rounds >= depth and (same or not whole):
             break
     # Rows within a block may still have moved since ``depth``; blocks have not.
-    merged = tuple(_interleaved(mask, a, b) for a, b in zip(one, two))
-    return merged, at_depth[1]
+    return tuple(_interleaved(mask, a, b) for a, b in zip(one, two)), at_depth
 
 
 def smallest_ids(strings: list[bytes], ids: np.ndarray, length: int = LENGTH, shard: int = SHARD) -> list[np.ndarray]:
     """For each string, the smallest id among all strings that hold the window at each offset."""
+    shard = min(shard, max(1, -(-len(strings) // 2)))  # two shards at least
     shards = [transform(strings[i : i + shard], i) for i in range(0, len(strings), shard)]
     if len(shards) == 1:
         shards.append((np.zeros(0, np.int64),) * 3)
     while len(shards) > 2:
         shards = [merge(shards[i], shards[i + 1], 1)[0] if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
-    (_, owner, offset), block = merge(*shards, length)
+    (_, owner, offset), block = merge(*shards, length, whole=False)
     starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     lowest = np.minimum.reduceat(ids[owner], starts)[block]
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
@@ -195,27 +203,57 @@ def _entries(text, with_segments: bool):
 def _segments(text, ats):
     """The bytes around each position, with where they begin."""
 
-    @F.arrow_udf("array<struct<begin:int,h:long,key:binary,bytes:binary>>")
+    @F.arrow_udf("array<struct<begin:int,h:long,mid:int,key:binary,bytes:binary>>")
     def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
-        out = []
-        for t, p in zip(texts, places):
+        counts = [len(p) for p in places]
+        flat_at, flat_h = places.flatten().flatten()
+        at = flat_at.to_numpy(zero_copy_only=False).astype(np.int32)
+        begin = np.maximum(0, at + GRAM - LENGTH)
+        mid = (at - begin).tolist()
+        keys, pieces, done = [], [], 0
+        for t, n in zip(texts, counts):
             data = t.as_py().encode("utf-8", "surrogatepass")
-            found = []
-            for x in p.as_py():
-                begin = max(0, x["at"] + GRAM - LENGTH)
-                piece = data[begin : x["at"] + LENGTH]
-                found.append({"begin": begin, "h": x["h"], "key": xxhash.xxh3_128_digest(piece), "bytes": piece})
-            out.append(found)
-        return pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("h", pa.int64()), ("key", pa.binary()), ("bytes", pa.binary())])))
+            for x in range(done, done + n):
+                piece = data[begin[x] : at[x] + LENGTH]
+                pieces.append(piece)
+                keys.append(xxhash.xxh3_128_digest(bytes((mid[x],)) + piece))
+            done += n
+        columns = [pa.array(begin), flat_h, pa.array(mid, pa.int32()), pa.array(keys, pa.binary()), pa.array(pieces, pa.binary())]
+        rows = pa.StructArray.from_arrays(columns, ["begin", "h", "mid", "key", "bytes"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), rows)
 
     return cut(text, ats)
 
 
+def _can_meet(segments: list[bytes], mids: list[int]) -> np.ndarray:
+    """Whether a segment may share a window with another one of the bucket.
+
+    A shared window holds the gram and ``LENGTH - GRAM`` bytes around it, so at
+    least half of these lie on one side: two segments that share a window also share the
+    gram with that half before it or with that half behind it.
+    """
+    half = (LENGTH - GRAM) // 2
+    meets = np.zeros(len(segments), bool)
+    before = [s[m - half : m + GRAM] if m >= half else None for s, m in zip(segments, mids)]
+    behind = [s[m : m + GRAM + half] if len(s) >= m + GRAM + half else None for s, m in zip(segments, mids)]
+    for side in (before, behind):
+        column = pd.Series(side, dtype=object)
+        meets |= (column.notna() & column.duplicated(keep=False)).to_numpy()
+    return meets
+
+
 def _windows_of_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-    """Smallest ids of the windows of a bucket's segments."""
-    frame = frame.sort_values("key")
-    found = smallest_ids(frame["bytes"].tolist(), frame["doc"].to_numpy(np.int64))
-    return pd.DataFrame({"key": frame["key"].to_numpy(), "lowest": found})
+    """Smallest ids of the windows of a bucket's segments.
+
+    Segments that meet no other keep their own smallest id in all windows;
+    if they have one holder only, they lead to no row.
+    """
+    meets = _can_meet(frame["bytes"].tolist(), frame["mid"].tolist())
+    alone = frame[~meets & (frame["doc"] < frame["high"]).to_numpy()]
+    frame = frame[meets].sort_values("key")
+    found = smallest_ids(frame["bytes"].tolist(), frame["doc"].to_numpy(np.int64)) if len(frame) else []
+    own = [np.full(max(0, len(s) - LENGTH + 1), d, np.int64) for s, d in zip(alone["bytes"], alone["doc"])]
+    return pd.DataFrame({"key": [*frame["key"], *alone["key"]], "lowest": [*found, *own]})
 
 
 def _cut_out(text, doc, begins, lowest):
@@ -246,9 +284,10 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     places = found.join(shared, "h").groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("places"))
     places = materialize(places, "shared-places")
     cut = docs.join(places, "doc").select("doc", F.explode(_segments(F.col("text"), F.col("places"))).alias("s")).select("doc", "s.*")
-    cut = materialize(cut.withColumn("bytes", F.col("bytes")), "segments")
-    distinct = cut.groupBy("h", "key").agg(F.min("doc").alias("doc"), F.first("bytes").alias("bytes"))
-    distinct = materialize(distinct, "distinct-segments")
+    cut = materialize(cut, "segments", "zstd")
+    held = [F.min("doc").alias("doc"), F.max("doc").alias("high"), F.first("mid").alias("mid"), F.first("bytes").alias("bytes")]
+    distinct = cut.groupBy("h", "key").agg(*held)
+    distinct = materialize(distinct, "distinct-segments", "zstd")
     buckets = max(1, -(-distinct.count() // BUCKET))
     lowest = distinct.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInPandas(_windows_of_bucket, "key binary, lowest array<long>")
     # Drop segments whose windows all start there first.
@@ -268,6 +307,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     copies = rows.select("doc_id", "print", "check").join(classes, ["print", "check"]).where("doc_id > low").select("doc_id", "print", "check").distinct()
     copies = materialize(copies, "copies")
     searched = rows.where("doc_id IS NOT NULL").join(copies, ["doc_id", "print", "check"], "left_anti").select(F.col("doc_id").alias("doc"), "text")
+    # Read three times: once written, its texts are not joined and shuffled each time.
+    searched = materialize(searched, "searched-texts", "zstd")
     starts = materialize(repeated_starts(searched), "repeated-starts")
     marks = starts.withColumnRenamed("doc", "doc_id")
     marked = rows.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "print", "check"], "left").join(marks, "doc_id", "left")
