@@ -292,6 +292,8 @@ MIN_SAMPLE = (
     f"FROM ({WORKBENCH_BODIES['xtab_kids_transport']}) x"
 )
 
+MIN_SAMPLE_FILTER = f"SELECT * FROM ({WORKBENCH_BODIES['xtab_kids_transport']}) x WHERE household_count >= 1500"
+
 AS_PERCENT = (
     "SELECT DAILY_TIME_KEY, kids_bucket, customer_count, total_households, penetration_rate * 100 AS penetration_rate\n"
     f"FROM ({WORKBENCH_BODIES['cut_kids']}) k"
@@ -342,8 +344,9 @@ _ACS_COLUMNS = ", ".join(DEMOGRAPHIC_PULL_COLUMNS)
 ENRICHED = (
     "(SELECT h.DAILY_TIME_KEY, h.CUSTOMER_FLAG, a.* EXCLUDE (CENSUS_BLOCK_GROUP)\n"
     " FROM (SELECT DAILY_TIME_KEY, CENSUS_BLOCK_GROUP, CUSTOMER_FLAG FROM hh) h\n"
-    f" LEFT JOIN (SELECT DISTINCT {_ACS_COLUMNS} FROM hh\n"
-    "            WHERE DAILY_TIME_KEY = DATE '2025-03-31' AND CENSUS_BLOCK_GROUP IS NOT NULL) a\n"
+    f" LEFT JOIN (SELECT {_ACS_COLUMNS} FROM hh\n"
+    f"            WHERE {SNAPS} AND CENSUS_BLOCK_GROUP IS NOT NULL\n"
+    "            QUALIFY ROW_NUMBER() OVER (PARTITION BY CENSUS_BLOCK_GROUP ORDER BY DAILY_TIME_KEY DESC) = 1) a\n"
     " ON h.CENSUS_BLOCK_GROUP = a.CENSUS_BLOCK_GROUP) e"
 )
 ENRICH_WITH_CENSUS = _single("labor_group", False, "total_households", "customers", False, [HH0, LAB]).replace(
@@ -371,6 +374,7 @@ ANALYSIS_SQL: dict[str, str] = {
     ),
     "all_interactions": with_hh(ALL_INTERACTIONS),
     "min_sample": with_hh(MIN_SAMPLE),
+    "min_sample_filter": with_hh(MIN_SAMPLE_FILTER),
     "as_percent": with_hh(AS_PERCENT),
     "demographic_correlation": DEMOGRAPHIC_CORRELATION,
     "predictor_ranking": PREDICTOR_RANKING,

@@ -27,12 +27,14 @@ from ..operators.compare import (
 from ..operators.penetration import Measures, penetration_by
 from ..operators.stats import demographic_correlation, predictor_ranking, univariate_regression
 from ..sources.census import enrich_with_census
-from ..sources.household import Snapshot, snapshot_literals
+from ..sources.household import Snapshot, snapshot_filter
 from ..sources.schema import BLOCK, BULK, CUSTOMER_FLAG, CUSTOMER_KEY, DATE, DEMOGRAPHIC_COLUMNS, DWELLING
 from .catalog import CUTS_BY_KEY, XTAB
 
 # Segments under this many households are flagged as too small to read.
 MIN_HOUSEHOLDS = 30
+# Segments kept by the filter form, for a closer reading.
+SOLID_HOUSEHOLDS = 1500
 
 
 def yoy_all_cuts(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
@@ -58,6 +60,11 @@ def small_segments(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
     return min_sample(xtab, XTAB.households, MIN_HOUSEHOLDS, flag=True)
 
 
+def large_segments(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    xtab = CUTS_BY_KEY["xtab_kids_transport"].run(df, snapshots)
+    return min_sample(xtab, XTAB.households, SOLID_HOUSEHOLDS)
+
+
 def kids_in_percent(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
     return as_percent(CUTS_BY_KEY["cut_kids"].run(df, snapshots), ["penetration_rate"])
 
@@ -81,15 +88,17 @@ def regressions(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
 def enriched_labor_cut(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
     """Split the table into households and a block attribute table, re-join, cut.
 
-    The attribute table is the current snapshot's census columns per block
-    group (one row per block), standing in for a separately delivered ACS
-    extract.
+    The attribute table is the census columns per block group (one row per
+    block) on the latest snapshot that has the block, standing in for a
+    separately delivered ACS extract: a block seen on the prior date only keeps
+    its attributes.
     """
-    (current,) = snapshot_literals(df, snapshots[:1])
+    latest = F.max_by(F.struct(*DEMOGRAPHIC_COLUMNS), F.col(DATE)).alias("latest")
     acs = (
-        df.where((F.col(DATE) == F.lit(current)) & F.col(BLOCK).isNotNull())
-        .select(BLOCK, *DEMOGRAPHIC_COLUMNS)
-        .distinct()
+        df.where(snapshot_filter(df, snapshots) & F.col(BLOCK).isNotNull())
+        .groupBy(BLOCK)
+        .agg(latest)
+        .select(BLOCK, "latest.*")
     )
     households = df.select(DATE, BLOCK, DWELLING, BULK, CUSTOMER_KEY, CUSTOMER_FLAG)
     return CUTS_BY_KEY["cut_labor"].run(enrich_with_census(households, acs, check_keys=False), snapshots)
@@ -117,6 +126,7 @@ ANALYSES = {
     "interaction_kids_transport": _interaction("xtab_kids_transport"),
     "all_interactions": all_interactions,
     "min_sample": small_segments,
+    "min_sample_filter": large_segments,
     "as_percent": kids_in_percent,
     "demographic_correlation": correlation_matrix,
     "predictor_ranking": ranked_predictors,

@@ -29,23 +29,42 @@ def apply_column_map(df: DataFrame, column_map: Mapping[str, str] | None) -> Dat
     return df.withColumnsRenamed(dict(column_map))
 
 
+def stored_schema(
+    column_map: Mapping[str, str] | None = None, date_type: T.DataType | None = None
+) -> T.StructType:
+    """The canonical schema under the user's column names and date key type."""
+    stored_as = {canonical: user for user, canonical in (column_map or {}).items()}
+    return T.StructType(
+        [
+            T.StructField(
+                stored_as.get(f.name, f.name),
+                date_type if date_type is not None and f.name == DATE else f.dataType,
+                f.nullable,
+            )
+            for f in HOUSEHOLD_SCHEMA.fields
+        ]
+    )
+
+
 def read_household_history(
     spark: SparkSession,
     path: str,
     column_map: Mapping[str, str] | None = None,
     schema: T.StructType | None = None,
+    date_type: T.DataType | None = None,
 ) -> DataFrame:
     """Read the fact table with an explicit schema (never inferred).
 
     ``schema`` describes the files as stored, i.e. in the user's own names
-    when ``column_map`` is given; it defaults to the canonical schema.
-    Partition discovery keeps ``DAILY_TIME_KEY`` as a partition column when
-    the files are laid out as ``.../DAILY_TIME_KEY=YYYY-MM-DD/``.
+    when ``column_map`` is given; it defaults to the canonical schema under
+    those names, with ``date_type`` (e.g. ``IntegerType()`` for ``yyyymmdd``)
+    as the type of the date key. Partition discovery keeps ``DAILY_TIME_KEY``
+    as a partition column when the files are laid out as
+    ``.../DAILY_TIME_KEY=YYYY-MM-DD/``.
     """
     if schema is None:
-        schema = HOUSEHOLD_SCHEMA if not column_map else None
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return apply_column_map(reader.parquet(path), column_map)
+        schema = stored_schema(column_map, date_type)
+    return apply_column_map(spark.read.schema(schema).parquet(path), column_map)
 
 
 def household_table(
@@ -93,10 +112,14 @@ def snapshot_literals(df: DataFrame, snapshots: Iterable[Snapshot]) -> list:
     Casting the column instead (``to_date(col)``) would hide it from
     partition pruning and Parquet filter pushdown, so the parameters are
     converted here: DATE -> date, TIMESTAMP -> midnight, STRING -> ISO text,
-    INT/BIGINT -> ``yyyymmdd``.
+    INT/BIGINT -> ``yyyymmdd``. A STRING key may be in any format: a snapshot
+    given as text is then taken as it stands, e.g. ``"20250331"``.
     """
-    dates = [_as_date(s) for s in snapshots]
+    snapshots = list(snapshots)
     kind = df.schema[DATE].dataType
+    if isinstance(kind, T.StringType) and all(isinstance(s, str) for s in snapshots):
+        return snapshots
+    dates = [_as_date(s) for s in snapshots]
     if isinstance(kind, T.DateType):
         return dates
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):

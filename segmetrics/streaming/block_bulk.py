@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,15 +35,32 @@ def running_bulk_max(households: DataFrame) -> DataFrame:
     return households.groupBy(BLOCK).agg(F.max(BULK).alias("has_bulk_flag"))
 
 
+def _published(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """Epochs whose version is complete, one row each; None before the first."""
+    try:
+        return spark.read.schema(f"{EPOCH} long").parquet(f"{table_path}.published")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def _write_version(table_path: str):
     def write(batch: DataFrame, epoch_id: int) -> None:
-        # Complete state of this epoch into its own folder: a retried epoch
-        # rewrites the same folder, readers only ever see finished versions.
+        # Complete state of this epoch into its own folder, then its mark. A
+        # retried epoch rewrites an unmarked folder, which no reader looks at,
+        # and leaves a marked one alone: it holds the same state.
+        spark = batch.sparkSession
+        marks = _published(spark, table_path)
+        if marks is not None and not marks.where(F.col(EPOCH) == epoch_id).isEmpty():
+            return
         (
             batch.withColumn(EPOCH, F.lit(epoch_id).cast("long"))
             .write.mode("overwrite")
             .parquet(f"{table_path}/{EPOCH}={epoch_id}")
         )
+        mark = spark.range(epoch_id, epoch_id + 1, 1, 1).withColumnRenamed("id", EPOCH)
+        mark.write.mode("append").parquet(f"{table_path}.published")
 
     return write
 
@@ -79,15 +97,18 @@ def household_stream(spark: SparkSession, path: str, schema: T.StructType = HOUS
 
 
 def block_bulk_table(spark: SparkSession, table_path: str) -> DataFrame:
-    """The latest status version as ``(CENSUS_BLOCK_GROUP, block_bulk_status)``.
+    """The latest published status version as ``(CENSUS_BLOCK_GROUP, block_bulk_status)``.
 
     Ready to pass as ``status=`` to ``cut_block_bulk`` / ``segment_cube`` so
-    a daily run skips the full-history scan.
+    a daily run skips the full-history scan. Versions without a mark
+    (still being written, or of a failed run) are not looked at.
     """
-    versions = spark.read.parquet(table_path)
-    latest = versions.agg(F.max(EPOCH)).first()[0]
+    marks = _published(spark, table_path)
+    if marks is None:
+        raise FileNotFoundError(f"no published version of {table_path}")
+    latest = marks.agg(F.max(EPOCH)).first()[0]
     has_bulk, no_bulk = BLOCK_BULK_LABELS
-    return versions.where(F.col(EPOCH) == latest).select(
+    return spark.read.parquet(f"{table_path}/{EPOCH}={latest}").select(
         BLOCK,
         F.when(F.col("has_bulk_flag") == 1, has_bulk).otherwise(no_bulk).alias("block_bulk_status"),
     )

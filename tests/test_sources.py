@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import CUR, PRI
 from segmetrics.plans.catalog import QUERIES
+from segmetrics.sources.schema import HOUSEHOLD_SCHEMA
 from segmetrics.sources.household import (
     household_table,
     read_household_history,
@@ -80,3 +82,20 @@ def test_writer_spreads_a_hot_block_over_several_files(spark, hh, tmp_path):
     )
     assert files.select("f").distinct().count() > 1
     assert spark.read.parquet(path).count() == hot.count()
+
+
+def test_schema_follows_the_column_map(spark, hh, tmp_path):
+    path = str(tmp_path / "mapped")
+    user = {"unit_type": "DWELLING_SEGMENT", "day": "DAILY_TIME_KEY"}
+    stored = hh.drop("HOUSEHOLD_ROW_ID").withColumnsRenamed({v: k for k, v in user.items()})
+    stored.withColumn("day", F.date_format("day", "yyyyMMdd").cast("int")).write.partitionBy("day").parquet(path)
+    back = read_household_history(spark, path, column_map=user, date_type=T.IntegerType())
+    assert set(back.columns) == set(HOUSEHOLD_SCHEMA.names)
+    got = QUERIES["cut_dwelling"](back, SNAPS).drop("DAILY_TIME_KEY")
+    assert _sorted(got) == _sorted(QUERIES["cut_dwelling"](hh, SNAPS).drop("DAILY_TIME_KEY"))
+
+
+def test_text_snapshots_match_a_text_key_as_they_stand(hh):
+    typed = hh.withColumn("DAILY_TIME_KEY", F.date_format("DAILY_TIME_KEY", "yyyyMMdd"))
+    got = QUERIES["cut_kids"](typed, ("20250331", "20240331")).drop("DAILY_TIME_KEY")
+    assert _sorted(got) == _sorted(QUERIES["cut_kids"](hh, SNAPS).drop("DAILY_TIME_KEY"))

@@ -77,3 +77,14 @@ def test_rerun_without_new_files_changes_nothing(spark, hh, tmp_path):
     refresh_block_bulk(household_stream(spark, landing), table, ckpt)  # a retried daily run
     assert _status(block_bulk_table(spark, table)) == before
     assert spark.read.parquet(table).select("epoch").distinct().count() == versions
+
+
+def test_unpublished_versions_are_not_read(spark, hh, tmp_path):
+    landing, table, ckpt = str(tmp_path / "landing"), str(tmp_path / "status"), str(tmp_path / "ckpt")
+    _land_day(hh, landing, CUR)
+    refresh_block_bulk(household_stream(spark, landing), table, ckpt)
+    before = _status(block_bulk_table(spark, table))
+    # A run that failed after some files of its version: no mark was written.
+    half = spark.createDataFrame([("000000000001", 1, 99)], "CENSUS_BLOCK_GROUP string, has_bulk_flag int, epoch long")
+    half.write.parquet(f"{table}/epoch=99")
+    assert _status(block_bulk_table(spark, table)) == before
