@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 400_000
 NO_PAIR = (1 << 62) - 1
 
 
