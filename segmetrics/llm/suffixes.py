@@ -3,13 +3,17 @@
 A byte is removed if a string of ``LENGTH`` bytes that covers it also starts in
 a document with a smaller id.
 
-1. Of equal texts only the one with the smallest id is searched; the others go
-   whole, if they are long enough.
+1. Texts are split where the hash of the next ``CUT_GRAM`` bytes is low, so equal stretches
+   are split alike. A chunk is compared with the ``LENGTH - 1`` bytes that follow it, so that it
+   holds every window that starts in it. Windows of a chunk that also stands under a
+   smaller id go at once; of the other chunks, adjacent ones form pieces. The smallest id that holds a
+   window never loses it here, so pieces are enough for the search.
 2. Every window of ``LENGTH`` bytes has a minimizer, its leftmost ``GRAM``-byte
    string of lowest hash; equal windows have the same one at the same place.
-   Only minimizers that occur under two ids or more lead further (counted by an
-   aggregate with map-side combine), with the bytes around them (a segment:
-   all windows that have this minimizer). Equal segments are one, with
+   Only minimizers that occur under two ids or more lead further, with the bytes around them (a segment:
+   all windows that have this minimizer). Pieces lie in batches of about ``BATCH`` bytes; a batch
+   sends each of its distinct hashes once, packed by hash range, and gets back those that
+   another document has too. Equal segments are one, with
    their smallest id. So all equal windows meet in the bucket of their minimizer.
 3. Of a bucket's segments only those that share the gram and half of the bytes that a
    window has around it, on one side, can share a window; the others stay as they are.
@@ -25,17 +29,19 @@ a document with a smaller id.
    own; overlapping windows are joined per document.
 
 Documents are never brought together whole: a bucket holds about ``BUCKET``
-distinct segments of at most ``2 * LENGTH - GRAM`` bytes.
+distinct segments of at most ``2 * LENGTH - GRAM`` bytes, a hash range about ``HASHES`` hashes
+(a frequent one counts once per batch), a batch about ``BATCH`` bytes or one longer text.
 
 Defined results: a null text is empty; texts below ``LENGTH`` bytes lose
 nothing; rows with a null doc_id lose nothing and take nothing from others;
-rows that share an id take nothing from each other; repeated rows give equal
+rows that share an id take nothing from each other, whatever their texts; repeated rows give equal
 rows. Overlaps count and strings are judged on the input.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,17 +56,21 @@ LENGTH = 50
 GRAM = 24
 BUCKET = 4000
 SHARD = 2000
+CUT_GRAM = 16
+CUT_ONE_IN = 256  # positions, on average
+CUT_APART = 64
+BATCH = 4 << 20
+HASHES = 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
 
 
-def minimizers(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are the minimizer of some window."""
+def gram_hashes(data: bytes, gram: int) -> np.ndarray:
+    """64-bit hashes of all strings of ``gram`` bytes."""
     n = len(data) - gram + 1
-    width = length - gram + 1
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
     raw = np.frombuffer(data, np.uint8).astype(np.uint64)
     have, size = raw * _P, 1  # hashes of all strings of ``size`` bytes, by doubling
     have ^= have >> _S
@@ -78,6 +88,23 @@ def minimizers(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.
             have, size = joined ^ (joined >> _S), size * 2
     hashes = parts * np.uint64(0xC4CEB9FE1A85EC53)
     hashes ^= hashes >> np.uint64(33)
+    return hashes
+
+
+def chunk_starts(data: bytes) -> np.ndarray:
+    """Where the chunks of a text begin; ``CUT_APART`` bytes before a cut hold no other candidate."""
+    hit = np.flatnonzero(gram_hashes(data, CUT_GRAM) < np.uint64(2**64 // CUT_ONE_IN))
+    hit = hit[np.diff(hit, prepend=-CUT_APART) >= CUT_APART]
+    return np.unique(np.concatenate(([0], hit[hit <= len(data) - LENGTH])))
+
+
+def minimizers(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the grams that are the minimizer of some window."""
+    n = len(data) - gram + 1
+    width = length - gram + 1
+    if len(data) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    hashes = gram_hashes(data, gram)
     # Leftmost lowest in each window: carry positions through a doubling minimum.
     low, where, span = hashes, np.arange(n, dtype=np.int32), 1
     while span < width:
@@ -185,44 +212,120 @@ def smallest_ids(strings: list[bytes], ids: np.ndarray, length: int = LENGTH, sh
     return [flat[b : b + max(0, n - length + 1)] for b, n in zip(begins, sizes)]
 
 
-def _entries(text, with_segments: bool):
-    """Array of minimizers of a text column (positions and hashes)."""
+def _chunks(text):
+    """Chunks of a binary column: key of the bytes of its windows, and where these begin and end."""
 
-    @F.arrow_udf("array<struct<at:int,h:long>>")
-    def find(texts: pa.Array) -> pa.Array:
-        ats, hs, sizes = [], [], [0]
+    @F.arrow_udf("array<struct<k1:long,k2:long,s:int,e:int>>")
+    def split(texts: pa.Array) -> pa.Array:
+        starts, ends, keys, sizes = [], [], [], [0]
         for t in texts:
-            at, h = minimizers((t.as_py() or "").encode("utf-8", "surrogatepass"))
-            ats.append(at), hs.append(h), sizes.append(len(at))
-        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(hs).view(np.int64))], ["at", "h"]) if ats else pa.array([], pa.struct([("at", pa.int32()), ("h", pa.int64())]))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
-
-    return find(text)
-
-
-def _segments(text, ats):
-    """The bytes around each position, with where they begin."""
-
-    @F.arrow_udf("array<struct<begin:int,h:long,mid:int,key:binary,bytes:binary>>")
-    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
-        counts = [len(p) for p in places]
-        flat_at, flat_h = places.flatten().flatten()
-        at = flat_at.to_numpy(zero_copy_only=False).astype(np.int32)
+            data = t.as_py()
+            at = chunk_starts(data)
+            end = np.concatenate((at[1:], [len(data) - LENGTH + 1]))
+            keys += [xxhash.xxh3_128_digest(data[s : e + LENGTH - 1]) for s, e in zip(at.tolist(), end.tolist())]
+            starts.append(at), ends.append(end), sizes.append(len(at))
+        key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        join = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32))
+        rows = pa.StructArray.from_arrays([pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), join(starts), join(ends)], ["k1", "k2", "s", "e"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), rows)
+
+    return split(text)
+
+
+_PIECES = pa.schema([("batch", pa.int32()), ("doc", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("piece", pa.binary())])
+
+
+def _pieces_of_batch(texts: pa.Table, known: pa.Table) -> pa.Table:
+    """What a batch's texts have beside their known chunks."""
+    gone = defaultdict(list)
+    for row in known.to_pylist():
+        gone[row["doc"], row["print"]].append((row["s"], row["e"]))
+    rows, seen = [], set()
+    for row in texts.to_pylist():
+        me = row["doc"], row["print"]
+        if me in seen:
+            continue
+        seen.add(me)
+        windows, at = len(row["data"]) - LENGTH + 1, 0
+        for s, e in [*sorted(gone[me]), (windows, windows)]:
+            if s > at:
+                rows.append({"batch": row["batch"], "doc": me[0], "print": me[1], "start": at, "piece": row["data"][at : s + LENGTH - 1]})
+            at = max(at, e)
+    return pa.Table.from_pylist(rows, _PIECES)
+
+
+_PACKED = pa.schema([("range", pa.int32()), ("batch", pa.int32()), ("hashes", pa.binary())])
+_LOW_BIT = np.uint64(1)
+
+
+def _pack_hashes(ranges: int):
+    """Distinct minimizers of each batch by hash range; the lowest bit tells that two documents have it."""
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders = (np.arange(1, ranges, dtype=object) * 2**64 // ranges).astype(np.uint64)
+        for part in parts:
+            per_batch = defaultdict(list)
+            for batch, doc, piece in zip(part["batch"].to_pylist(), part["doc"].to_pylist(), part["piece"]):
+                per_batch[batch].append((doc, minimizers(piece.as_py())[1]))
+            rows = []
+            for batch, found in per_batch.items():
+                hashes = np.concatenate([h for _, h in found]) & ~_LOW_BIT
+                docs = np.repeat(np.array([d for d, _ in found], np.int64), [len(h) for _, h in found])
+                order = np.argsort(hashes)
+                hashes, docs = hashes[order], docs[order]
+                starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+                several = np.minimum.reduceat(docs, starts) < np.maximum.reduceat(docs, starts)
+                hashes = hashes[starts]
+                edges = [0, *np.searchsorted(hashes, borders).tolist(), len(hashes)]
+                hashes |= several.astype(np.uint64)
+                rows += [{"range": i, "batch": batch, "hashes": hashes[a:b].tobytes()} for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            yield pa.RecordBatch.from_pylist(rows, _PACKED)
+
+    return pack
+
+
+def _shared_of_range(packed: pa.Table) -> pa.Table:
+    """Of a hash range, what each batch has that two documents have (or two parts of one batch)."""
+    sizes = [len(x.as_py()) // 8 for x in packed["hashes"]]
+    values = np.frombuffer(b"".join(packed["hashes"].to_pylist()), np.uint64)
+    hashes = values & ~_LOW_BIT
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    same = ordered[1:] == ordered[:-1]
+    shared = (values & _LOW_BIT).astype(bool)
+    shared[order[1:][same]] = True
+    shared[order[:-1][same]] = True
+    # One holder may have the mark alone; then only it needs the hash.
+    rows, at = [], 0
+    for batch, size in zip(packed["batch"].to_pylist(), sizes):
+        mine = hashes[at : at + size][shared[at : at + size]]
+        at += size
+        if len(mine):
+            rows.append({"batch": batch, "hashes": mine.tobytes()})
+    return pa.Table.from_pylist(rows, pa.schema([("batch", pa.int32()), ("hashes", pa.binary())]))
+
+
+_SEGMENTS = pa.schema([("doc", pa.int64()), ("print", pa.int64()), ("begin", pa.int32()), ("h", pa.int64()), ("mid", pa.int32()), ("key", pa.binary()), ("bytes", pa.binary())])
+
+
+def _segments_of_batch(pieces: pa.Table, shared: pa.Table) -> pa.Table:
+    """The bytes around each shared minimizer of a batch, with where they begin in the text."""
+    wanted = np.unique(np.frombuffer(b"".join(shared["hashes"].to_pylist()), np.uint64))
+    columns = [[] for _ in _SEGMENTS]
+    for row in pieces.to_pylist() if len(wanted) else ():
+        data = row["piece"]
+        at, h = minimizers(data)
+        h = h & ~_LOW_BIT
+        have = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+        at, h = at[have], h[have]
         begin = np.maximum(0, at + GRAM - LENGTH)
         mid = (at - begin).tolist()
-        keys, pieces, done = [], [], 0
-        for t, n in zip(texts, counts):
-            data = t.as_py().encode("utf-8", "surrogatepass")
-            for x in range(done, done + n):
-                piece = data[begin[x] : at[x] + LENGTH]
-                pieces.append(piece)
-                keys.append(xxhash.xxh3_128_digest(bytes((mid[x],)) + piece))
-            done += n
-        columns = [pa.array(begin), flat_h, pa.array(mid, pa.int32()), pa.array(keys, pa.binary()), pa.array(pieces, pa.binary())]
-        rows = pa.StructArray.from_arrays(columns, ["begin", "h", "mid", "key", "bytes"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), rows)
-
-    return cut(text, ats)
+        cut = [data[b : a + LENGTH] for b, a in zip(begin.tolist(), at.tolist())]
+        keys = [xxhash.xxh3_128_digest(bytes((m,)) + c) for m, c in zip(mid, cut)]
+        many = len(cut)
+        for column, new in zip(columns, ([row["doc"]] * many, [row["print"]] * many, (begin + row["start"]).tolist(), h.view(np.int64).tolist(), mid, keys, cut)):
+            column += new
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS)], schema=_SEGMENTS)
 
 
 def _can_meet(segments: list[bytes], mids: list[int]) -> np.ndarray:
@@ -256,63 +359,67 @@ def _windows_of_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": [*frame["key"], *alone["key"]], "lowest": [*found, *own]})
 
 
-def _cut_out(text, doc, begins, lowest):
+def _cut_out(text, ranges):
     @F.arrow_udf("n_bytes long, n_removed long, n_spans long, kept binary")
-    def remove(texts: pa.Array, docs: pa.Array, starts: pa.Array) -> pa.Array:
+    def remove(texts: pa.Array, gone: pa.Array) -> pa.Array:
         rows = []
-        for t, s in zip(texts, starts):
-            data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-            covered = np.zeros(len(data) + 1, np.int32)
-            at = s.values.to_numpy(zero_copy_only=False) if s.is_valid else np.zeros(0, np.int64)
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + LENGTH, -1)
-            gone = np.cumsum(covered[:-1]) > 0
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1))
-            rows.append({"n_bytes": len(data), "n_removed": int(gone.sum()), "n_spans": spans, "kept": kept})
+        for t, r in zip(texts, gone):
+            data = t.as_py()
+            change = np.zeros(len(data) + LENGTH, np.int32)
+            if r.is_valid:
+                begins, ends = (x.to_numpy(zero_copy_only=False) for x in r.values.flatten())
+                np.add.at(change, begins, 1)
+                np.add.at(change, ends + LENGTH - 1, -1)
+            out = np.cumsum(change[: len(data)]) > 0
+            kept = np.frombuffer(data, np.uint8)[~out].tobytes()
+            spans = int(np.count_nonzero(np.diff(np.concatenate(([0], out.astype(np.int8)))) == 1))
+            rows.append({"n_bytes": len(data), "n_removed": int(out.sum()), "n_spans": spans, "kept": kept})
         kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
         return pa.array(rows, kind)
 
-    return remove(text, doc, begins)
+    return remove(text, ranges)
+
+
+def copied_chunks(texts: DataFrame) -> DataFrame:
+    """(batch, doc, print, s, e): windows that begin from s to before e are in a chunk that a smaller id has too."""
+    chunks = texts.select("batch", "doc", "print", F.explode(_chunks(F.col("data"))).alias("c")).select("batch", "doc", "print", "c.*")
+    chunks = materialize(chunks, "chunks", "zstd")
+    first = chunks.groupBy("k1", "k2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    return chunks.join(first, ["k1", "k2"]).where("doc > low").select("batch", "doc", "print", "s", "e")
 
 
-def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(doc, starts): where windows begin that also start under a smaller id. ``docs``: doc, text, distinct texts."""
-    found = docs.select("doc", F.explode(_entries(F.col("text"), False)).alias("m")).select("doc", "m.at", "m.h")
-    shared = found.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h")
-    shared = materialize(shared, "shared-minimizers")
-    places = found.join(shared, "h").groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("places"))
-    places = materialize(places, "shared-places")
-    cut = docs.join(places, "doc").select("doc", F.explode(_segments(F.col("text"), F.col("places"))).alias("s")).select("doc", "s.*")
+def repeated_windows(pieces: DataFrame) -> DataFrame:
+    """(doc, print, starts): where windows of pieces begin that a smaller id has too."""
+    size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    ranges = max(1, -(-size * 2 // (LENGTH - GRAM + 2) // HASHES))
+    packed = pieces.select("batch", "doc", "piece").mapInArrow(_pack_hashes(ranges), "range int, batch int, hashes binary")
+    shared = packed.groupBy("range").applyInArrow(_shared_of_range, "batch int, hashes binary")
+    cut = pieces.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_segments_of_batch, "doc long, print long, begin int, h long, mid int, key binary, bytes binary")
     cut = materialize(cut, "segments", "zstd")
     held = [F.min("doc").alias("doc"), F.max("doc").alias("high"), F.first("mid").alias("mid"), F.first("bytes").alias("bytes")]
-    distinct = cut.groupBy("h", "key").agg(*held)
-    distinct = materialize(distinct, "distinct-segments", "zstd")
+    distinct = materialize(cut.groupBy("h", "key").agg(*held), "distinct-segments", "zstd")
     buckets = max(1, -(-distinct.count() // BUCKET))
     lowest = distinct.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInPandas(_windows_of_bucket, "key binary, lowest array<long>")
-    # Drop segments whose windows all start there first.
-    lowest = materialize(lowest.where(F.size("lowest") > 0), "window-ids")
-    hits = cut.select("doc", "begin", "key").join(lowest, "key")
+    lowest = materialize(lowest.where(F.size("lowest") > 0), "window-ids", "zstd")
+    hits = cut.select("doc", "print", "begin", "key").join(lowest, "key")
     starts = F.filter(F.transform("lowest", lambda x, i: F.when(x < F.col("doc"), F.col("begin") + i)), lambda x: x.isNotNull())
-    hits = hits.select("doc", starts.alias("starts")).where(F.size("starts") > 0)
-    return hits.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    return hits.select("doc", "print", starts.alias("starts")).where(F.size("starts") > 0)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every row."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("print"), F.crc32(text.cast("binary")).alias("check"))
-    classes = rows.where("doc_id IS NOT NULL").groupBy("print", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    classes = materialize(classes.select("print", "check", "low"), "copied-texts")
-    copies = rows.select("doc_id", "print", "check").join(classes, ["print", "check"]).where("doc_id > low").select("doc_id", "print", "check").distinct()
-    copies = materialize(copies, "copies")
-    searched = rows.where("doc_id IS NOT NULL").join(copies, ["doc_id", "print", "check"], "left_anti").select(F.col("doc_id").alias("doc"), "text")
-    # Read three times: once written, its texts are not joined and shuffled each time.
-    searched = materialize(searched, "searched-texts", "zstd")
-    starts = materialize(repeated_starts(searched), "repeated-starts")
-    marks = starts.withColumnRenamed("doc", "doc_id")
-    marked = rows.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "print", "check"], "left").join(marks, "doc_id", "left")
-    whole = F.when(F.octet_length("text") >= LENGTH, F.sequence(F.lit(0), F.octet_length("text") - LENGTH))
-    at = F.when(F.coalesce("copy", F.lit(False)), whole).otherwise(F.col("starts"))
-    done = marked.select("doc_id", _cut_out(F.col("text"), F.col("doc_id"), at, None).alias("r"))
+    data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.select("doc_id", data.alias("data"))
+    size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    batch = F.pmod(F.xxhash64("doc", "print"), F.lit(max(1, -(-size // BATCH)))).cast("int")
+    texts = rows.where((F.octet_length("data") >= LENGTH) & F.col("doc_id").isNotNull())
+    texts = texts.select(F.col("doc_id").alias("doc"), F.xxhash64("data").alias("print"), "data").withColumn("batch", batch)
+    known = materialize(copied_chunks(texts), "copied-chunks", "zstd")
+    pieces = texts.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(_pieces_of_batch, "batch int, doc long, print long, start int, piece binary")
+    pieces = materialize(pieces, "pieces", "zstd")
+    found = repeated_windows(pieces).select("doc", "print", F.transform("starts", lambda x: F.struct(x.alias("s"), (x + 1).alias("e"))).alias("gone"))
+    gone = known.select("doc", "print", F.array(F.struct("s", "e")).alias("gone")).unionByName(found)
+    gone = gone.groupBy(F.col("doc").alias("doc_id"), "print").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    marked = rows.withColumn("print", F.xxhash64("data")).join(gone, ["doc_id", "print"], "left")
+    done = marked.select("doc_id", _cut_out(F.col("data"), F.col("gone")).alias("r"))
     return done.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept")
