@@ -15,8 +15,8 @@ a document with a smaller id.
    sends each of its distinct hashes once, packed by hash range, and gets back those that
    another document has too. Equal segments are one, with
    their smallest id. So all equal windows meet in the bucket of their minimizer.
-3. Of a bucket's segments only those that share the gram and half of the bytes that a
-   window has around it, on one side, can share a window; the others stay as they are.
+3. Of a bucket's segments only the parts go further that another one can share: as many bytes before and
+   behind the gram as are common with some other segment, if they fill a window.
    These are split into shards. The transform of each shard is
    built alone; transforms are merged pairwise by interleave refinement:
    start from "all of the first, then all of the second" and repeat a stable
@@ -64,6 +64,8 @@ HASHES = 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
+_BLOCK = 1 << 15  # windows at once
+_PLACE = np.uint64(2**16 - 1)
 
 
 def gram_hashes(data: bytes, gram: int) -> np.ndarray:
@@ -100,21 +102,23 @@ def chunk_starts(data: bytes) -> np.ndarray:
 
 def minimizers(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the grams that are the minimizer of some window."""
-    n = len(data) - gram + 1
     width = length - gram + 1
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = gram_hashes(data, gram)
-    # Leftmost lowest in each window: carry positions through a doubling minimum.
-    low, where, span = hashes, np.arange(n, dtype=np.int32), 1
-    while span < width:
-        step = min(span, width - span)
-        right = low[step:] < low[:-step]
-        low = np.where(right, low[step:], low[:-step])
-        where = np.where(right, where[step:], where[:-step])
-        span += step
-    at = where[np.concatenate(([True], where[1:] != where[:-1]))].astype(np.int64)
-    at = np.unique(at)
+    windows, found = len(data) - length + 1, []
+    for begin in range(0, windows, _BLOCK):
+        # The position below the hash: one minimum finds the leftmost lowest of each window.
+        low = hashes[begin : min(begin + _BLOCK, windows) + width - 1] & ~_PLACE
+        low |= np.arange(len(low), dtype=np.uint64)
+        span = 1
+        while span < width:
+            step = min(span, width - span)
+            low = np.minimum(low[step:], low[:-step])
+            span += step
+        low = low[np.concatenate(([True], low[1:] != low[:-1]))]
+        found.append((low & _PLACE).astype(np.int64) + begin)
+    at = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
     return at, hashes[at]
 
 
@@ -328,35 +332,48 @@ def _segments_of_batch(pieces: pa.Table, shared: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS)], schema=_SEGMENTS)
 
 
-def _can_meet(segments: list[bytes], mids: list[int]) -> np.ndarray:
-    """Whether a segment may share a window with another one of the bucket.
-
-    A shared window holds the gram and ``LENGTH - GRAM`` bytes around it, so at
-    least half of these lie on one side: two segments that share a window also share the
-    gram with that half before it or with that half behind it.
-    """
-    half = (LENGTH - GRAM) // 2
-    meets = np.zeros(len(segments), bool)
-    before = [s[m - half : m + GRAM] if m >= half else None for s, m in zip(segments, mids)]
-    behind = [s[m : m + GRAM + half] if len(s) >= m + GRAM + half else None for s, m in zip(segments, mids)]
-    for side in (before, behind):
-        column = pd.Series(side, dtype=object)
-        meets |= (column.notna() & column.duplicated(keep=False)).to_numpy()
-    return meets
+def _reach(segments: list[bytes], mids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes before and behind its gram a segment can share with another one of the bucket."""
+    reaches = []
+    for strings, own in (([s[m : m + GRAM] + s[:m][::-1] for s, m in zip(segments, mids)], mids), ([s[m:] for s, m in zip(segments, mids)], [len(s) - m - GRAM for s, m in zip(segments, mids)])):
+        table = np.frombuffer(b"".join(x.ljust(LENGTH, b"\0") for x in strings), np.uint8).reshape(-1, LENGTH)
+        order = np.argsort(np.ascontiguousarray(table).view(f"S{LENGTH}").ravel())
+        differ = table[order[1:]] != table[order[:-1]]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
+        most = np.zeros(len(strings), np.int64)
+        most[order[1:]] = common
+        most[order[:-1]] = np.maximum(most[order[:-1]], common)
+        reaches.append(np.minimum(most - GRAM, own))
+    return reaches[0], reaches[1]
 
 
 def _windows_of_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-    """Smallest ids of the windows of a bucket's segments.
+    """Runs of windows of a bucket's segments with the smallest id that holds them, if another holder has a larger one.
 
-    Segments that meet no other keep their own smallest id in all windows;
-    if they have one holder only, they lead to no row.
+    Only what a segment can share with another one is transformed: a shared window holds the
+    gram, so its part before the gram is common to both segments, and its part behind it.
+    In all other windows the segment's own smallest id is the smallest.
     """
-    meets = _can_meet(frame["bytes"].tolist(), frame["mid"].tolist())
-    alone = frame[~meets & (frame["doc"] < frame["high"]).to_numpy()]
-    frame = frame[meets].sort_values("key")
-    found = smallest_ids(frame["bytes"].tolist(), frame["doc"].to_numpy(np.int64)) if len(frame) else []
-    own = [np.full(max(0, len(s) - LENGTH + 1), d, np.int64) for s, d in zip(alone["bytes"], alone["doc"])]
-    return pd.DataFrame({"key": [*frame["key"], *alone["key"]], "lowest": [*found, *own]})
+    frame = frame.sort_values("key")
+    segments, mids = frame["bytes"].tolist(), frame["mid"].to_numpy(np.int64)
+    own, high = frame["doc"].to_numpy(np.int64), frame["high"].to_numpy(np.int64)
+    before, behind = _reach(segments, mids)
+    meets = np.flatnonzero((before >= 0) & (behind >= 0) & (before + GRAM + behind >= LENGTH))
+    windows = np.fromiter(map(len, segments), np.int64, len(segments)) - LENGTH + 1
+    ends = np.cumsum(windows)
+    begins = ends - windows
+    lowest = np.repeat(own, windows)
+    if len(meets):
+        parts = [segments[i][mids[i] - before[i] : mids[i] + GRAM + behind[i]] for i in meets]
+        for i, ids in zip(meets, smallest_ids(parts, own[meets])):
+            at = begins[i] + mids[i] - before[i]
+            lowest[at : at + len(ids)] = ids
+    change = np.concatenate(([True], lowest[1:] != lowest[:-1]))
+    change[begins] = True
+    starts = np.flatnonzero(change)
+    of = np.repeat(np.arange(len(segments)), windows)[starts]
+    runs = pd.DataFrame({"key": frame["key"].to_numpy()[of], "at": starts - begins[of], "n": np.diff(starts, append=len(lowest)), "low": lowest[starts]})
+    return runs[runs["low"].to_numpy() < high[of]]
 
 
 def _cut_out(text, ranges):
@@ -389,7 +406,7 @@ def copied_chunks(texts: DataFrame) -> DataFrame:
 
 
 def repeated_windows(pieces: DataFrame) -> DataFrame:
-    """(doc, print, starts): where windows of pieces begin that a smaller id has too."""
+    """(doc, print, s, e): windows of pieces that begin from s to before e start under a smaller id too."""
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     ranges = max(1, -(-size * 2 // (LENGTH - GRAM + 2) // HASHES))
     packed = pieces.select("batch", "doc", "piece").mapInArrow(_pack_hashes(ranges), "range int, batch int, hashes binary")
@@ -399,11 +416,10 @@ def repeated_windows(pieces: DataFrame) -> DataFrame:
     held = [F.min("doc").alias("doc"), F.max("doc").alias("high"), F.first("mid").alias("mid"), F.first("bytes").alias("bytes")]
     distinct = materialize(cut.groupBy("h", "key").agg(*held), "distinct-segments", "zstd")
     buckets = max(1, -(-distinct.count() // BUCKET))
-    lowest = distinct.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInPandas(_windows_of_bucket, "key binary, lowest array<long>")
-    lowest = materialize(lowest.where(F.size("lowest") > 0), "window-ids", "zstd")
-    hits = cut.select("doc", "print", "begin", "key").join(lowest, "key")
-    starts = F.filter(F.transform("lowest", lambda x, i: F.when(x < F.col("doc"), F.col("begin") + i)), lambda x: x.isNotNull())
-    return hits.select("doc", "print", starts.alias("starts")).where(F.size("starts") > 0)
+    lowest = distinct.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInPandas(_windows_of_bucket, "key binary, at int, n int, low long")
+    lowest = materialize(lowest, "window-ids", "zstd")
+    begin = F.col("begin") + F.col("at")
+    return cut.select("doc", "print", "begin", "key").join(lowest, "key").where("low < doc").select("doc", "print", begin.alias("s"), (begin + F.col("n")).alias("e"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -417,9 +433,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     known = materialize(copied_chunks(texts), "copied-chunks", "zstd")
     pieces = texts.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(_pieces_of_batch, "batch int, doc long, print long, start int, piece binary")
     pieces = materialize(pieces, "pieces", "zstd")
-    found = repeated_windows(pieces).select("doc", "print", F.transform("starts", lambda x: F.struct(x.alias("s"), (x + 1).alias("e"))).alias("gone"))
-    gone = known.select("doc", "print", F.array(F.struct("s", "e")).alias("gone")).unionByName(found)
-    gone = gone.groupBy(F.col("doc").alias("doc_id"), "print").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    gone = known.drop("batch").unionByName(repeated_windows(pieces))
+    gone = gone.groupBy(F.col("doc").alias("doc_id"), "print").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
     marked = rows.withColumn("print", F.xxhash64("data")).join(gone, ["doc_id", "print"], "left")
     done = marked.select("doc_id", _cut_out(F.col("data"), F.col("gone")).alias("r"))
     return done.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept")
