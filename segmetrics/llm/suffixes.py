@@ -28,7 +28,7 @@ a document with a smaller id.
 4. Every holder of a segment loses the windows whose smallest id is below its
    own; overlapping windows are joined per document.
 
-Documents are never brought together whole: a bucket holds about ``BUCKET``
+Documents are never brought together whole: a bucket holds at most about ``BUCKET``
 distinct segments of at most ``2 * LENGTH - GRAM`` bytes, a hash range about ``HASHES`` hashes
 (a frequent one counts once per batch), a batch about ``BATCH`` bytes or one longer text.
 
@@ -56,39 +56,31 @@ LENGTH = 50
 GRAM = 24
 BUCKET = 4000
 SHARD = 2000
-CUT_GRAM = 16
+CUT_GRAM = 8
 CUT_ONE_IN = 256  # positions, on average
 CUT_APART = 64
 BATCH = 4 << 20
 HASHES = 1 << 18
 
-_P = np.uint64(0x9E3779B97F4A7C15)
+_P = np.uint64(0x9E3779B97F4A7C15)  # odd
 _S = np.uint64(29)
 _BLOCK = 1 << 15  # windows at once
 _PLACE = np.uint64(2**16 - 1)
 
 
 def gram_hashes(data: bytes, gram: int) -> np.ndarray:
-    """64-bit hashes of all strings of ``gram`` bytes."""
+    """64-bit hashes of all strings of ``gram`` bytes, a multiple of 8."""
     n = len(data) - gram + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
-    have, size = raw * _P, 1  # hashes of all strings of ``size`` bytes, by doubling
-    have ^= have >> _S
-    parts, at = None, 0
-    bits = gram
-    while bits:
-        if bits & 1:
-            piece = have[at : at + n]
-            parts = piece.copy() if parts is None else (parts * _P) ^ piece
-            parts ^= parts >> _S
-            at += size
-        bits >>= 1
-        if bits:
-            joined = have[:-size] * _P + have[size:]
-            have, size = joined ^ (joined >> _S), size * 2
-    hashes = parts * np.uint64(0xC4CEB9FE1A85EC53)
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).astype(np.uint64)
+    hashes = eights[:n] * _P
+    for at in range(8, gram, 8):
+        hashes ^= hashes >> _S
+        hashes += eights[at : at + n]
+        hashes *= _P
+    hashes ^= hashes >> _S
+    hashes *= np.uint64(0xC4CEB9FE1A85EC53)
     hashes ^= hashes >> np.uint64(33)
     return hashes
 
@@ -315,7 +307,7 @@ _SEGMENTS = pa.schema([("doc", pa.int64()), ("print", pa.int64()), ("begin", pa.
 def _segments_of_batch(pieces: pa.Table, shared: pa.Table) -> pa.Table:
     """The bytes around each shared minimizer of a batch, with where they begin in the text."""
     wanted = np.unique(np.frombuffer(b"".join(shared["hashes"].to_pylist()), np.uint64))
-    columns = [[] for _ in _SEGMENTS]
+    numbers, keys, cut = [np.zeros((5, 0), np.int64)], [], []
     for row in pieces.to_pylist() if len(wanted) else ():
         data = row["piece"]
         at, h = minimizers(data)
@@ -323,12 +315,12 @@ def _segments_of_batch(pieces: pa.Table, shared: pa.Table) -> pa.Table:
         have = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
         at, h = at[have], h[have]
         begin = np.maximum(0, at + GRAM - LENGTH)
-        mid = (at - begin).tolist()
-        cut = [data[b : a + LENGTH] for b, a in zip(begin.tolist(), at.tolist())]
-        keys = [xxhash.xxh3_128_digest(bytes((m,)) + c) for m, c in zip(mid, cut)]
-        many = len(cut)
-        for column, new in zip(columns, ([row["doc"]] * many, [row["print"]] * many, (begin + row["start"]).tolist(), h.view(np.int64).tolist(), mid, keys, cut)):
-            column += new
+        mid = at - begin
+        mine = [data[b : a + LENGTH] for b, a in zip(begin.tolist(), at.tolist())]
+        keys += [xxhash.xxh3_128_digest(bytes((m,)) + c) for m, c in zip(mid.tolist(), mine)]
+        cut += mine
+        numbers.append(np.stack([np.full(len(at), row["doc"]), np.full(len(at), row["print"]), begin + row["start"], h.view(np.int64), mid]))
+    columns = [*np.concatenate(numbers, axis=1), keys, cut]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS)], schema=_SEGMENTS)
 
 
@@ -413,9 +405,8 @@ def repeated_windows(pieces: DataFrame) -> DataFrame:
     shared = packed.groupBy("range").applyInArrow(_shared_of_range, "batch int, hashes binary")
     cut = pieces.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_segments_of_batch, "doc long, print long, begin int, h long, mid int, key binary, bytes binary")
     cut = materialize(cut, "segments", "zstd")
-    held = [F.min("doc").alias("doc"), F.max("doc").alias("high"), F.first("mid").alias("mid"), F.first("bytes").alias("bytes")]
-    distinct = materialize(cut.groupBy("h", "key").agg(*held), "distinct-segments", "zstd")
-    buckets = max(1, -(-distinct.count() // BUCKET))
+    distinct = cut.groupBy("h", "key", "mid", "bytes").agg(F.min("doc").alias("doc"), F.max("doc").alias("high"))
+    buckets = max(1, -(-cut.count() // BUCKET))  # they hold fewer, as far as segments are equal
     lowest = distinct.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInPandas(_windows_of_bucket, "key binary, at int, n int, low long")
     lowest = materialize(lowest, "window-ids", "zstd")
     begin = F.col("begin") + F.col("at")
