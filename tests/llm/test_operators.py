@@ -271,6 +271,7 @@ def test_suffixes(spark, docs, edge):
     base = "".join(rnd.choice("abcd é") for _ in range(2000))
     made = [(100 + i, base[(a := rnd.randrange(1900)) : a + rnd.randint(20, 400)] + (base[:200] if i % 7 == 0 else "")) for i in range(120)]
     made += [(300 + i, "z" * (40 + 10 * i)) for i in range(8)]
+    made += [(120, base[300:900]), (400, base), (401, base), (401, base[:1500] + "x" + base[1500:])]  # ids with several texts
     extra = spark.createDataFrame(made, "doc_id long, text string")
     for df in (docs.select("doc_id", "text"), edge.select("doc_id", "text"), extra):
         got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffixes.without_repeats(df).collect()]
