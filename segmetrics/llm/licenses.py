@@ -11,7 +11,7 @@
 3. A licence file speaks for its directory and all below. A file without a
    licence of its own takes that of its nearest ancestor directory with a
    licence file: its directory is expanded to its ancestors, which are joined
-   to the licence files by path, and the longest path wins. Directories
+   to the directories spoken for, and the longest path wins. Directories
    are resolved first, one row each, and joined to files afterwards, so
    that a directory with a third of all files is expanded once.
 
@@ -126,6 +126,7 @@ def ancestors_of(directory: Column) -> Column:
 def scanned_licenses(files: DataFrame, license_files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Licences of ``files`` (doc_id, path, text); ``license_files`` (path) names those that speak for their directory.
 
+    With a column ``directory``, ``license_files`` also says for which directory each of them speaks.
     Returns doc_id, path, license, cosine, origin (``own``, ``inherited`` or null) and
     the directory inherited from.
     """
@@ -141,8 +142,10 @@ def scanned_licenses(files: DataFrame, license_files: DataFrame, threshold: floa
     own = own.select(F.to_json("key").alias("join_key"), "best.license", (-F.col("best.c")).alias("cosine"))
     marked = materialize(rows.join(own, "join_key", "left").select("key.doc_id", "key.path", "directory", "license", "cosine"), "own-licenses")
 
-    speakers = marked.where("license IS NOT NULL AND directory IS NOT NULL").join(license_files.select("path").distinct(), "path", "left_semi")
-    speakers = speakers.groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select(F.col("directory").alias("ancestor"), F.col("best.license").alias("given"))
+    spoken = F.col("directory") if "directory" in license_files.columns else directory_of(F.col("path"))
+    spoken = license_files.select("path", spoken.alias("ancestor")).distinct()
+    speakers = marked.where("license IS NOT NULL AND directory IS NOT NULL").select("path", "license", "cosine").distinct().join(spoken, "path")
+    speakers = speakers.groupBy("ancestor").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select("ancestor", F.col("best.license").alias("given"))
     directories = marked.where("directory IS NOT NULL").select("directory").distinct()
     climbed = directories.select("directory", F.explode(ancestors_of(F.col("directory"))).alias("ancestor")).join(speakers, "ancestor")
     nearest = climbed.groupBy("directory").agg(F.max(F.struct(F.length("ancestor").alias("n"), "ancestor", "given")).alias("up"))
@@ -162,10 +165,12 @@ def scanned_licenses(files: DataFrame, license_files: DataFrame, threshold: floa
 def document_files(docs: DataFrame, folder: int = 100, part: int = 10) -> tuple[DataFrame, DataFrame]:
     """``documents`` as files, source/lang/doc_id div ``folder``/doc_id div ``part``/doc_id, and the licence files.
 
-    The document with the smallest id of a directory is its licence file.
+    The document with the smallest id under a directory, at any depth, is the licence
+    file of that directory: of the source, the language and both levels of ids.
     """
     step = lambda n: F.floor(F.col("doc_id") / n).cast("string")
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), step(folder), step(part), F.col("doc_id").cast("string"))
     files = docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), path).alias("path"))
-    firsts = files.where("path IS NOT NULL").groupBy(directory_of(F.col("path")).alias("directory")).agg(F.min_by("path", "doc_id").alias("path"))
-    return files, firsts.select("path")
+    above = files.where("path IS NOT NULL").select("doc_id", "path", F.explode(ancestors_of(directory_of(F.col("path")))).alias("directory"))
+    firsts = above.where("directory != ''").groupBy("directory").agg(F.min(F.struct("doc_id", "path")).alias("first"))
+    return files, firsts.select("first.path", "directory")
