@@ -1,8 +1,10 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance by directory.
 
-1. Every whole text is cut into statements (lines, and sentences within them).
-   A statement with a cue word of licence language is a header; its terms and
-   those of the templates are weighted by TF-IDF. Document frequencies of the
+1. Every whole text is cut into statements: lines and sentences within them,
+   blocks of consecutive lines and sentences that run over their lines, and the
+   identifiers of SPDX tags, each one term. A licence file's whole text is a
+   statement too. A statement with a cue word of licence language is a header;
+   its terms and those of the templates are weighted by TF-IDF. Document frequencies of the
    template terms are counted over all documents; a term outside the templates
    has the weight of a term seen once, so that prose around a few licence words
    lowers the cosine.
@@ -18,7 +20,9 @@
 Only DataFrame and SQL functions are used. Only headers leave their rows; what
 is broadcast is the template weights, bounded by the template terms.
 
-Defined results: null texts have no headers; a null path has no directory and
+Defined results: null texts have no headers; each identifier of an SPDX
+expression counts on its own, without its exception, and one that no template
+has counts for no licence; a null path has no directory and
 inherits nothing; repeated rows give repeated rows; of several licence files
 in a directory the one with the highest cosine counts, then the first name;
 empty tables give empty results.
@@ -49,23 +53,60 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved.",),
 }
 CUES = r"(?i)licen[sc]|copyright|redistribut|permission is hereby|public domain|rights reserved|creative commons|spdx"
+# Titles of the licence texts, and SPDX identifiers.
+TITLES = {
+    "Apache-2.0": ("Apache License Version 2.0, January 2004",),
+    "MIT": ("The MIT License (MIT)",),
+    "GPL-3.0": ("GNU General Public License Version 3, 29 June 2007",),
+    "GPL-2.0": ("GNU General Public License Version 2, June 1991",),
+    "LGPL-3.0": ("GNU Lesser General Public License Version 3, 29 June 2007",),
+    "AGPL-3.0": ("GNU Affero General Public License Version 3, 19 November 2007",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+}
+GNU = ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0")
+SPDX_IDS = {name: (name, *((f"{name}-only", f"{name}-or-later", f"{name}+") if name in GNU else ())) for name in TEMPLATES if name != "Proprietary"}
+NOTICES = {name: (*texts, *TITLES.get(name, ()), *(f"SPDX-License-Identifier: {x}" for x in SPDX_IDS.get(name, ()))) for name, texts in TEMPLATES.items()}
 # End fixed values.
 
 THRESHOLD = 0.6
 
 
+_TAG = r"spdx-license-identifier[\s:=\"'(]*"
+_ID = r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?"
+_EXPRESSION = rf"(?i){_TAG}({_ID}(?:[\x20\t()]+(?:or|and|with)[\x20\t()]+{_ID})*)"
+
+
 def terms_of(text: Column) -> Column:
-    """Lower-case words and numbers (``2.0`` is one term)."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+|[0-9]+(?:\.[0-9]+)*"), F.lit(0))
+    """Lower-case words and numbers (``2.0`` is one term, and so is the identifier of an SPDX tag)."""
+    tagged = F.regexp_replace(F.lower(text), rf"{_TAG}({_ID})", " spdx:$1 ")
+    return F.regexp_extract_all(tagged, F.lit(r"spdx:[a-z0-9.+-]+|[\p{L}\p{M}]+|[0-9]+(?:\.[0-9]+)*"), F.lit(0))
+
+
+def spdx_tags(text: Column) -> Column:
+    """A tag of its own for each identifier of the SPDX expressions."""
+
+    def tags(expression: Column) -> Column:
+        ids = F.split(expression, r"(?i)[\x20\t()]+(?:or|and)[\x20\t()]+")
+        return F.transform(ids, lambda x: F.concat(F.lit("SPDX-License-Identifier: "), F.regexp_replace(x, r"(?i)[\x20\t()]+with[\x20\t()].*", "")))
+
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_EXPRESSION), F.lit(1)), tags))
 
 
 def statements_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"\n|(?<=[.!?])[\x20\t]+"), lambda s: s.rlike(CUES))
+    """Lines and their sentences, blocks between lines without words, the sentences of these, and SPDX tags; those with a cue."""
+    cued = lambda s: s.rlike(CUES)
+    lines = F.split(text, r"\n|(?<=[.!?])[\x20\t]+")
+    blocks = F.filter(F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+"), cued)
+    # A new line within a block, with the marks of a comment before it, is a space.
+    joined = F.transform(blocks, lambda s: F.regexp_replace(s, r"\s*\n[^\p{L}\p{N}\n]*", " "))
+    sentences = F.flatten(F.transform(joined, lambda s: F.split(s, r"(?<=[.!?])[\x20\t]+")))
+    return F.array_distinct(F.filter(F.concat(lines, joined, sentences, spdx_tags(text)), cued))
 
 
 def template_terms(spark) -> DataFrame:
     """(notice, license, term, tf): the terms of every template notice."""
-    rows = [(f"{name} {i}", name, text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
+    rows = [(f"{name} {i}", name, text) for name, texts in NOTICES.items() for i, text in enumerate(texts)]
     table = spark.createDataFrame(rows, "notice string, license string, text string")
     return table.select("notice", "license", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("notice", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -92,13 +133,14 @@ def template_weights(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame
     return materialize(rows.join(norms, "notice").select("notice", "license", "term", "idf", "weight", "norm"), "license-weights"), float(outside)
 
 
-def header_licenses(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def header_licenses(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", whole: DataFrame | None = None) -> DataFrame:
     """(statement, license, cosine): the best template of every distinct header that reaches the threshold.
 
-    Headers are scored once per distinct statement; copies are aggregated before the shuffle.
+    ``whole`` (statement) has texts that are scored as they are besides. Headers are scored once per distinct statement; copies are aggregated before the shuffle.
     """
     weights, outside = template_weights(docs, text_col)
-    headers = docs.where(F.col(text_col).rlike(CUES)).select(F.explode(statements_of(F.col(text_col))).alias("statement")).distinct()
+    headers = docs.where(F.col(text_col).rlike(CUES)).select(F.explode(statements_of(F.col(text_col))).alias("statement"))
+    headers = (headers if whole is None else headers.union(whole)).distinct()
     terms = headers.select("statement", F.explode(terms_of(F.col("statement"))).alias("term")).groupBy("statement", "term").agg(F.count(F.lit(1)).alias("tf"))
     known = F.broadcast(weights.select("term", "idf").distinct())  # bounded by the template terms
     weighed = terms.join(known, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(outside))).drop("idf")
@@ -131,10 +173,13 @@ def scanned_licenses(files: DataFrame, license_files: DataFrame, threshold: floa
     the directory inherited from.
     """
     files = files.select("doc_id", "path", "text")
-    scored = materialize(header_licenses(files, threshold), "header-licenses")
-    key = F.struct("doc_id", "path", F.xxhash64("text").alias("print"))
     headed = files.where(F.col("text").rlike(CUES))
-    found = headed.select(key.alias("key"), F.explode(statements_of(F.col("text"))).alias("statement")).join(scored, "statement")
+    whole = materialize(headed.join(license_files.select("path").distinct(), "path", "left_semi").select("doc_id", "path", "text"), "license-texts")
+    scored = materialize(header_licenses(files, threshold, whole=whole.select(F.col("text").alias("statement"))), "header-licenses")
+    key = F.struct("doc_id", "path", F.xxhash64("text").alias("print"))
+    stated = headed.select(key.alias("key"), F.explode(statements_of(F.col("text"))).alias("statement"))
+    stated = stated.union(whole.select(key.alias("key"), F.col("text").alias("statement")))
+    found = stated.join(scored, "statement")
     own = found.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
     rows = files.select(key.alias("key"), directory_of(F.col("path")).alias("directory"))
     # Keys hold nulls: compare them by their text form.

@@ -34,3 +34,23 @@ def test_licenses_are_inherited_on_a_given_table(spark):
             n += 1
             assert (r["origin"], r["license"], r["from_directory"]) == ("inherited", own[first[near]], near)
     assert n > 0 and len(got) == 1000
+
+
+def test_licenses_of_tags_blocks_and_whole_files(spark):
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       {}\n\n Everyone may copy this document.\n"
+    mit = "Permission is hereby\ngranted,\n\nfree of charge,\n\nto any person obtaining a copy\n\nof this software and associated\n\ndocumentation files.\n"
+    rows = [
+        (1, "a/x.py", "# SPDX-License-Identifier: MIT\nimport os", "MIT"),
+        (2, "b/x.c", "/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"),
+        (3, "c/x.c", "// SPDX-License-Identifier: (ISC OR GPL-2.0-only WITH Classpath-exception-2.0)", "GPL-2.0"),
+        (4, "d/x.c", "// SPDX-License-Identifier: BSD-2-Clause", None),
+        (5, "e/COPYING", gpl.format("Version 3, 29 June 2007"), "GPL-3.0"),
+        (6, "f/COPYING", gpl.format("Version 2, June 1991"), "GPL-2.0"),
+        (7, "g/x.c", "#\n# Licensed under the Apache\n# License, Version\n# 2.0.\n#\n\ncode", "Apache-2.0"),
+        (8, "h/LICENSE", mit, "MIT"),
+        (9, "i/x.txt", mit, None),  # no licence file: not compared as a whole
+    ]
+    rows += [(100 + i, f"p/{i}.txt", f"the software of this person and files of version {i} are used as a copy", None) for i in range(200)]
+    files = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")
+    got = licenses.scanned_licenses(files, files.where("path LIKE '%/COPYING' OR path LIKE '%/LICENSE'").select("path")).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {r[0]: r[3] for r in rows}
