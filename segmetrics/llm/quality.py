@@ -6,14 +6,20 @@ labelled documents are a holdout, and a cutoff may be used only where the exact
 binomial (Clopper-Pearson) upper bound of its false-rejection rate, the share
 of good documents that it would reject, is at most the allowed risk.
 
-Multiple testing: the grid of a rule is fixed in advance and tested from the
-most lenient cutoff on, stopping at the first one that fails (fixed-sequence
-testing, no correction needed along the grid). Rules and strata are corrected
-by Bonferroni: each test has level ``delta / (rules * strata)``, and each rule
-gets ``risk / rules`` of the risk. So with probability ``1 - delta`` the rules
-together reject at most ``risk`` of the good documents of every stratum. Of
-the certified cutoffs the one that separates bad from good best is used; ties
-go to the more lenient one. A rule that cannot be certified rejects nothing.
+Multiple testing: what is certified is the joint verdict, that any rule of a
+stratum rejects a document, at the whole risk. The labelled documents are cut
+in two halves by a hash of the id. On the tuning half cutoffs are picked one by
+one, each time the rule and cutoff that separate bad from good best (share of
+bad caught less share of good lost) among those with which the joint test still
+holds there; ties go to the first rule and the more lenient cutoff. This gives
+a sequence of joint cutoffs, each of them stricter than the one before: the
+picks in order, each from its most lenient cutoff on. On the other half the sequence is
+tested until the first failure (fixed-sequence testing, no correction needed
+along it), each test at level ``delta / strata`` (Bonferroni over strata). So
+with probability ``1 - delta`` the rules together reject at most ``risk`` of
+the good documents of every stratum. The last certified step is in use. A
+stratum without enough labels rejects nothing: with no good document lost, it
+takes ``log(delta / strata) / log(1 - risk)`` good labels in each half.
 
 Defined results: a null text has no words (base counts 0, ``base_failed``); a
 null stratum is a stratum of its own; repeated rows are judged one by one;
@@ -23,8 +29,9 @@ Texts are read whole. Columns other than the id, text and stratum are not
 touched, so extra columns of any name are safe.
 
 Scale: signals are row-local (no shuffle, no text moves between executors);
-the holdout join moves narrow rows only; the driver sees counts by
-(stratum, rule, grid level), bounded by ``max_strata``.
+the holdout join moves narrow rows only, once; a pass over its rows for each
+pick. The driver sees counts by (stratum, rule, grid level) and by (stratum,
+step), bounded by ``max_strata``.
 """
 
 from __future__ import annotations
@@ -65,7 +72,10 @@ NO_STRATUM = "∅"
 
 @dataclass(frozen=True)
 class Cutoff:
-    """A certified cutoff: reject documents of ``stratum`` whose signal exceeds ``cutoff``."""
+    """A certified cutoff: reject documents of ``stratum`` whose signal exceeds ``cutoff``.
+
+    The counts and the bound are those of all cutoffs of the stratum together, on the certification half.
+    """
 
     stratum: str
     rule: str
@@ -188,13 +198,18 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
-def holdout_histogram(counted: DataFrame, labels: DataFrame, max_strata: int) -> dict[tuple[str, str], dict[tuple[int, int], int]]:
-    """(stratum, rule) -> {(first cutoff exceeded, good): documents} over all labelled documents.
+def holdout(counted: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, counts, good (0 or 1) and half (0 tuning, 1 certification) of the labelled documents.
 
     Documents that fail the base rule are left out: no cutoff decides on them.
     """
     truth = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("good"))
     rows = counted.where(~base_failed("counts")).join(truth, "doc_id")
+    return rows.select("stratum", "counts", (F.col("good") > 0).cast("int").alias("good"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
+
+
+def rule_histogram(rows: DataFrame) -> dict[str, dict[str, dict[tuple[int, int], int]]]:
+    """stratum -> rule -> {(first cutoff exceeded, good): documents}."""
     levels = []
     for rule, (_, _, cutoffs) in RULES.items():
         level = F.lit(len(cutoffs))
@@ -202,38 +217,91 @@ def holdout_histogram(counted: DataFrame, labels: DataFrame, max_strata: int) ->
             level = F.when(signal(rule, "counts") > cutoffs[i], F.lit(i)).otherwise(level)
         levels.append(F.struct(F.lit(rule).alias("rule"), level.alias("level")))
     found = rows.select("stratum", "good", F.explode(F.array(*levels)).alias("at")).groupBy("stratum", "at.rule", "at.level", "good").count()
-    per_stratum = 2 * sum(len(c) + 1 for _, _, c in RULES.values())
-    got = found.limit(max_strata * per_stratum + 1).collect()
-    if len({r["stratum"] for r in got}) > max_strata:
-        raise ValueError(f"more than {max_strata} strata; choose a coarser stratum column")
-    table: dict[tuple[str, str], dict[tuple[int, int], int]] = {}
-    for r in got:
-        table.setdefault((r["stratum"], r["rule"]), {})[r["level"], int(r["good"] > 0)] = r["count"]
+    table: dict[str, dict[str, dict[tuple[int, int], int]]] = {}
+    for r in found.collect():
+        table.setdefault(r["stratum"], {}).setdefault(r["rule"], {})[r["level"], r["good"]] = r["count"]
     return table
 
 
+def tuned_picks(tuning: DataFrame, totals: dict[str, dict[int, int]], risk: float, level: float) -> dict[str, list[tuple[str, int]]]:
+    """stratum -> (rule, index of its cutoff) in the order in which they were picked on the tuning half."""
+    picks: dict[str, list[tuple[str, int]]] = {s: [] for s in totals}
+    gone = {s: {0: 0, 1: 0} for s in totals}
+    active = set(totals)
+    while active:
+        chosen = [Cutoff(s, rule, RULES[rule][2][i], 0, 0, 0, 0.0) for s in sorted(active) for rule, i in picks[s]]
+        rest = rule_histogram(tuning.where(F.col("stratum").isin(sorted(active)) & passes(chosen, "counts", "stratum")))
+        for stratum in sorted(active):
+            good, bad = totals[stratum].get(1, 0), totals[stratum].get(0, 0)
+            best, gain, now = None, 0.0, None
+            for rule in RULES:
+                bins = rest.get(stratum, {}).get(rule, {})
+                lost = caught = 0
+                for i in range(len(RULES[rule][2])):
+                    lost += bins.get((i, 1), 0)
+                    caught += bins.get((i, 0), 0)
+                    if binomial_cdf(gone[stratum][1] + lost, good, risk) > level:
+                        break
+                    if bad and (share := caught / bad - lost / good) > gain:
+                        best, gain, now = (rule, i), share, (caught, lost)
+            if best is None:
+                active.discard(stratum)
+                continue
+            picks[stratum].append(best)
+            for g in (0, 1):
+                gone[stratum][g] += now[g]
+    return picks
+
+
+def steps_of(picks: list[tuple[str, int]]) -> list[dict[str, int]]:
+    """The joint cutoffs in order of strictness: rule -> index of its cutoff."""
+    steps: list[dict[str, int]] = []
+    for rule, last in picks:
+        before = dict(steps[-1]) if steps else {}
+        steps += [{**before, rule: i} for i in range(before.get(rule, -1) + 1, last + 1)]
+    return steps
+
+
 def certified_cutoffs(
     counted: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, max_strata: int = 200
 ) -> list[Cutoff]:
     """The cutoffs in use: at most one per (stratum, rule), in that order."""
-    table = holdout_histogram(counted, labels, max_strata)
-    strata = {s for s, _ in table}
-    level = delta / max(1, len(RULES) * len(strata))
-    share = risk / len(RULES)
+    rows = materialize(holdout(counted, labels), "quality-holdout")
+    got = rows.groupBy("stratum", "half", "good").count().limit(4 * max_strata + 1).collect()
+    strata = sorted({r["stratum"] for r in got})
+    if len(strata) > max_strata:
+        raise ValueError(f"more than {max_strata} strata; choose a coarser stratum column")
+    level = delta / max(1, len(strata))
+    totals = [{s: {r["good"]: r["count"] for r in got if (r["stratum"], r["half"]) == (s, half)} for s in strata} for half in (0, 1)]
+    # Where not even a verdict that loses no good document passes, nothing is tuned.
+    enough = {s for s in strata if all(binomial_cdf(0, t[s].get(1, 0), risk) <= level for t in totals)}
+    picks = tuned_picks(rows.where("half = 0"), {s: totals[0][s] for s in strata if s in enough}, risk, level)
+    steps = {s: steps_of(p) for s, p in picks.items() if p}
+    if not steps:
+        return []
+    # The first step that rejects a document; all later ones do so too.
+    first = F.lit(None).cast("int")
+    for stratum, sequence in steps.items():
+        at = F.lit(len(sequence))
+        for k in reversed(range(len(sequence))):
+            rule, i = next(iter(sequence[k].items() - (sequence[k - 1].items() if k else set())))
+            at = F.when(signal(rule, "counts") > RULES[rule][2][i], F.lit(k)).otherwise(at)
+        first = F.when(F.col("stratum") == stratum, at).otherwise(first)
+    tested = rows.where((F.col("half") == 1) & F.col("stratum").isin(sorted(steps))).groupBy("stratum", first.alias("step"), "good").count().collect()
+    bins = {(r["stratum"], r["step"], r["good"]): r["count"] for r in tested}
     found = []
-    for (stratum, rule), bins in sorted(table.items()):
-        good = sum(v for (_, g), v in bins.items() if g)
-        bad = sum(v for (_, g), v in bins.items() if not g)
-        best, gain, lost, caught = None, 0.0, 0, 0
-        for i, cutoff in enumerate(RULES[rule][2]):
-            lost += bins.get((i, 1), 0)
-            caught += bins.get((i, 0), 0)
-            if binomial_cdf(lost, good, share) > level:
+    for stratum, sequence in sorted(steps.items()):
+        good, passed, lost, caught = totals[1][stratum].get(1, 0), None, 0, 0
+        for k, step in enumerate(sequence):
+            lost += bins.get((stratum, k, 1), 0)
+            caught += bins.get((stratum, k, 0), 0)
+            if binomial_cdf(lost, good, risk) > level:
                 break
-            if bad and (now := caught / bad - lost / good) > gain:
-                best, gain = Cutoff(stratum, rule, cutoff, good, lost, caught, upper_bound(lost, good, level)), now
-        if best:
-            found.append(best)
+            passed = (step, lost, caught)
+        if passed:
+            step, lost_at, caught_at = passed
+            bound = upper_bound(lost_at, good, level)
+            found += [Cutoff(stratum, rule, RULES[rule][2][step[rule]], good, lost_at, caught_at, bound) for rule in RULES if rule in step]
     return found
 
 

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import random
 import sys
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(__file__))
+import brute  # noqa: E402
 
-from segmetrics.llm import licenses  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from segmetrics.llm import decontaminate, licenses, quality, secrets  # noqa: E402
 
 
 def table(spark, sf, name):
@@ -54,3 +59,26 @@ def test_licenses_of_tags_blocks_and_whole_files(spark):
     files = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")
     got = licenses.scanned_licenses(files, files.where("path LIKE '%/COPYING' OR path LIKE '%/LICENSE'").select("path")).collect()
     assert {r["doc_id"]: r["license"] for r in got} == {r[0]: r[3] for r in rows}
+
+
+def test_joint_cutoffs_are_certified_at_the_whole_risk(spark):
+    """1,000 good labels of a stratum are enough, and too few for a seventh of the risk each; the other has too few."""
+    rnd = random.Random(11)
+
+    def text(good):
+        bad = {"#": "ab#def", "!": "ab!def"}[rnd.choice("#!")]
+        return " ".join((bad if not good and rnd.random() < 0.7 else "abcdef") + rnd.choice("ghijklmn") * rnd.randint(1, 4) + str(rnd.randrange(10)) * 2 for _ in range(80))
+
+    rows = [(i, text(i % 4 != 0), "en" if i % 6 else "es", int(i % 4 != 0)) for i in range(1600)]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    truth = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    counted = quality.document_counts(df)
+    found = quality.certified_cutoffs(counted, truth)
+    assert {c.stratum for c in found} == {"en"} and {"symbols", "marks"} <= {c.rule for c in found}
+    assert all(c.upper_bound <= 0.02 and c.n_good > c.good_rejected for c in found)
+    out = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(df, truth).collect()}
+    base = {d for d, t, _, _ in rows if not brute.quality_base(t)[-1]}
+    en = {d: good for d, _, lang, good in rows if lang == "en" and d in base}
+    assert sum(out[d] for d, g in en.items() if g) >= 0.98 * sum(en.values())
+    assert sum(not out[d] for d, g in en.items() if not g) >= 0.9 * sum(not g for g in en.values())
+    assert all(out[d] == (d in base) for d, _, lang, _ in rows if lang == "es")
