@@ -4,12 +4,11 @@ Base kinds stand alone: an assignment to a secret-like name, an access key
 identifier, a long hexadecimal run. Weak kinds mean little by themselves: an
 account identifier (``client_id = x``), a bare mixed token of 32 or more
 characters, an endpoint (a URL or host setting). A weak candidate is reported
-only if a complementary part lies within its scope, ``SCOPE`` code points to
-either side in the same document: an identifier needs a secret, a secret needs
+only if a complementary part lies within its scope, a gap of at most ``SCOPE``
+code points to either side in the same document, whatever the lengths of both: an identifier needs a secret, a secret needs
 an identifier or an endpoint, an endpoint needs an identifier or a secret with
-it. Parts are joined by a range frame over the sorted parts of a document, not
-by pairs; a frame holds at most ``2 * SCOPE / shortest part`` parts, so a
-document full of parts costs in proportion to their number.
+it. Parts are joined by running maxima over the sorted starts and ends of a
+document, not by pairs, so a document full of parts costs a sort of them.
 
 Only DataFrame and SQL functions are used. Positions come from the lengths of
 the pieces between the matches, in code points.
@@ -86,17 +85,33 @@ def linked_weak(parts: DataFrame) -> DataFrame:
     """doc_id, print and the array ``linked`` of weak parts with complementary parts in their scope."""
     both = parts.where("size(weak) > 0 AND size(base) + size(weak) > 1")
     rows = both.select("doc_id", "print", F.explode(F.concat("base", "weak")).alias("p")).distinct()
-    role = F.lit(0)
-    for kind, bit in ROLES.items():
-        role = F.when(F.col("p.rank") == KINDS.index(kind), F.lit(bit)).otherwise(role)
-    scope = Window.partitionBy("doc_id", "print").orderBy("p.start").rangeBetween(-SCOPE, SCOPE)
-    seen = rows.withColumn("role", role).select("doc_id", "print", "p", F.bit_or("role").over(scope).alias("roles"), F.max(F.when(F.col("p.rank") < 3, F.col("p.finish"))).over(scope.rangeBetween(-SCOPE, 0)).alias("base_to"), F.min(F.when(F.col("p.rank") < 3, F.col("p.start"))).over(scope.rangeBetween(0, SCOPE)).alias("base_from"))
+    # Events in order of position: where a part starts, it counts with its finish
+    # from then on; a weak part asks for the farthest finish of each role among the
+    # parts that start up to SCOPE behind it, and of base parts that start before its end.
+    weak = F.col("p.rank") >= len(BASE_KINDS)
+    at = lambda position, ask: F.struct(position.alias("position"), F.lit(ask).alias("ask"))
+    start = at(F.col("p.start"), 0)
+    asked = F.array(start, at(F.col("p.finish") + SCOPE, 1), at(F.col("p.finish") - 1, 2))
+    events = rows.select("doc_id", "print", "p", F.explode(F.when(weak, asked).otherwise(F.array(start))).alias("e"))
+    so_far = Window.partitionBy("doc_id", "print").orderBy("e.position").rangeBetween(Window.unboundedPreceding, 0)
+
+    def farthest(ranks: list[int]) -> Column:
+        return F.max(F.when((F.col("e.ask") == 0) & F.col("p.rank").isin(ranks), F.col("p.finish"))).over(so_far)
+
+    bits = sorted(set(ROLES.values()))
+    ends = [farthest([KINDS.index(k) for k, bit in ROLES.items() if bit == b]).alias(f"end_{b}") for b in bits]
+    seen = events.select("doc_id", "print", "p", "e", *ends, farthest(list(range(len(BASE_KINDS)))).alias("base_end")).where("e.ask > 0")
+    near = lambda b: F.coalesce((F.col("e.ask") == 1) & (F.col(f"end_{b}") >= F.col("p.start") - SCOPE), F.lit(False))
+    covered = F.coalesce((F.col("e.ask") == 2) & (F.col("base_end") > F.col("p.start")), F.lit(False))
+    seen = seen.groupBy("doc_id", "print", "p").agg(*[F.max(near(b)).alias(f"near_{b}") for b in bits], F.max(covered).alias("covered"))
     linked = F.lit(False)
     for kind, masks in NEEDS.items():
         for mask in masks:
-            linked = linked | ((F.col("p.rank") == KINDS.index(kind)) & (F.col("roles").bitwiseAND(F.lit(mask)) == mask))
-    free = (F.coalesce("base_to", F.lit(-1)) <= F.col("p.start")) & (F.coalesce(F.col("base_from"), F.col("p.finish")) >= F.col("p.finish"))
-    return seen.where(linked & free).groupBy("doc_id", "print").agg(F.collect_set("p").alias("linked"))
+            held = F.col("p.rank") == KINDS.index(kind)
+            for b in bits:
+                held = held & F.col(f"near_{b}") if mask & b else held
+            linked = linked | held
+    return seen.where(linked & ~F.col("covered")).groupBy("doc_id", "print").agg(F.collect_set("p").alias("linked"))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:

@@ -61,6 +61,43 @@ def test_licenses_of_tags_blocks_and_whole_files(spark):
     assert {r["doc_id"]: r["license"] for r in got} == {r[0]: r[3] for r in rows}
 
 
+def test_scope_is_measured_between_parts(spark):
+    bare, long = "Zq9" + "aB3" * 12, "Zq9" + "aB3" * 140
+    url = "https://a.example.org/" + "x" * 300
+    rows = [
+        (1, f"{long} client_id=someone", ["bare", "account"]),
+        (2, f"client_id=someone {long}", ["account", "bare"]),
+        (3, f"{url} {bare}", ["bare"]),
+        (4, f"{long}{' ' * 200}client_id=someone", ["bare", "account"]),
+        (5, f"{long}{' ' * 201}client_id=someone", []),
+        (6, f"client_id=x12{' ' * 200}{long}", ["account", "bare"]),
+        (7, f"client_id=x12{' ' * 201}{long}", []),
+        (8, "password=" + "a." * 150 + long + " client_id=x12", ["assign", "account"]),  # the bare part lies in a base span
+    ]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_report(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {d: [x.split(":")[0] for x in s.split(",") if x] for d, s in got.items()} == {r[0]: r[2] for r in rows}
+
+
+def test_linked_parts_equal_a_scan_of_all_pairs(spark):
+    rnd = random.Random(3)
+    rows = []
+    for d in range(60):
+        parts = [(a := rnd.randrange(3000), rnd.randrange(6), a + rnd.choice((5, 40, 300, 900))) for _ in range(rnd.randint(2, 25))]
+        rows.append((d, 0, [p for p in parts if p[1] < 3], [p for p in parts if p[1] >= 3]))
+    table = spark.createDataFrame(rows, f"doc_id long, print long, base {secrets.SPAN}, weak {secrets.SPAN}")
+    role = [secrets.ROLES[k] for k in secrets.KINDS]
+    want = set()
+    for d, _, base, weak in rows:
+        for a, k, b in weak:
+            held = 0
+            for x, other, y in base + weak:
+                held |= role[other] if x - b <= secrets.SCOPE and a - y <= secrets.SCOPE else 0
+            if any(held & m == m for m in secrets.NEEDS[secrets.KINDS[k]]) and not any(x < b and y > a for x, _, y in base):
+                want.add((d, a, k, b))
+    got = {(r["doc_id"], *p) for r in secrets.linked_weak(table).collect() for p in r["linked"]}
+    assert got == want and want
+
+
 def test_joint_cutoffs_are_certified_at_the_whole_risk(spark):
     """1,000 good labels of a stratum are enough, and too few for a seventh of the risk each; the other has too few."""
     rnd = random.Random(11)
