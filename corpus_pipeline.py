@@ -34,8 +34,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts masked and n_chars counted anew."""
-    return secrets.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """All documents, with base and linked secrets in their texts masked and n_chars counted anew."""
+    return secrets.masked(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

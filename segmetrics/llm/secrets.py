@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segmetrics.llm.quality import fresh
 from segmetrics.session import materialize
 
 SCOPE = 200
@@ -114,14 +115,19 @@ def linked_weak(parts: DataFrame) -> DataFrame:
     return seen.where(linked & ~F.col("covered")).groupBy("doc_id", "print").agg(F.collect_set("p").alias("linked"))
 
 
-def secret_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted spans of every row: ``base`` and ``all`` (with linked weak parts)."""
+def printed_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, print and the sorted spans of every row: ``base`` and ``all`` (with linked weak parts)."""
     parts = materialize(found_parts(docs), "secret-parts")
     links = linked_weak(parts)
     links = links.select(F.col("doc_id").alias("link_id"), F.col("print").alias("link_print"), "linked")
     same = F.col("doc_id").eqNullSafe(F.col("link_id")) & (F.col("print") == F.col("link_print"))
-    rows = parts.join(links, same, "left").select("doc_id", "base", F.coalesce("linked", F.array().cast(SPAN)).alias("linked"))
-    return rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "linked")).alias("all"))
+    rows = parts.join(links, same, "left").select("doc_id", "print", "base", F.coalesce("linked", F.array().cast(SPAN)).alias("linked"))
+    return rows.select("doc_id", "print", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "linked")).alias("all"))
+
+
+def secret_spans(docs: DataFrame) -> DataFrame:
+    """doc_id and the sorted spans of every row: ``base`` and ``all`` (with linked weak parts)."""
+    return printed_spans(docs).select("doc_id", "base", "all")
 
 
 def _written(spans: str) -> Column:
@@ -148,3 +154,33 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     long_assign = ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", "([A-Za-z0-9+/_.=-]{6,}+)")
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, long_assign, mark), ACCESS, mark), HEX, mark)
     return docs.withColumn("text", clean)
+
+
+def _masked(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with its sorted ``spans`` replaced by ``mark``; spans that overlap are one."""
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["finish"]).alias("at"), out.alias("out"))
+
+    def whole(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.char_length(text)))
+
+    return F.aggregate(spans, first, step, whole)
+
+
+def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every reported part, base or linked, in its texts replaced by ``mark``; other columns unchanged.
+
+    Spans go back to their rows by doc_id and text print.
+    """
+    found = printed_spans(docs.select("doc_id", "text")).where(F.size("all") > 0)
+    spans, span_id, span_print = (fresh(docs, c) for c in ("spans", "span_id", "span_print"))
+    # Equal rows have equal spans.
+    found = found.groupBy(F.col("doc_id").alias(span_id), F.col("print").alias(span_print)).agg(F.first("all").alias(spans))
+    found = materialize(found, "secret-spans")
+    same = F.col("doc_id").eqNullSafe(F.col(span_id)) & (F.xxhash64("text") == F.col(span_print))
+    clean = F.when(F.col(spans).isNull(), F.col("text")).otherwise(_masked(F.col("text"), F.col(spans), mark))
+    return docs.join(found, same, "left").withColumn("text", clean).select(*[F.col(f"`{c}`") for c in docs.columns])

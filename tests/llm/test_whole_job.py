@@ -98,6 +98,17 @@ def test_linked_parts_equal_a_scan_of_all_pairs(spark):
     assert got == want and want
 
 
+def test_pipeline_masks_linked_parts(spark):
+    bare = "Zq9" + "aB3" * 12
+    rows = [(1, f"é😀 client_id=someone, {bare} end"), (2, f"x {bare} y"), (3, "user: bob password: hunter22."), (4, None), (None, f"{bare} client_id=someone"), (None, f"{bare} client_id=someone"), (5, "postgres://db.example.org/x user=bob password=hunter22 end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(0).cast("long")).withColumn("spans", F.lit("mine"))
+    out = dict(corpus_pipeline.STAGES)["secret scans"](spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(1, "é😀 [secret], [secret] end"), (2, rows[1][1]), (3, "[secret] [secret]"), (4, None), (None, "[secret] [secret]"), (None, "[secret] [secret]"), (5, "[secret] [secret] [secret] end")]
+    got = [(r["doc_id"], r["text"], r["n_chars"], r["spans"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(d, t, None if t is None else len(t), "mine") for d, t in want], key=str)
+
+
 def test_joint_cutoffs_are_certified_at_the_whole_risk(spark):
     """1,000 good labels of a stratum are enough, and too few for a seventh of the risk each; the other has too few."""
     rnd = random.Random(11)
