@@ -3,7 +3,8 @@
 1. Texts become words (lower case, runs of letters and digits) and word
    shingles, each a 64-bit hash whose low bits hold its weight (about the
    base-2 logarithm of its letters, so that long words count more).
-2. A window has the size of a benchmark item, in words. Only windows that can
+2. A window has the size of a benchmark item, in words; a text of fewer words
+   is one window as a whole. Only windows that can
    reach the threshold are fingerprinted: those over at least one shingle of an
    item of that size. A window without one has similarity 0, so nothing is lost.
    Fingerprint: 64-bit SimHash of the window's distinct shingles by weight.
@@ -170,7 +171,10 @@ def _short_positions(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(print, check, size, start, shingles): the item-sized windows over hit positions, for each distinct text."""
+    """(print, check, size, start, n_words, shingles): the windows for items of ``size`` over hit positions, for each distinct text.
+
+    A text of fewer words than ``size`` is one window, of all its words.
+    """
     starts = hits.groupBy("print", "check").agg(F.collect_set(F.struct("size", "at")).alias("hits"))
     starts = materialize(starts, "window-hits")
     text = F.col("text")
@@ -183,10 +187,10 @@ def windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
     def starts_over(hit: Column) -> Column:
         """Windows over the hit, packed as size * 2^32 + start."""
         # A window of ``size`` words has size - SHINGLE + 1 shingles (one at least).
-        high = F.least(hit["at"], n - hit["size"])
+        high = F.greatest(F.lit(0), F.least(hit["at"], n - hit["size"]))
         low = F.greatest(F.lit(0), high - F.greatest(hit["size"] - SHINGLE, F.lit(0)))
         size = F.shiftleft(hit["size"].cast("long"), 32)
-        return F.when(hit["size"] <= n, F.transform(F.sequence(low, high), lambda at: size + at)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(F.sequence(low, high), lambda at: size + at)
 
     each = F.array_distinct(F.flatten(F.transform("hits", starts_over)))
     joined = texts.select("print", "check", "words", "shingles", F.explode(each).alias("w"))
@@ -194,7 +198,7 @@ def windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
     whole = F.slice("shingles", F.col("w.start") + 1, F.greatest(F.col("w.size") - SHINGLE + 1, F.lit(1)))
     short = shingle_array(F.slice("words", F.col("w.start") + 1, F.col("w.size")))
     taken = F.array_distinct(F.when(F.col("w.size") < SHINGLE, short).otherwise(whole))
-    return joined.select("print", "check", "w.size", "w.start", taken.alias("shingles"))
+    return joined.select("print", "check", "w.size", "w.start", F.least(F.col("w.size"), n).alias("n_words"), taken.alias("shingles"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,9 +220,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     differ = sum((F.bit_count(F.get("blocks", F.lit(b)).bitwiseXOR(F.get("item_blocks", F.lit(b)))) for b in range(1, BLOCKS)), F.bit_count(F.get("blocks", F.lit(0)).bitwiseXOR(F.get("item_blocks", F.lit(0)))))
     common = total_weight(F.array_intersect("shingles", "item_set"))
     either = total_weight(F.col("shingles")) + total_weight(F.col("item_set")) - common
-    scored = sides.where(differ <= RADIUS).select("print", "check", "item_id", "size", "start", (common / either).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("print", "check", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), "size")).alias("best"))
-    best = materialize(best.select("print", "check", "item_id", "best.similarity", (-F.col("best.back")).alias("start_word"), F.col("best.size").alias("n_words")), "contaminated-texts")
+    scored = sides.where(differ <= RADIUS).select("print", "check", "item_id", "n_words", "start", (common / either).alias("similarity")).where(F.col("similarity") >= threshold)
+    best = scored.groupBy("print", "check", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), "n_words")).alias("best"))
+    best = materialize(best.select("print", "check", "item_id", "best.similarity", (-F.col("best.back")).alias("start_word"), "best.n_words"), "contaminated-texts")
     ids = rows.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("print"), F.crc32(F.col("text").cast("binary")).alias("check"))
     return ids.join(best, ["print", "check"]).select("doc_id", "item_id", "similarity", "start_word", "n_words")
 

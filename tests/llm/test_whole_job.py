@@ -109,6 +109,25 @@ def test_pipeline_masks_linked_parts(spark):
     assert sorted(got, key=str) == sorted([(d, t, None if t is None else len(t), "mine") for d, t in want], key=str)
 
 
+def test_texts_shorter_than_an_item_are_compared(spark):
+    words = [f"word{i * 37 % 101}x{i}" for i in range(59)]
+    items = [(1, " ".join(words)), (2, "one two three four five six seven")]
+    docs = [(1, " ".join(words[:55])), (2, " ".join(words[3:])), (3, " ".join(words[:20])), (4, "one two three four five six"), (5, "Two three four five six seven!"), (6, "one two three"), (7, " ".join(words)), (8, None)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {}
+    for d, text in docs:
+        w = brute.decon_words(text)
+        for i, item in items:
+            v = brute.decon_words(item)
+            for at in range(max(1, len(w) - len(v) + 1)):
+                a, b = set(brute.decon_shingles(w[at : at + len(v)])), set(brute.decon_shingles(v))
+                both, either = sum(map(brute.decon_weight, a & b)), sum(map(brute.decon_weight, a | b))
+                if both >= 0.8 * either and both / either > want.get((d, i), (0,))[0]:
+                    want[d, i] = (both / either, at, min(len(w), len(v)))
+    found = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"], r["n_words"]) for r in got}
+    assert found == want and {(1, 1), (2, 1), (7, 1)} <= set(want) and want[1, 1][2] == 55
+
+
 def test_joint_cutoffs_are_certified_at_the_whole_risk(spark):
     """1,000 good labels of a stratum are enough, and too few for a seventh of the risk each; the other has too few."""
     rnd = random.Random(11)
