@@ -134,22 +134,23 @@ def template_weights(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame
 
 
 def header_licenses(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", whole: DataFrame | None = None) -> DataFrame:
-    """(statement, license, cosine): the best template of every distinct header that reaches the threshold.
+    """(print, license, cosine): the best template of every distinct header, by its MD5, that reaches the threshold.
 
     ``whole`` (statement) has texts that are scored as they are besides. Headers are scored once per distinct statement; copies are aggregated before the shuffle.
     """
     weights, outside = template_weights(docs, text_col)
     headers = docs.where(F.col(text_col).rlike(CUES)).select(F.explode(statements_of(F.col(text_col))).alias("statement"))
     headers = (headers if whole is None else headers.union(whole)).distinct()
-    terms = headers.select("statement", F.explode(terms_of(F.col("statement"))).alias("term")).groupBy("statement", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Terms carry the print of their statement, not its text.
+    terms = headers.select(F.md5("statement").alias("print"), F.explode(terms_of(F.col("statement"))).alias("term")).groupBy("print", "term").agg(F.count(F.lit(1)).alias("tf"))
     known = F.broadcast(weights.select("term", "idf").distinct())  # bounded by the template terms
     weighed = terms.join(known, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(outside))).drop("idf")
-    norms = weighed.groupBy("statement").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("own_norm"))
+    norms = weighed.groupBy("print").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("own_norm"))
     sides = weights.select("notice", "license", "term", F.col("weight").alias("template_weight"), "norm")
-    dots = weighed.join(F.broadcast(sides), "term").groupBy("statement", "notice", "license").agg(F.sum(F.col("weight") * F.col("template_weight")).alias("dot"), F.first("norm").alias("norm"))
-    scored = dots.join(norms, "statement").withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 9)).where(F.col("cosine") >= threshold)
-    best = scored.groupBy("statement", "license").agg(F.max("cosine").alias("cosine")).groupBy("statement").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
-    return best.select("statement", "best.license", (-F.col("best.c")).alias("cosine"))
+    dots = weighed.join(F.broadcast(sides), "term").groupBy("print", "notice", "license").agg(F.sum(F.col("weight") * F.col("template_weight")).alias("dot"), F.first("norm").alias("norm"))
+    scored = dots.join(norms, "print").withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 9)).where(F.col("cosine") >= threshold)
+    best = scored.groupBy("print", "license").agg(F.max("cosine").alias("cosine")).groupBy("print").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
+    return best.select("print", "best.license", (-F.col("best.c")).alias("cosine"))
 
 
 def directory_of(path: Column) -> Column:
@@ -179,7 +180,7 @@ def scanned_licenses(files: DataFrame, license_files: DataFrame, threshold: floa
     key = F.struct("doc_id", "path", F.xxhash64("text").alias("print"))
     stated = headed.select(key.alias("key"), F.explode(statements_of(F.col("text"))).alias("statement"))
     stated = stated.union(whole.select(key.alias("key"), F.col("text").alias("statement")))
-    found = stated.join(scored, "statement")
+    found = stated.select("key", F.md5("statement").alias("print")).join(scored, "print")
     own = found.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
     rows = files.select(key.alias("key"), directory_of(F.col("path")).alias("directory"))
     # Keys hold nulls: compare them by their text form.
