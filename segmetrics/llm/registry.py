@@ -11,8 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmetrics.llm import bpe, chat, decontaminate, licenses, minhash, quality, secrets, shards, suffixes, token_counts
+from segmetrics.llm import bpe, chat, decontaminate, licenses, manifest, minhash, phrases, quality, secrets, shards, suffixes, token_counts, urls
 from segmetrics.llm.batches import text_batches
+from segmetrics.llm.sql import ORACLE_SQL  # noqa: F401  (queries without an entry are held against brute force in tests/llm)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned_licenses(*licenses.document_files(table(spark, sf_dir, "documents")))
 
 
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,10 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_dedup,
         op9_bpe,
         op10_license_scan,
+        op11_url_filter,
+        op12_merkle_manifest,
+        op13_phrase_collocations,
     )
 }
-
-# None of them has an equivalent in plain SQL that runs on whole tables (byte
-# pairs, automata, sketches, exact binomial bounds, positions of regular
-# expression matches); tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
