@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dimensions import BLOCK_BULK_LABELS
+from ..functions.dimensions import BLOCK_BULK_LABELS, Dimension, all_of
 from ..functions.measures import customers, flag_eq_1, households, key_gt_0, ratio
 from ..sources.household import Snapshot, snapshot_filter
 from ..sources.schema import (
@@ -57,26 +57,32 @@ def cut_block_bulk(
     snapshots: Sequence[Snapshot],
     status: DataFrame | None = None,
     measures: Measures = Measures("total_households", "customer_count"),
+    others: Sequence[Dimension] = (),
+    guard: Column | None = None,
 ) -> DataFrame:
     """Penetration of households in blocks with / without any bulk household.
 
     ``status`` defaults to ``block_bulk_status(df)`` over the full history of
     ``df``; pass a persisted status table (e.g. the streaming one) to skip
-    that scan. Output: ``block_bulk_status,
-    DAILY_TIME_KEY, customer_count, total_households, penetration_rate``.
+    that scan. ``others`` are further labels of the household, kept beside the
+    block in the block-grain aggregate, and ``guard`` the rows they are defined on. Output:
+    ``block_bulk_status[, others], DAILY_TIME_KEY, customer_count, total_households, penetration_rate``.
     """
     status = block_bulk_status(df) if status is None else status
-    rows = df.where(snapshot_filter(df, snapshots) & F.col(BLOCK).isNotNull())
+    labels = [d.column for d in others]
+    rows = df.where(all_of([snapshot_filter(df, snapshots), F.col(BLOCK).isNotNull(), guard]))
     per_block = (
-        rows.groupBy(BLOCK, DATE)
-        .agg(households().alias("_hh"), customers(flag_eq_1()).alias("_cc"))
+        rows.select(BLOCK, DATE, *[d.label() for d in others], flag_eq_1().alias("_is_customer"))
+        .groupBy(BLOCK, DATE, *labels)
+        .agg(households().alias("_hh"), customers(F.col("_is_customer")).alias("_cc"))
     )
     return (
         per_block.join(status, BLOCK, "inner")
-        .groupBy("block_bulk_status", DATE)
+        .groupBy("block_bulk_status", *labels, DATE)
         .agg(F.sum("_cc").alias(measures.customers), F.sum("_hh").alias(measures.households))
         .select(
             "block_bulk_status",
+            *labels,
             DATE,
             measures.customers,
             measures.households,

@@ -10,16 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dimensions import BLOCK_BULK
+from ..functions.dimensions import Dimension
 from ..functions.measures import ratio
 from ..plans.catalog import CUTS, CutSpec
 from ..plans.workbench import stacked_cuts
 from ..sources.household import Snapshot, snapshot_literals
 from ..sources.schema import DATE
-from .blocks import cut_block_bulk
 from .penetration import CANONICAL, Measures
 
 SINGLE_CUTS: tuple[CutSpec, ...] = tuple(c for c in CUTS if len(c.dims) == 1)
@@ -43,18 +42,55 @@ def to_long(cut: DataFrame, spec: CutSpec) -> DataFrame:
 def all_cuts_long(df: DataFrame, snapshots: Sequence[Snapshot], status: DataFrame | None = None) -> DataFrame:
     """The nine single cuts stacked in long form.
 
-    The eight cuts by household labels come from one scan of the snapshots
-    and one aggregation; the block-bulk cut, which needs the history, is
-    added. Lazy: no job runs before an action.
+    The eight cuts by household labels come from one scan of the snapshots;
+    the block-bulk cut, which needs the history, is added. Lazy: no job runs
+    before an action.
     """
-    direct = [spec for spec in SINGLE_CUTS if BLOCK_BULK not in spec.dims]
-    stacked = stacked_cuts(df, snapshots, direct, [spec.dims[0].name for spec in direct])
-    long = stacked.select(F.col("tag").alias("dimension"), F.col("bucket_a").alias("bucket"), *LONG_COLUMNS[2:])
-    for spec in SINGLE_CUTS:
-        if BLOCK_BULK in spec.dims:
-            cut = cut_block_bulk(df, snapshots, status, spec.measures)
-            long = long.unionByName(to_long(cut, spec))
-    return long
+    return _long(df, snapshots, SINGLE_CUTS, None, status)
+
+
+def _long(df, snapshots, specs, customer, status) -> DataFrame:
+    stacked = stacked_cuts(df, snapshots, specs, [spec.dims[0].name for spec in specs], customer, status)
+    return stacked.select(F.col("tag").alias("dimension"), F.col("bucket_a").alias("bucket"), *LONG_COLUMNS[2:])
+
+
+def cut_spec(*dims: Dimension, key: str | None = None, guards: Sequence[str] | None = None) -> CutSpec:
+    """A cut of any one or two dimensions, custom ones included.
+
+    ``guards`` replaces the dimensions' named guards; a custom dimension's own
+    guard always holds.
+    """
+    layout = (*[d.column for d in dims], DATE, "hh", "cc", "pr")
+    return CutSpec(key or "_".join(d.name for d in dims), "", dims, layout, CANONICAL, (), None if guards is None else tuple(guards))
+
+
+def long_by(
+    df: DataFrame,
+    snapshots: Sequence[Snapshot],
+    dims: Sequence[Dimension],
+    customer: Column | None = None,
+    status: DataFrame | None = None,
+) -> DataFrame:
+    """The long form over any dimensions, built-in or the user's own, each under its guards.
+
+    The columns of ``all_cuts_long``, so ``yoy_change`` and ``spread_ranking`` take it as it is.
+    ``customer`` replaces the customer test.
+    """
+    return _long(df, snapshots, [cut_spec(d) for d in dims], customer, status)
+
+
+def interactions_by(
+    df: DataFrame,
+    snapshots: Sequence[Snapshot],
+    pairs: Sequence[tuple[Dimension, Dimension]],
+    customer: Column | None = None,
+    status: DataFrame | None = None,
+) -> DataFrame:
+    """Interaction effects of any pairs of dimensions, with the columns of ``all_interactions``.
+
+    ``cross_tab`` is the two dimensions' names joined by ``_``.
+    """
+    return all_interactions(df, snapshots, [cut_spec(a, b) for a, b in pairs], customer, status)
 
 
 def yoy_change(
@@ -148,16 +184,21 @@ XTAB_LONG = Measures("households", "customers", "penetration_rate")
 
 
 def all_interactions(
-    df: DataFrame, snapshots: Sequence[Snapshot], specs: Sequence[CutSpec] = CROSS_TABS
+    df: DataFrame,
+    snapshots: Sequence[Snapshot],
+    specs: Sequence[CutSpec] = CROSS_TABS,
+    customer: Column | None = None,
+    status: DataFrame | None = None,
 ) -> DataFrame:
     """Interaction effects of all 18 cross-tabs (or of ``specs``), stacked.
 
     Output ``cross_tab, bucket_a, bucket_b, DAILY_TIME_KEY, households,
     customers, penetration_rate, penetration_a, penetration_b,
-    penetration_all, interaction``. One scan of the snapshots and one
-    aggregation serve all 18; the history is not read.
+    penetration_all, interaction``. One scan of the snapshots serves all 18;
+    the history is read only for a pair with the block status.
     """
-    stacked = stacked_cuts(df, snapshots, specs, [spec.key for spec in specs]).withColumnRenamed("tag", "cross_tab")
+    tags = [spec.key for spec in specs]
+    stacked = stacked_cuts(df, snapshots, specs, tags, customer, status).withColumnRenamed("tag", "cross_tab")
     return interaction_effect(stacked, "bucket_a", "bucket_b", XTAB_LONG, by=["cross_tab"])
 
 

@@ -15,6 +15,7 @@ from .sources.schema import DEMOGRAPHIC_PULL_COLUMNS, HOME_VALUE_COLUMNS
 
 SNAPS = "DAILY_TIME_KEY IN (DATE '2025-03-31', DATE '2024-03-31')"
 
+# --- fixed values: bucket labels and cut points of the analysed workbench, in SQL ---
 LABEL_SQL = {
     "kids_bucket": (
         "CASE WHEN CHILDREN_PER_HH < 1 THEN 'no_kids' WHEN CHILDREN_PER_HH < 2 THEN 'low_kids' "
@@ -49,6 +50,7 @@ LABEL_SQL = {
     "DWELLING_SEGMENT": "DWELLING_SEGMENT",
     "BULK_FLG": "BULK_FLG",
 }
+# --- end of fixed values ---
 
 # Row filters, by the columns they test (combined per query below).
 DWELL = "DWELLING_SEGMENT IS NOT NULL"
@@ -362,6 +364,60 @@ CUSTOM_DIMENSION = (
     "GROUP BY age_decade, DAILY_TIME_KEY"
 )
 
+# The user's own dimension through the long form, the comparison, the ranking and the interactions.
+_DECADE = "CAST(FLOOR(MEDIAN_HH_AGE / 10) * 10 AS INTEGER)"
+_DECADE_ROWS = "MEDIAN_HH_AGE IS NOT NULL"
+
+
+def _labelled(name: str, label: str, where: list[str], customer: str) -> str:
+    conds = " AND ".join([SNAPS, *where])
+    return (
+        f"SELECT '{name}' AS dimension, CAST(b AS VARCHAR) AS bucket, DAILY_TIME_KEY, COUNT(*) AS households,\n"
+        "    COUNT(*) FILTER (WHERE c) AS customers,\n"
+        "    CAST(COUNT(*) FILTER (WHERE c) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS penetration_rate\n"
+        f"FROM (SELECT DAILY_TIME_KEY, {label} AS b, {customer} AS c FROM hh WHERE {conds}) s_{name} GROUP BY b, DAILY_TIME_KEY"
+    )
+
+
+CUSTOM_LONG = "\nUNION ALL\n".join(
+    _labelled(name, label, where, "CUSTOMER_KEY > 0")
+    for name, label, where in [
+        ("age_decade", _DECADE, [_DECADE_ROWS]),
+        ("kids", LABEL_SQL["kids_bucket"], [KIDS]),
+        ("ownership", LABEL_SQL["ownership_bucket"], [OWN]),
+        ("transport", LABEL_SQL["transport_group"], [HH0, TRN]),
+    ]
+)
+
+
+def _paired(tag: str, a: str, b: str, source: str, where: list[str]) -> str:
+    conds = " AND ".join([SNAPS, *where])
+    return (
+        f"SELECT '{tag}' AS cross_tab, CAST(a AS VARCHAR) AS bucket_a, CAST(b AS VARCHAR) AS bucket_b, DAILY_TIME_KEY,\n"
+        "    COUNT(*) AS households, COUNT(*) FILTER (WHERE c) AS customers,\n"
+        "    CAST(COUNT(*) FILTER (WHERE c) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS penetration_rate\n"
+        f"FROM (SELECT DAILY_TIME_KEY, {a} AS a, {b} AS b, CUSTOMER_FLAG = 1 AS c FROM {source} WHERE {conds}) p_{tag} GROUP BY a, b, DAILY_TIME_KEY"
+    )
+
+
+_WITH_STATUS = (
+    "(SELECT h.*, CASE WHEN blk.mx = 1 THEN 'has_bulk' ELSE 'no_bulk' END AS block_bulk_status FROM hh h\n"
+    " JOIN (SELECT CENSUS_BLOCK_GROUP, MAX(BULK_FLG) AS mx FROM hh GROUP BY CENSUS_BLOCK_GROUP) blk\n"
+    "   ON h.CENSUS_BLOCK_GROUP = blk.CENSUS_BLOCK_GROUP) hs"
+)
+CUSTOM_PAIRS = "\nUNION ALL\n".join(
+    [
+        _paired("age_decade_kids", _DECADE, LABEL_SQL["kids_bucket"], "hh", [_DECADE_ROWS, KIDS]),
+        _paired("dwelling_age_decade", "DWELLING_SEGMENT", _DECADE, "hh", [DWELL, _DECADE_ROWS]),
+        _paired("block_bulk_age_decade", "block_bulk_status", _DECADE, _WITH_STATUS, [_DECADE_ROWS]),
+    ]
+)
+XTAB_BLOCK_BULK_DWELLING = (
+    "SELECT bucket_a AS block_bulk_status, bucket_b AS DWELLING_SEGMENT, DAILY_TIME_KEY,\n"
+    "    households AS household_count, customers AS customer_count, penetration_rate\n"
+    f"FROM ({_paired('x', 'block_bulk_status', 'DWELLING_SEGMENT', _WITH_STATUS, [DWELL])}) x"
+)
+
 ANALYSIS_SQL: dict[str, str] = {
     "all_cuts_long": with_hh(ALL_CUTS_LONG),
     "yoy_change": with_hh(YOY_CHANGE),
@@ -381,6 +437,11 @@ ANALYSIS_SQL: dict[str, str] = {
     "univariate_regression": UNIVARIATE_REGRESSION,
     "enrich_with_census": with_hh(ENRICH_WITH_CENSUS),
     "custom_dimension": with_hh(CUSTOM_DIMENSION),
+    "custom_long": with_hh(CUSTOM_LONG),
+    "custom_yoy": with_hh(YOY_CHANGE.replace(ALL_CUTS_LONG, CUSTOM_LONG)),
+    "custom_ranking": with_hh(SPREAD_RANKING.replace(ALL_CUTS_LONG, CUSTOM_LONG)),
+    "custom_interactions": with_hh(ALL_INTERACTIONS.replace(XTABS_LONG, CUSTOM_PAIRS)),
+    "xtab_block_bulk_dwelling": with_hh(XTAB_BLOCK_BULK_DWELLING),
 }
 
 BLOCK_BULK_STATUS = with_hh(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dimensions import custom_dimension
+from ..functions.dimensions import BLOCK_BULK, DWELLING_DIM, KIDS, OWNERSHIP, TRANSPORT, custom_dimension
 from ..functions.measures import key_gt_0
 from ..operators.blocks import demographic_pull
 from ..operators.compare import (
@@ -20,6 +20,8 @@ from ..operators.compare import (
     all_interactions,
     as_percent,
     interaction_effect,
+    interactions_by,
+    long_by,
     min_sample,
     spread_ranking,
     yoy_change,
@@ -29,7 +31,7 @@ from ..operators.stats import demographic_correlation, predictor_ranking, univar
 from ..sources.census import enrich_with_census
 from ..sources.household import Snapshot, snapshot_filter
 from ..sources.schema import BLOCK, BULK, CUSTOMER_FLAG, CUSTOMER_KEY, DATE, DEMOGRAPHIC_COLUMNS, DWELLING
-from .catalog import CUTS_BY_KEY, XTAB
+from .catalog import BLOCK_BULK_DWELLING, CUTS_BY_KEY, XTAB
 
 # Segments under this many households are flagged as too small to read.
 MIN_HOUSEHOLDS = 30
@@ -118,6 +120,22 @@ def custom_age_cut(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
     )
 
 
+def _custom_long(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    return long_by(df, snapshots, [AGE_DECADE, KIDS, OWNERSHIP, TRANSPORT], customer=key_gt_0())
+
+
+def custom_yoy(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    return yoy_change(_custom_long(df, snapshots), ["dimension", "bucket"], snapshots[0], snapshots[1])
+
+
+def custom_ranking(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    return spread_ranking(_custom_long(df, snapshots))
+
+
+def custom_interactions(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    return interactions_by(df, snapshots, [(AGE_DECADE, KIDS), (DWELLING_DIM, AGE_DECADE), (BLOCK_BULK, AGE_DECADE)])
+
+
 ANALYSES = {
     "all_cuts_long": all_cuts_long,
     "yoy_change": yoy_all_cuts,
@@ -133,4 +151,9 @@ ANALYSES = {
     "univariate_regression": regressions,
     "enrich_with_census": enriched_labor_cut,
     "custom_dimension": custom_age_cut,
+    "custom_long": _custom_long,
+    "custom_yoy": custom_yoy,
+    "custom_ranking": custom_ranking,
+    "custom_interactions": custom_interactions,
+    "xtab_block_bulk_dwelling": BLOCK_BULK_DWELLING.run,
 }

@@ -32,7 +32,7 @@ from ..functions.dimensions import (
     row_guard,
 )
 from ..operators.blocks import block_group_summary, cut_block_bulk, demographic_pull
-from ..operators.penetration import Measures, penetration_by
+from ..operators.penetration import Measures, penetration_by, sort_nulls_last
 from ..sources.household import Snapshot
 from ..sources.schema import DATE
 
@@ -71,10 +71,13 @@ class CutSpec:
 
     def run(self, df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
         if BLOCK_BULK in self.dims:
-            # Needs the full-history block status: pre-aggregated block join.
-            if len(self.dims) != 1:
-                raise ValueError("block bulk status is only available as a single cut")
-            return cut_block_bulk(df, snapshots, measures=self.measures).select(*self.columns)
+            # Needs the full-history block status: both sides at block grain, then joined.
+            others = [d for d in self.dims if d != BLOCK_BULK]
+            named = [g for g in self.guard_list if g != "block_status_known"]
+            guard = all_of([row_guard(named), *[d.extra_guard_fn() for d in others if d.extra_guard_fn]])
+            out = cut_block_bulk(df, snapshots, measures=self.measures, others=others, guard=guard)
+            out = out.select(*self.columns)
+            return sort_nulls_last(out, self.order_by) if self.order_by else out
         return penetration_by(
             df,
             self.dims,
@@ -151,6 +154,9 @@ CUTS: tuple[CutSpec, ...] = (
     _xtab("xtab_family_transport", "3q", FAMILY_MIX, TRANSPORT),
     _xtab("xtab_kids_group_transport", "3r", KIDS_GROUP, TRANSPORT),
 )
+# A pair that the workbench itself does not have: the block status beside a household label.
+BLOCK_BULK_DWELLING = _xtab("xtab_block_bulk_dwelling", "", BLOCK_BULK, DWELLING_DIM)
+
 CUTS_BY_KEY: dict[str, CutSpec] = {c.key: c for c in CUTS}
 
 Query = Callable[[DataFrame, Sequence[Snapshot]], DataFrame]

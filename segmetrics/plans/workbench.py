@@ -83,6 +83,7 @@ def segment_cube(
     snapshots: Sequence[Snapshot],
     status: DataFrame | None = None,
     specs: Sequence[CutSpec] = CUTS,
+    customer: Column | None = None,
 ) -> DataFrame:
     """Households and customers per (date, labels, guard bits[, block bulk status]).
 
@@ -100,9 +101,10 @@ def segment_cube(
         *[F.coalesce(test(), F.lit(False)).alias(bit) for bit, test in tests.items()],
     ]
     rows = df.where(snapshot_filter(df, snapshots))
+    is_customer = (flag_eq_1() if customer is None else customer).alias("_is_customer")
     if not any(BLOCK_BULK in spec.dims for spec in specs):
         return (
-            rows.select(*labelled, flag_eq_1().alias("_is_customer"))
+            rows.select(*labelled, is_customer)
             .groupBy(*keys)
             .agg(households().alias("_hh"), customers(F.col("_is_customer")).alias("_cc"))
         )
@@ -111,7 +113,7 @@ def segment_cube(
     # block-bulk cut drops them (its guard tests the status).
     status = block_bulk_status(df) if status is None else status
     per_block = (
-        rows.select(F.col(BLOCK), *labelled, flag_eq_1().alias("_is_customer"))
+        rows.select(F.col(BLOCK), *labelled, is_customer)
         .groupBy(BLOCK, *keys)
         .agg(households().alias("_hh"), customers(F.col("_is_customer")).alias("_cc"))
     )
@@ -122,31 +124,63 @@ def segment_cube(
     )
 
 
-def stacked_cuts(
-    df: DataFrame, snapshots: Sequence[Snapshot], specs: Sequence[CutSpec], tags: Sequence[str]
-) -> DataFrame:
-    """Several cuts of household rows in one scan and one aggregation, without a cube.
+def grouping_sets(cube: DataFrame, specs: Sequence[CutSpec], tags: Sequence[str]) -> DataFrame:
+    """Several cuts of a segment cube by native grouping sets, stacked as ``tag, bucket_a, bucket_b, date``.
 
-    Each household is fanned out to the (tag, bucket, bucket) entries it
-    counts in, and the partial aggregate leaves a few dozen rows per task.
-    Same columns as ``stacked_rollup``; block bulk is not a label of a row
-    and not possible here.
+    A cut groups by its labels, its guard bits and the date; groups with a bit
+    that does not hold are dropped afterwards. Cuts with equal sets are
+    aggregated once. Any number of dimensions up to two and any guards go;
+    buckets are cast to string, and ``bucket_b`` is NULL for a single dimension.
     """
-    entries = []
+    columns, sets = [DATE], {}
     for spec, tag in zip(specs, tags):
-        cols = [d.label_fn().cast("string") for d in spec.dims] + [F.lit(None).cast("string")]
-        entry = F.struct(F.lit(tag).alias("tag"), cols[0].alias("bucket_a"), cols[1].alias("bucket_b"))
-        guard = all_of([test() for test in row_tests([spec]).values()])
-        entries.append(entry if guard is None else F.when(guard, entry))
-    rows = df.where(snapshot_filter(df, snapshots))
-    fanned = rows.select(F.explode(F.array(*entries)).alias("t"), DATE, flag_eq_1().alias("_is_customer"))
-    return (
-        fanned.where(F.col("t").isNotNull())
-        .groupBy(F.col("t.tag").alias("tag"), F.col("t.bucket_a").alias("bucket_a"),
-                 F.col("t.bucket_b").alias("bucket_b"), DATE)
-        .agg(households().alias("households"), customers(F.col("_is_customer")).alias("customers"))
-        .withColumn("penetration_rate", ratio("customers", "households"))
+        if not 1 <= len(spec.dims) <= 2:
+            raise ValueError(f"{tag}: a cut has one or two dimensions")
+        parts = [d.column for d in spec.dims] + _spec_bits(spec)
+        columns.extend(c for c in parts if c not in columns)
+        sets.setdefault(frozenset(parts), []).append((spec, tag))
+    # Spark's grouping id: a bit per column, the first one highest, set where the column is left out.
+    named = F.lit(None)
+    for parts, cuts in sets.items():
+        gid = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c != DATE and c not in parts)
+        entries = []
+        for spec, tag in cuts:
+            cols = [F.col(d.column).cast("string") for d in spec.dims] + [F.lit(None).cast("string")]
+            entry = F.struct(F.lit(tag).alias("tag"), cols[0].alias("bucket_a"), cols[1].alias("bucket_b"))
+            guard = cube_guard(spec)
+            entries.append(entry if guard is None else F.when(guard, entry))
+        named = F.when(F.col("_set") == gid, F.array(*entries)).otherwise(named)
+    listed = [[F.col(DATE), *[F.col(c) for c in columns if c in parts]] for parts in sets]
+    summed = cube.groupingSets(listed, *[F.col(c) for c in columns]).agg(
+        F.sum("_hh").alias("households"), F.sum("_cc").alias("customers"), F.grouping_id().alias("_set")
     )
+    stacked = summed.select(F.explode(named).alias("t"), DATE, "households", "customers").where(F.col("t").isNotNull())
+    return stacked.select("t.*", DATE, "households", "customers", ratio("customers", "households").alias("penetration_rate"))
+
+
+def stacked_cuts(
+    df: DataFrame,
+    snapshots: Sequence[Snapshot],
+    specs: Sequence[CutSpec],
+    tags: Sequence[str],
+    customer: Column | None = None,
+    status: DataFrame | None = None,
+) -> DataFrame:
+    """Several cuts in one scan, lazily: label combinations first, then grouping sets over these.
+
+    The first aggregate leaves one row per label combination and task, so a
+    household row is not copied once per cut. Cuts with the block status have a
+    cube of their own at block grain, so that the others are not grouped by block.
+    Same columns as ``stacked_rollup``.
+    """
+    pairs = list(zip(specs, tags))
+    out = None
+    for chosen in ([p for p in pairs if BLOCK_BULK not in p[0].dims], [p for p in pairs if BLOCK_BULK in p[0].dims]):
+        if chosen:
+            some = [spec for spec, _ in chosen]
+            part = grouping_sets(segment_cube(df, snapshots, status, some, customer), some, [tag for _, tag in chosen])
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def rollup(cube: DataFrame, spec: CutSpec) -> DataFrame:
