@@ -290,7 +290,7 @@ ALL_INTERACTIONS = (
 )
 
 MIN_SAMPLE = (
-    "SELECT *, household_count < 30 AS small_sample\n"
+    "SELECT *, household_count < 1500 AS small_sample\n"
     f"FROM ({WORKBENCH_BODIES['xtab_kids_transport']}) x"
 )
 
@@ -441,6 +441,7 @@ ANALYSIS_SQL: dict[str, str] = {
     "custom_yoy": with_hh(YOY_CHANGE.replace(ALL_CUTS_LONG, CUSTOM_LONG)),
     "custom_ranking": with_hh(SPREAD_RANKING.replace(ALL_CUTS_LONG, CUSTOM_LONG)),
     "custom_interactions": with_hh(ALL_INTERACTIONS.replace(XTABS_LONG, CUSTOM_PAIRS)),
+    "export_csv_round_trip": with_hh(DEMOGRAPHIC_PULL),
     "xtab_block_bulk_dwelling": with_hh(XTAB_BLOCK_BULK_DWELLING),
 }
 

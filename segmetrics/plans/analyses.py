@@ -7,6 +7,7 @@ the prior date.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -28,14 +29,14 @@ from ..operators.compare import (
 )
 from ..operators.penetration import Measures, penetration_by
 from ..operators.stats import demographic_correlation, predictor_ranking, univariate_regression
+from ..session import ensure_checkpoint_dir
 from ..sources.census import enrich_with_census
+from ..sources.export import export_csv, read_export
 from ..sources.household import Snapshot, snapshot_filter
 from ..sources.schema import BLOCK, BULK, CUSTOMER_FLAG, CUSTOMER_KEY, DATE, DEMOGRAPHIC_COLUMNS, DWELLING
 from .catalog import BLOCK_BULK_DWELLING, CUTS_BY_KEY, XTAB
 
-# Segments under this many households are flagged as too small to read.
-MIN_HOUSEHOLDS = 30
-# Segments kept by the filter form, for a closer reading.
+# Segments under this many households are flagged (or left out) as too small to read.
 SOLID_HOUSEHOLDS = 1500
 
 
@@ -59,7 +60,7 @@ def _interaction(key: str):
 
 def small_segments(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
     xtab = CUTS_BY_KEY["xtab_kids_transport"].run(df, snapshots)
-    return min_sample(xtab, XTAB.households, MIN_HOUSEHOLDS, flag=True)
+    return min_sample(xtab, XTAB.households, SOLID_HOUSEHOLDS, flag=True)
 
 
 def large_segments(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
@@ -136,6 +137,14 @@ def custom_interactions(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFra
     return interactions_by(df, snapshots, [(AGE_DECADE, KIDS), (DWELLING_DIM, AGE_DECADE), (BLOCK_BULK, AGE_DECADE)])
 
 
+def exported_pull(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    """The wide pull, written as CSV with its manifest and read back through the checks."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pull_csv-{uuid.uuid4().hex}"
+    export_csv(_pull(df, snapshots), path)
+    return read_export(spark, path)
+
+
 ANALYSES = {
     "all_cuts_long": all_cuts_long,
     "yoy_change": yoy_all_cuts,
@@ -155,5 +164,6 @@ ANALYSES = {
     "custom_yoy": custom_yoy,
     "custom_ranking": custom_ranking,
     "custom_interactions": custom_interactions,
+    "export_csv_round_trip": exported_pull,
     "xtab_block_bulk_dwelling": BLOCK_BULK_DWELLING.run,
 }
