@@ -40,13 +40,26 @@ ROW_LIMIT, LEVEL_LIMIT = "spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursi
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def as_text(digest: Column) -> Column:
+    return F.lower(F.hex(digest))
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def digest_of_all(digests: Column | str) -> Column:
+    """Digest of an array of digests, concatenated as texts."""
+    return digest_of(F.array_join(F.transform(digests, as_text), ""))
+
+
 def leaf_digest(fields: list[Column]) -> Column:
     """SHA-256 of the fields' UTF-8 lengths and values; ``-`` for a null one."""
     parts = []
     for field in fields:
         value = field.cast("string")
         parts.append(F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-")))
-    return F.sha2(F.concat(*parts), 256)
+    return digest_of(F.concat(*parts))
 
 
 def every_third_lower(docs: DataFrame) -> Column:
@@ -56,9 +69,11 @@ def every_third_lower(docs: DataFrame) -> Column:
 
 
 def hashed_rows(docs: DataFrame, tampered: Callable[[DataFrame], Column]) -> DataFrame:
-    """(doc_id, lang, leaf, changed, seq): digests of every row as it is and after tampering."""
+    """(doc_id, lang, leaf, changed, seq): digests of every row as it is and, where it differs, after tampering."""
     kept = [F.col(c) for c in FIELDS[:-1]]
-    digests = docs.select("doc_id", "lang", leaf_digest([*kept, F.col("text")]).alias("leaf"), leaf_digest([*kept, tampered(docs)]).alias("changed"))
+    new = tampered(docs)
+    changed = F.when(~new.eqNullSafe(F.col("text")), leaf_digest([*kept, new]))
+    digests = docs.select("doc_id", "lang", leaf_digest([*kept, F.col("text")]).alias("leaf"), changed.alias("changed"))
     return digests.withColumn("seq", F.monotonically_increasing_id())
 
 
@@ -91,7 +106,7 @@ def tree_levels(leaves: DataFrame, name: str) -> tuple[list[DataFrame], DataFram
             F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "digest"))).alias("c")
         )
         grouped = grouped.select("tree", F.lit(level).alias("level"), F.col("run").alias("at"), F.ceil(F.col("n") / FAN).alias("n"), F.col("c.digest").alias("children"))
-        nodes = materialize(grouped.withColumn("digest", F.sha2(F.array_join("children", ""), 256)), f"{name}-level-{level}")
+        nodes = materialize(grouped.withColumn("digest", digest_of_all("children")), f"{name}-level-{level}")
         runs.append(nodes)
         last = last.unionByName(nodes.where("n = 1").select("tree", "digest"))
     return runs, last
@@ -141,35 +156,60 @@ def stored_tree(docs: DataFrame, tampered: Callable[[DataFrame], Column] = every
 
 CLIMB = """
 WITH RECURSIVE climb AS (
-  SELECT tree AS own_tree, at AS own_at, 0 AS steps, leaf AS node, changed AS folded, '' AS siblings, n = 1 AS last,
+  SELECT tree AS own_tree, at AS own_at, 0 AS steps, leaf AS node, changed AS folded, CAST(NULL AS BINARY) AS siblings, n = 1 AS last,
     up_tree, up_level, up_at, slot, CAST(IF(up_level >= {spread_from}, at % {spread}, 0) AS INT) AS copy
   FROM {leaves}
   UNION ALL
   SELECT c.own_tree, c.own_at, c.steps + 1, r.digest,
     CASE WHEN c.folded = c.node THEN r.digest
-      ELSE sha2(array_join(transform(r.children, (x, i) -> IF(i = c.slot, c.folded, x)), ''), 256) END,
-    array_join(filter(r.children, (x, i) -> i <> c.slot), ''), r.last,
-    r.up_tree, r.up_level, r.up_at, r.slot, CAST(IF(r.up_level >= {spread_from}, c.own_at % {spread}, 0) AS INT)
+      ELSE unhex(sha2(array_join(transform(r.children, (x, i) -> lower(hex(IF(i = c.slot, c.folded, x)))), ''), 256)) END,
+    CASE WHEN c.steps = 0 OR c.own_at % {fan} = 0
+      THEN aggregate(filter(r.children, (x, i) -> i <> c.slot), X'', (a, x) -> concat(a, x)) END,
+    r.last, r.up_tree, r.up_level, r.up_at, r.slot, CAST(IF(r.up_level >= {spread_from}, c.own_at % {spread}, 0) AS INT)
   FROM climb c JOIN {runs} r
     ON c.up_tree = r.tree AND c.up_level = r.level AND c.up_at = r.at AND c.copy = r.copy
 )
-SELECT own_tree, own_at, steps, node, folded, siblings, last FROM climb
+SELECT own_tree, own_at, steps, node, folded, siblings, last, up_tree IS NULL AS top FROM climb
 """
 
 
 def climbed(leaves: DataFrame, runs: DataFrame) -> DataFrame:
-    """Every step of every leaf's way to the root: (own_tree, own_at, steps, node, folded, siblings, last), written.
+    """Every step of every leaf's way to the root: (own_tree, own_at, steps, node, folded, siblings, last, top).
 
-    Spark stops a recursion at a number of rows and levels; both limits are lifted while this
-    one runs, as its rows are the leaves times the height of the tree.
+    Siblings of the second step and above are there for the first leaf of a run only.
     """
-    spark = leaves.sparkSession
-    return _without_limits(
-        spark, lambda: materialize(spark.sql(CLIMB.format(leaves="{leaves}", runs="{runs}", spread_from=SPREAD_FROM, spread=SPREAD), leaves=leaves, runs=runs), "manifest-climb")
+    text = CLIMB.format(leaves="{leaves}", runs="{runs}", spread_from=SPREAD_FROM, spread=SPREAD, fan=FAN)
+    return leaves.sparkSession.sql(text, leaves=leaves, runs=runs)
+
+
+def ways_of(steps: DataFrame) -> DataFrame:
+    """(own_tree, own_at, leaf, subroot, root, proof_sha256, folded_root) from the climb's steps.
+
+    One group is the eight leaves of a run and the steps they took.
+    """
+    first, shared = F.col("steps") <= 1, F.col("steps") > 1
+    telling = steps.where(first | F.col("siblings").isNotNull() | F.col("last") | F.col("top"))
+    by_run = telling.groupBy("own_tree", F.floor(F.col("own_at") / FAN).alias("run")).agg(
+        F.array_sort(F.collect_list(F.when(shared & F.col("siblings").isNotNull(), F.struct("steps", "siblings")))).alias("upper"),
+        F.collect_list(F.when(F.col("steps") == 0, F.struct("own_at", F.col("node").alias("leaf")))).alias("leaves"),
+        F.map_from_entries(F.collect_list(F.when(F.col("steps") == 1, F.struct("own_at", "siblings")))).alias("lowest"),
+        F.map_from_entries(F.collect_list(F.when(F.col("top"), F.struct("own_at", "folded")))).alias("folded"),
+        F.max(F.when(F.col("last"), F.col("node"))).alias("subroot"),
+        F.max(F.when(F.col("top"), F.col("node"))).alias("root"),
     )
+    each = by_run.select("own_tree", F.explode("leaves").alias("own"), "upper", "lowest", "folded", "subroot", "root")
+    own = F.col("own.own_at")
+    proof = F.concat(F.coalesce(F.element_at("lowest", own), F.lit(b"")), F.aggregate("upper.siblings", F.lit(b""), lambda a, x: F.concat(a, x)))
+    return each.select(
+        "own_tree", own.alias("own_at"), "own.leaf", "subroot", "root", F.sha2(as_text(proof), 256).alias("proof_sha256"), F.element_at("folded", own).alias("folded_root")
+    )
 
 
 def _without_limits(spark: SparkSession, job: Callable[[], DataFrame]) -> DataFrame:
+    """Spark stops a recursion at a number of rows and levels; both are lifted while ``job`` runs.
+
+    The rows of the climb are the leaves times the height of the tree.
+    """
     before = {key: spark.conf.get(key) for key in (ROW_LIMIT, LEVEL_LIMIT)}
     try:
         for key in before:
@@ -183,15 +223,9 @@ def _without_limits(spark: SparkSession, job: Callable[[], DataFrame]) -> DataFr
 def verified_manifest(docs: DataFrame, tampered: Callable[[DataFrame], Column] = every_third_lower) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every row."""
     leaves, runs = stored_tree(docs, tampered)
-    steps = climbed(leaves.select("tree", "at", "n", "leaf", "changed", "up_tree", "up_level", "up_at", "slot"), runs)
-    ways = steps.groupBy("own_tree", "own_at").agg(
-        F.array_sort(F.collect_list(F.struct("steps", "siblings"))).alias("way"),
-        F.max_by("node", "steps").alias("root"),
-        F.max_by("folded", "steps").alias("folded_root"),
-        F.max(F.when(F.col("last"), F.col("node"))).alias("subroot"),
-    )
-    proof = F.sha2(F.array_join("way.siblings", ""), 256)
-    ways = ways.select("own_tree", "own_at", "subroot", "root", proof.alias("proof_sha256"), "folded_root")
-    rows = leaves.select("doc_id", "leaf", F.col("tree").alias("own_tree"), F.col("at").alias("own_at"))
+    start = leaves.select("tree", "at", "n", "leaf", F.coalesce("changed", "leaf").alias("changed"), "up_tree", "up_level", "up_at", "slot")
+    ways = _without_limits(docs.sparkSession, lambda: materialize(ways_of(climbed(start, runs)), "manifest-ways"))
+    rows = leaves.select("doc_id", F.col("tree").alias("own_tree"), F.col("at").alias("own_at"))
     joined = rows.join(ways, ["own_tree", "own_at"])
-    return joined.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    digests = [as_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return joined.select("doc_id", *digests, "proof_sha256", as_text(F.col("folded_root")).alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
