@@ -301,45 +301,44 @@ AS_PERCENT = (
     f"FROM ({WORKBENCH_BODIES['cut_kids']}) k"
 )
 
-# Correlations: the pull unpivoted to (row id, column position, value), one
-# row per non-NULL value; a self-join on the row id pairs exactly the rows
-# where both columns are known (pairwise-complete).
+# Correlations: a pull row is a list of 55 values; it is unnested to its column
+# pairs, and one GROUP BY takes the statistics of each pair over the rows where both are known.
 _STAT_COLUMNS = [*DEMOGRAPHIC_PULL_COLUMNS[1:], "penetration"]
-_PULL_LONG = "\nUNION ALL\n".join(
-    f"SELECT rid, {i} AS pos, '{c}' AS col, CAST({c} AS DOUBLE) AS val FROM pull WHERE {c} IS NOT NULL"
-    for i, c in enumerate(_STAT_COLUMNS)
-)
-_COLS = "\nUNION ALL\n".join(f"SELECT {i} AS pos, '{c}' AS col" for i, c in enumerate(_STAT_COLUMNS))
-_R = (
-    "CASE WHEN MIN(a.val) < MAX(a.val) AND MIN(b.val) < MAX(b.val) "
-    "THEN ROUND(COVAR_POP(a.val, b.val) / SQRT(VAR_POP(a.val) * VAR_POP(b.val)), 9) END"
-)
-_STATS_PREFIX = (
-    f"pull AS MATERIALIZED (SELECT ROW_NUMBER() OVER () AS rid, * FROM ({DEMOGRAPHIC_PULL}) p),\n"
-    f"pl AS ({_PULL_LONG}),\n"
-    f"cols AS ({_COLS}),\n"
-    f"pair_stats AS (\n  SELECT a.pos AS pa, b.pos AS pb, COUNT(*) AS n, {_R} AS r,\n"
-    "    CASE WHEN MIN(a.val) < MAX(a.val) THEN ROUND(REGR_SLOPE(b.val, a.val), 9) END AS slope,\n"
-    "    CASE WHEN MIN(a.val) < MAX(a.val) THEN ROUND(REGR_INTERCEPT(b.val, a.val), 9) END AS intercept\n"
-    "  FROM pl a JOIN pl b ON a.rid = b.rid AND a.pos < b.pos GROUP BY a.pos, b.pos),\n"
-    "pairs AS (SELECT ca.col AS col_a, cb.col AS col_b, COALESCE(s.n, 0) AS n, s.r, s.slope, s.intercept\n"
-    "  FROM cols ca JOIN cols cb ON ca.pos < cb.pos\n"
-    "  LEFT JOIN pair_stats s ON s.pa = ca.pos AND s.pb = cb.pos)\n"
-)
 
 
-def _with_stats(body: str) -> str:
-    return f"WITH hh AS (\n{fixture_cte_sql()}\n),\n{_STATS_PREFIX}{body}"
+def _with_stats(body: str, pairs: list[tuple[int, int]]) -> str:
+    values = ", ".join(f"CAST({c} AS DOUBLE)" for c in _STAT_COLUMNS)
+    first, second = ([p[side] + 1 for p in pairs] for side in (0, 1))
+    names = "[" + ", ".join(f"'{c}'" for c in _STAT_COLUMNS) + "]"
+    both = "x IS NOT NULL AND y IS NOT NULL"
+    x_varies, y_varies = (f"MIN({c}) FILTER (WHERE {both}) < MAX({c}) FILTER (WHERE {both})" for c in "xy")
+    return (
+        f"WITH hh AS (\n{fixture_cte_sql()}\n),\n"
+        f"pull AS MATERIALIZED (SELECT [{values}] AS v FROM ({DEMOGRAPHIC_PULL}) p),\n"
+        f"numbered AS (SELECT v, UNNEST(range({len(pairs)})) AS k FROM pull),\n"
+        f"placed AS (SELECT v, CAST({first} AS INTEGER[])[k + 1] AS a, CAST({second} AS INTEGER[])[k + 1] AS b FROM numbered),\n"
+        "xy AS (SELECT a, b, v[a] AS x, v[b] AS y FROM placed),\n"
+        f"pairs AS (SELECT {names}[a] AS col_a, {names}[b] AS col_b, COUNT(*) FILTER (WHERE {both}) AS n,\n"
+        f"    CASE WHEN {x_varies} AND {y_varies} THEN ROUND(COVAR_POP(y, x) / SQRT(VAR_POP(x) FILTER (WHERE {both}) * VAR_POP(y) FILTER (WHERE {both})), 9) END AS r,\n"
+        f"    CASE WHEN {x_varies} THEN ROUND(REGR_SLOPE(y, x), 9) END AS slope,\n"
+        f"    CASE WHEN {x_varies} THEN ROUND(REGR_INTERCEPT(y, x), 9) END AS intercept\n"
+        f"  FROM xy GROUP BY a, b)\n{body}"
+    )
 
 
-DEMOGRAPHIC_CORRELATION = _with_stats("SELECT col_a, col_b, n, r FROM pairs")
+_LAST = len(_STAT_COLUMNS) - 1
+_AGAINST_TARGET = [(i, _LAST) for i in range(_LAST)]
+DEMOGRAPHIC_CORRELATION = _with_stats(
+    "SELECT col_a, col_b, n, r FROM pairs", [(i, j) for i in range(_LAST) for j in range(i + 1, _LAST + 1)]
+)
 PREDICTOR_RANKING = _with_stats(
     "SELECT CAST(ROW_NUMBER() OVER (ORDER BY r_squared DESC NULLS LAST, col_a ASC) AS INTEGER) AS rank,\n"
     "    col_a AS column, n, r, r_squared\n"
-    "FROM (SELECT col_a, n, r, ROUND(r * r, 9) AS r_squared FROM pairs WHERE col_b = 'penetration') t"
+    "FROM (SELECT col_a, n, r, ROUND(r * r, 9) AS r_squared FROM pairs) t",
+    _AGAINST_TARGET,
 )
 UNIVARIATE_REGRESSION = _with_stats(
-    "SELECT col_a AS column, n, slope, intercept, ROUND(r * r, 9) AS r_squared FROM pairs WHERE col_b = 'penetration'"
+    "SELECT col_a AS column, n, slope, intercept, ROUND(r * r, 9) AS r_squared FROM pairs", _AGAINST_TARGET
 )
 
 _ACS_COLUMNS = ", ".join(DEMOGRAPHIC_PULL_COLUMNS)
@@ -418,9 +417,55 @@ XTAB_BLOCK_BULK_DWELLING = (
     f"FROM ({_paired('x', 'block_bulk_status', 'DWELLING_SEGMENT', _WITH_STATUS, [DWELL])}) x"
 )
 
+# Bounds and tests of a difference; z and erfc as in operators.significance.
+_Z = 1.959963984540054
+_FIT = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def _wilson(c: str, n: str) -> tuple[str, str]:
+    p, n = f"(CAST({c} AS DOUBLE) / {n})", f"CAST({n} AS DOUBLE)"
+    z2 = f"CAST({_Z * _Z!r} AS DOUBLE)"
+    middle = f"({p} + {z2} / (2 * {n}))"
+    half = f"CAST({_Z!r} AS DOUBLE) * SQRT({p} * (1 - {p}) / {n} + {z2} / (4 * {n} * {n}))"
+    return (f"ROUND(GREATEST(0.0::DOUBLE, ({middle} - {half}) / (1 + {z2} / {n})), 9)", f"ROUND(LEAST(1.0::DOUBLE, ({middle} + {half}) / (1 + {z2} / {n})), 9)")
+
+
+def _erfc() -> str:
+    fit = "0.0::DOUBLE"
+    for a in reversed(_FIT[1:]):
+        fit = f"t * ({a}::DOUBLE + {fit})"
+    return f"LEAST(1.0::DOUBLE, t * EXP(-x * x + ({_FIT[0]}::DOUBLE) + {fit}))"
+
+
+_LOW_C, _HIGH_C = _wilson("customers_current", "households_current")
+_LOW_P, _HIGH_P = _wilson("customers_prior", "households_prior")
+_POOLED = "(CAST(customers_current + customers_prior AS DOUBLE) / (households_current + households_prior))"
+_ERROR = f"SQRT({_POOLED} * (1 - {_POOLED}) * (1.0::DOUBLE / households_current + 1.0::DOUBLE / households_prior))"
+_DIFFERENCE = "CAST(customers_current AS DOUBLE) / households_current - CAST(customers_prior AS DOUBLE) / households_prior"
+YOY_SIGNIFICANCE = (
+    "SELECT * EXCLUDE (x, t, z, p, q), ROUND(z, 9) AS z, ROUND(p, 9) AS p_value, ROUND(q, 9) AS q_value, q <= 0.2::DOUBLE AS significant\n"
+    "FROM (SELECT *, CASE WHEN p IS NOT NULL THEN LEAST(1.0::DOUBLE, (\n"
+    "        SELECT MIN(j.p * (SELECT COUNT(m.p) FROM tests m WHERE m.dimension = i.dimension)\n"
+    "               / (SELECT COUNT(m.p) FROM tests m WHERE m.dimension = i.dimension AND m.p <= j.p))\n"
+    "        FROM tests j WHERE j.dimension = i.dimension AND j.p >= i.p)) END AS q FROM tests i) f"
+)
+YOY_SIGNIFICANCE = (
+    f"WITH hh AS (\n{fixture_cte_sql()}\n),\n"
+    f"change AS MATERIALIZED ({YOY_CHANGE}),\n"
+    f"zs AS (SELECT *, {_LOW_C} AS low_current, {_HIGH_C} AS high_current, {_LOW_P} AS low_prior, {_HIGH_P} AS high_prior,\n"
+    f"    CASE WHEN {_ERROR} > 0 THEN ({_DIFFERENCE}) / {_ERROR} WHEN {_ERROR} = 0 THEN 0.0::DOUBLE END AS z FROM change),\n"
+    "xs AS (SELECT *, ABS(z) / SQRT(2.0::DOUBLE) AS x FROM zs),\n"
+    "ts AS (SELECT *, 1 / (1 + 0.5::DOUBLE * x) AS t FROM xs),\n"
+    f"tests AS MATERIALIZED (SELECT *, CASE WHEN x IS NOT NULL THEN {_erfc()} END AS p FROM ts)\n" + YOY_SIGNIFICANCE
+)
+_LOW, _HIGH = _wilson("customer_count", "household_count")
+RATE_BOUNDS = f"SELECT *, {_LOW} AS low, {_HIGH} AS high FROM ({WORKBENCH_BODIES['xtab_kids_labor']}) x"
+
 ANALYSIS_SQL: dict[str, str] = {
     "all_cuts_long": with_hh(ALL_CUTS_LONG),
     "yoy_change": with_hh(YOY_CHANGE),
+    "yoy_significance": YOY_SIGNIFICANCE,
+    "rate_bounds": with_hh(RATE_BOUNDS),
     "spread_ranking": with_hh(SPREAD_RANKING),
     "interaction_dwelling_kids": with_hh(
         _interaction("xtab_dwelling_kids", "DWELLING_SEGMENT", "kids_bucket", "total_households", "customer_count")

@@ -28,6 +28,7 @@ from ..operators.compare import (
     yoy_change,
 )
 from ..operators.penetration import Measures, penetration_by
+from ..operators.significance import rate_bounds, yoy_significance
 from ..operators.stats import demographic_correlation, predictor_ranking, univariate_regression
 from ..session import ensure_checkpoint_dir
 from ..sources.census import enrich_with_census
@@ -38,12 +39,24 @@ from .catalog import BLOCK_BULK_DWELLING, CUTS_BY_KEY, XTAB
 
 # Segments under this many households are flagged (or left out) as too small to read.
 SOLID_HOUSEHOLDS = 1500
+# Share of false discoveries accepted when changes are looked at for a closer reading.
+EXPLORATORY_LEVEL = 0.2
 
 
 def yoy_all_cuts(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
     return yoy_change(all_cuts_long(df, snapshots), ["dimension", "bucket"], snapshots[0], snapshots[1])
 
 
+def changes_with_tests(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    """The comparison of all cuts with tests; each dimension is a family of its own."""
+    return yoy_significance(yoy_all_cuts(df, snapshots), ["dimension"], EXPLORATORY_LEVEL)
+
+
+def bounded_labor_cut(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    spec = CUTS_BY_KEY["xtab_kids_labor"]
+    return rate_bounds(spec.run(df, snapshots), spec.measures.customers, spec.measures.households)
+
+
 def ranked_spreads(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
     return spread_ranking(all_cuts_long(df, snapshots))
 
@@ -148,6 +161,8 @@ def exported_pull(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
 ANALYSES = {
     "all_cuts_long": all_cuts_long,
     "yoy_change": yoy_all_cuts,
+    "yoy_significance": changes_with_tests,
+    "rate_bounds": bounded_labor_cut,
     "spread_ranking": ranked_spreads,
     "interaction_dwelling_kids": _interaction("xtab_dwelling_kids"),
     "interaction_kids_transport": _interaction("xtab_kids_transport"),

@@ -276,3 +276,20 @@ def test_yoy_change_on_an_int_date_key(spark, hh):
     as_int = hh.withColumn("DAILY_TIME_KEY", F.date_format("DAILY_TIME_KEY", "yyyyMMdd").cast("int"))
     got = yoy_change(spec.run(as_int, [CUR, PRI]), dims, CUR, PRI, spec.measures).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and got
+
+
+def test_a_task_sends_one_state_for_all_column_pairs(spark):
+    """1,000 rows in three tasks become three rows, each with an entry per column pair."""
+    from segmetrics.operators.stats import _reducer
+
+    columns = [f"c{i}" for i in range(5)]
+    df = spark.range(0, 1000, 1, 3).select(*[((F.col("id") * (i + 3)) % 17).cast("double").alias(c) for i, c in enumerate(columns)])
+    pairs = [(i, list(range(i + 1, 5))) for i in range(4)]
+    kind = ", ".join(f"{c} array<double>" for c in ("n", "mx", "my", "sxy", "sxx", "syy", "x_min", "x_max", "y_min", "y_max"))
+    states = df.mapInArrow(_reducer(pairs), kind).collect()
+    assert len(states) == 3 and all(len(r["n"]) == 10 for r in states) and sum(r["n"][0] for r in states) == 1000
+
+
+def test_statistics_of_an_empty_pull(spark):
+    got = demographic_correlation(spark.createDataFrame([], "c double, penetration double"), ["c", "penetration"]).collect()
+    assert [tuple(r) for r in got] == [("c", "penetration", 0, None, None)[:4]]
