@@ -354,6 +354,29 @@ ENRICH_WITH_CENSUS = _single("labor_group", False, "total_households", "customer
     "FROM hh WHERE", f"FROM {ENRICHED} WHERE"
 )
 
+_STATUS = (
+    "(SELECT CENSUS_BLOCK_GROUP, CASE WHEN MAX(BULK_FLG) = 1 THEN 'has_bulk' ELSE 'no_bulk' END AS block_bulk_status\n"
+    " FROM hh GROUP BY CENSUS_BLOCK_GROUP)"
+)
+_ENRICHED_STATUS = ENRICHED.replace("SELECT h.DAILY_TIME_KEY", "SELECT s.block_bulk_status, h.DAILY_TIME_KEY").replace(
+    " ON h.CENSUS_BLOCK_GROUP = a.CENSUS_BLOCK_GROUP) e",
+    f" ON h.CENSUS_BLOCK_GROUP = a.CENSUS_BLOCK_GROUP LEFT JOIN {_STATUS} s ON h.CENSUS_BLOCK_GROUP = s.CENSUS_BLOCK_GROUP) e",
+)
+BUCKETED_LABOR_BY_STATUS = (
+    f"SELECT block_bulk_status, labor_group, DAILY_TIME_KEY, {HH_COUNT} AS household_count, {CUST} AS customer_count, {RATE} AS penetration_rate\n"
+    f"FROM (SELECT block_bulk_status, DAILY_TIME_KEY, CUSTOMER_FLAG, {LABEL_SQL['labor_group']} AS labor_group\n"
+    f"      FROM {_ENRICHED_STATUS} WHERE {SNAPS} AND {HH0} AND {LAB} AND block_bulk_status IS NOT NULL) t\n"
+    "GROUP BY block_bulk_status, labor_group, DAILY_TIME_KEY"
+)
+DAILY_CUBE_CUTS = "\nUNION ALL\n".join(
+    [
+        f"SELECT '{key}' AS cut, CAST({label} AS VARCHAR) AS bucket_a, CAST(NULL AS VARCHAR) AS bucket_b, DAILY_TIME_KEY, "
+        f"{hh} AS households, {cc} AS customers, penetration_rate FROM ({WORKBENCH_BODIES[key]}) c_{key}"
+        for _, key, label, hh, cc in _SINGLES
+    ]
+    + [f"SELECT cross_tab AS cut, bucket_a, bucket_b, DAILY_TIME_KEY, households, customers, penetration_rate FROM ({XTABS_LONG}) x"]
+)
+
 CUSTOM_DIMENSION = (
     "SELECT age_decade, DAILY_TIME_KEY, COUNT(*) AS household_count,\n"
     "    COUNT(*) FILTER (WHERE CUSTOMER_KEY > 0) AS customer_count,\n"
@@ -481,6 +504,8 @@ ANALYSIS_SQL: dict[str, str] = {
     "predictor_ranking": PREDICTOR_RANKING,
     "univariate_regression": UNIVARIATE_REGRESSION,
     "enrich_with_census": with_hh(ENRICH_WITH_CENSUS),
+    "bucketed_labor_by_status": with_hh(BUCKETED_LABOR_BY_STATUS),
+    "daily_cube_cuts": with_hh(DAILY_CUBE_CUTS),
     "custom_dimension": with_hh(CUSTOM_DIMENSION),
     "custom_long": with_hh(CUSTOM_LONG),
     "custom_yoy": with_hh(YOY_CHANGE.replace(ALL_CUTS_LONG, CUSTOM_LONG)),

@@ -13,9 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dimensions import BLOCK_BULK, DWELLING_DIM, KIDS, OWNERSHIP, TRANSPORT, custom_dimension
+from ..functions.dimensions import BLOCK_BULK, DWELLING_DIM, KIDS, LABOR, OWNERSHIP, TRANSPORT, custom_dimension
 from ..functions.measures import key_gt_0
-from ..operators.blocks import demographic_pull
+from ..operators.blocks import block_bulk_status, demographic_pull
 from ..operators.compare import (
     all_cuts_long,
     all_interactions,
@@ -31,11 +31,13 @@ from ..operators.penetration import Measures, penetration_by
 from ..operators.significance import rate_bounds, yoy_significance
 from ..operators.stats import demographic_correlation, predictor_ranking, univariate_regression
 from ..session import ensure_checkpoint_dir
+from ..sources.bucketed import append_households, joined_by_block, write_block_rows
 from ..sources.census import enrich_with_census
 from ..sources.export import export_csv, read_export
 from ..sources.household import Snapshot, snapshot_filter
 from ..sources.schema import BLOCK, BULK, CUSTOMER_FLAG, CUSTOMER_KEY, DATE, DEMOGRAPHIC_COLUMNS, DWELLING
 from .catalog import BLOCK_BULK_DWELLING, CUTS_BY_KEY, XTAB
+from .daily_cube import refresh_days, stored_cuts_long
 
 # Segments under this many households are flagged (or left out) as too small to read.
 SOLID_HOUSEHOLDS = 1500
@@ -109,17 +111,44 @@ def enriched_labor_cut(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFram
     separately delivered ACS extract: a block seen on the prior date only keeps
     its attributes.
     """
-    latest = F.max_by(F.struct(*DEMOGRAPHIC_COLUMNS), F.col(DATE)).alias("latest")
-    acs = (
-        df.where(snapshot_filter(df, snapshots) & F.col(BLOCK).isNotNull())
-        .groupBy(BLOCK)
-        .agg(latest)
-        .select(BLOCK, "latest.*")
-    )
+    acs = _attributes(df, snapshots)
     households = df.select(DATE, BLOCK, DWELLING, BULK, CUSTOMER_KEY, CUSTOMER_FLAG)
     return CUTS_BY_KEY["cut_labor"].run(enrich_with_census(households, acs, check_keys=False), snapshots)
 
 
+def _attributes(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    """One row of census columns per block group, from the latest snapshot that has it."""
+    latest = F.max_by(F.struct(*DEMOGRAPHIC_COLUMNS), F.col(DATE)).alias("latest")
+    known = df.where(snapshot_filter(df, snapshots) & F.col(BLOCK).isNotNull())
+    return known.groupBy(BLOCK).agg(latest).select(BLOCK, "latest.*")
+
+
+def bucketed_labor_by_status(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    """Labour force beside block status, from tables bucketed by block group.
+
+    Stores the fact table, the census attributes and the block status, then joins
+    the three without an exchange.
+    """
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bucketed-{run}"
+    fact, acs, status = (f"{name}_{run}" for name in ("households", "census", "block_status"))
+    append_households(df.select(DATE, BLOCK, CUSTOMER_FLAG, BULK), fact, f"{base}/households")
+    write_block_rows(_attributes(df, snapshots), acs, f"{base}/census")
+    write_block_rows(block_bulk_status(spark.table(fact)), status, f"{base}/status")
+    rows = spark.table(fact).where(snapshot_filter(df, snapshots))
+    joined = joined_by_block(spark, rows, acs, status)
+    return penetration_by(joined, [BLOCK_BULK, LABOR], snapshots, measures=XTAB)
+
+
+def cuts_from_daily_cube(df: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    """All 27 cuts from the stored daily tables: every day is aggregated once, then two are read."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/daily_cube-{uuid.uuid4().hex}"
+    days = [r[0] for r in df.select(DATE).distinct().collect()]  # a row per stored day
+    refresh_days(df, days, path)
+    return stored_cuts_long(spark, path, snapshots)
+
+
 AGE_DECADE = custom_dimension(
     "age_decade",
     lambda: (F.floor(F.col("MEDIAN_HH_AGE") / 10) * 10).cast("int"),
@@ -174,6 +203,8 @@ ANALYSES = {
     "predictor_ranking": ranked_predictors,
     "univariate_regression": regressions,
     "enrich_with_census": enriched_labor_cut,
+    "bucketed_labor_by_status": bucketed_labor_by_status,
+    "daily_cube_cuts": cuts_from_daily_cube,
     "custom_dimension": custom_age_cut,
     "custom_long": _custom_long,
     "custom_yoy": custom_yoy,
