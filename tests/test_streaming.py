@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import CUR, OLD, PRI
@@ -88,3 +89,73 @@ def test_unpublished_versions_are_not_read(spark, hh, tmp_path):
     half = spark.createDataFrame([("000000000001", 1, 99)], "CENSUS_BLOCK_GROUP string, has_bulk_flag int, epoch long")
     half.write.parquet(f"{table}/epoch=99")
     assert _status(block_bulk_table(spark, table)) == before
+
+
+def _versions(spark, landing, table, ckpt, hh, days, files=None):
+    for day in days:
+        _land_day(hh, landing, day)
+        refresh_block_bulk(household_stream(spark, landing), table, ckpt, files)
+
+
+def _rows_in(path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    return sum(pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{path}/part-*.parquet"))
+
+
+def test_old_versions_go_and_a_running_reader_does_not_fail(spark, hh, tmp_path):
+    import datetime as dt
+
+    from segmetrics.streaming.block_bulk import retire_versions
+
+    table, landing = str(tmp_path / "status"), str(tmp_path / "landing")
+    assert retire_versions(spark, table) == []
+    _versions(spark, landing, table, str(tmp_path / "ckpt"), hh, [OLD])
+    reader = block_bulk_table(spark, table)  # planned now, read to the end later
+    first = _status(reader)
+    _versions(spark, landing, table, str(tmp_path / "ckpt"), hh, [PRI, CUR])
+    whole = _status(block_bulk_status(hh))
+
+    # Within the readers' time nothing goes, however few versions are kept.
+    assert retire_versions(spark, table, keep=1) == []
+    assert _status(reader) == first
+
+    later = dt.datetime.now() + dt.timedelta(days=2)
+    assert retire_versions(spark, table, keep=3, now=later) == []
+    assert retire_versions(spark, table, keep=2, now=later) == [0]
+    assert retire_versions(spark, table, keep=2, now=later) == []  # done once
+    assert _rows_in(f"{table}/epoch=0") == 0 and _rows_in(f"{table}/epoch=1") > 0
+    assert _status(block_bulk_table(spark, table)) == whole
+
+    # The next run of the stream goes on as before.
+    more = hh.where(F.col("DAILY_TIME_KEY") == OLD).withColumn("BULK_FLG", F.lit(1)).drop("HOUSEHOLD_ROW_ID")
+    more.write.parquet(f"{landing}/day=late")
+    refresh_block_bulk(household_stream(spark, landing), table, str(tmp_path / "ckpt"))
+    assert retire_versions(spark, table, keep=2, now=later) == [1]
+    assert _status(block_bulk_table(spark, table)) == _status(block_bulk_status(hh.drop("HOUSEHOLD_ROW_ID").unionByName(more)))
+
+
+def test_a_retirement_that_failed_is_taken_up_again(spark, hh, tmp_path):
+    import datetime as dt
+
+    from segmetrics.streaming import block_bulk
+
+    table = str(tmp_path / "status")
+    _versions(spark, str(tmp_path / "landing"), table, str(tmp_path / "ckpt"), hh, [OLD, PRI])
+    block_bulk._mark(spark, [0], f"{table}.retired")  # marked, but the files are still there
+    later = dt.datetime.now() + dt.timedelta(days=2)
+    assert block_bulk.retire_versions(spark, table, keep=1, now=later) == [0]
+    assert _rows_in(f"{table}/epoch=0") == 0
+    with pytest.raises(ValueError, match="always kept"):
+        block_bulk.retire_versions(spark, table, keep=0)
+
+
+def test_versions_can_be_compacted(spark, hh, tmp_path):
+    import glob
+
+    table = str(tmp_path / "status")
+    _versions(spark, str(tmp_path / "landing"), table, str(tmp_path / "ckpt"), hh, [OLD], files=1)
+    assert len(glob.glob(f"{table}/epoch=0/part-*.parquet")) == 1
+    assert _status(block_bulk_table(spark, table)) == _status(block_bulk_status(hh.where(F.col("DAILY_TIME_KEY") == OLD)))
