@@ -49,6 +49,11 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
+    "BSD-2-Clause": ("This software is provided under the Simplified BSD License.",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "0BSD": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",),
+    "LGPL-2.1": ("This library is licensed under the GNU Lesser General Public License, version 2.1.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.",),
 }
@@ -63,13 +68,18 @@ TITLES = {
     "AGPL-3.0": ("GNU Affero General Public License Version 3, 19 November 2007",),
     "MPL-2.0": ("Mozilla Public License Version 2.0",),
     "BSD-3-Clause": ("BSD 3-Clause License",),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License Version 2.1, February 1999",),
+    "EPL-2.0": ("Eclipse Public License - v 2.0",),
 }
-GNU = ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0")
+GNU = ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0")
 SPDX_IDS = {name: (name, *((f"{name}-only", f"{name}-or-later", f"{name}+") if name in GNU else ())) for name in TEMPLATES if name != "Proprietary"}
 NOTICES = {name: (*texts, *TITLES.get(name, ()), *(f"SPDX-License-Identifier: {x}" for x in SPDX_IDS.get(name, ()))) for name, texts in TEMPLATES.items()}
 # End fixed values.
 
 THRESHOLD = 0.6
+SPREAD = 16  # copies of a directory's answer
 
 
 _TAG = r"spdx-license-identifier[\s:=\"'(]*"
@@ -133,22 +143,31 @@ def template_weights(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame
     return materialize(rows.join(norms, "notice").select("notice", "license", "term", "idf", "weight", "norm"), "license-weights"), float(outside)
 
 
-def header_licenses(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", whole: DataFrame | None = None) -> DataFrame:
-    """(print, license, cosine): the best template of every distinct header, by its MD5, that reaches the threshold.
+def header_licenses(statements: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """(print, license, cosine): the best template of every statement, by its MD5, that reaches the threshold.
 
-    ``whole`` (statement) has texts that are scored as they are besides. Headers are scored once per distinct statement; copies are aggregated before the shuffle.
+    ``statements`` (print, statement) may repeat; document frequencies come from ``docs``. Copies are aggregated before
+    the shuffle and the distinct statements dealt by their print, once: terms, norms and
+    dot products of a statement are then counted where it lies, and its terms never leave the task.
     """
     weights, outside = template_weights(docs, text_col)
-    headers = docs.where(F.col(text_col).rlike(CUES)).select(F.explode(statements_of(F.col(text_col))).alias("statement"))
-    headers = (headers if whole is None else headers.union(whole)).distinct()
-    # Terms carry the print of their statement, not its text.
-    terms = headers.select(F.md5("statement").alias("print"), F.explode(terms_of(F.col("statement"))).alias("term")).groupBy("print", "term").agg(F.count(F.lit(1)).alias("tf"))
-    known = F.broadcast(weights.select("term", "idf").distinct())  # bounded by the template terms
-    weighed = terms.join(known, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(outside))).drop("idf")
-    norms = weighed.groupBy("print").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("own_norm"))
-    sides = weights.select("notice", "license", "term", F.col("weight").alias("template_weight"), "norm")
-    dots = weighed.join(F.broadcast(sides), "term").groupBy("print", "notice", "license").agg(F.sum(F.col("weight") * F.col("template_weight")).alias("dot"), F.first("norm").alias("norm"))
-    scored = dots.join(norms, "print").withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 9)).where(F.col("cosine") >= threshold)
+    notices = F.collect_list(F.struct("notice", "license", F.col("weight").alias("template_weight"), "norm")).alias("notices")
+    known = F.broadcast(weights.groupBy("term").agg(F.first("idf").alias("idf"), notices))  # bounded by the template terms
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = statements.select("print", "statement").distinct().repartition(parts, "print")
+    # The terms are an array below the explode, so that nothing else is computed once per term.
+    terms = dealt.select("print", terms_of(F.col("statement")).alias("terms")).select("print", F.explode("terms").alias("term"))
+    terms = terms.groupBy("print", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = terms.join(known, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(outside)))
+    # One row per statement: its norm over all terms, and the terms that templates have (a few hundred at most).
+    by_print = weighed.groupBy("print").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("own_norm"),
+        F.collect_list(F.when(F.col("notices").isNotNull(), F.struct("weight", "notices"))).alias("shared"),
+    )
+    pairs = by_print.select("print", "own_norm", F.explode("shared").alias("s")).select("print", "own_norm", "s.weight", F.explode("s.notices").alias("t"))
+    dots = pairs.groupBy("print", "own_norm", F.col("t.notice").alias("notice"), F.col("t.license").alias("license"), F.col("t.norm").alias("norm"))
+    dots = dots.agg(F.sum(F.col("weight") * F.col("t.template_weight")).alias("dot"))
+    scored = dots.withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 9)).where(F.col("cosine") >= threshold)
     best = scored.groupBy("print", "license").agg(F.max("cosine").alias("cosine")).groupBy("print").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
     return best.select("print", "best.license", (-F.col("best.c")).alias("cosine"))
 
@@ -176,11 +195,13 @@ def scanned_licenses(files: DataFrame, license_files: DataFrame, threshold: floa
     files = files.select("doc_id", "path", "text")
     headed = files.where(F.col("text").rlike(CUES))
     whole = materialize(headed.join(license_files.select("path").distinct(), "path", "left_semi").select("doc_id", "path", "text"), "license-texts")
-    scored = materialize(header_licenses(files, threshold, whole=whole.select(F.col("text").alias("statement"))), "header-licenses")
     key = F.struct("doc_id", "path", F.xxhash64("text").alias("print"))
     stated = headed.select(key.alias("key"), F.explode(statements_of(F.col("text"))).alias("statement"))
     stated = stated.union(whole.select(key.alias("key"), F.col("text").alias("statement")))
-    found = stated.select("key", F.md5("statement").alias("print")).join(scored, "print")
+    # Cut and printed once; scored by their distinct texts, found again by their prints.
+    stated = materialize(stated.select("key", F.md5("statement").alias("print"), "statement"), "license-statements")
+    scored = materialize(header_licenses(stated, files, threshold), "header-licenses")
+    found = stated.select("key", "print").join(scored, "print")
     own = found.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
     rows = files.select(key.alias("key"), directory_of(F.col("path")).alias("directory"))
     # Keys hold nulls: compare them by their text form.
@@ -193,7 +214,10 @@ def scanned_licenses(files: DataFrame, license_files: DataFrame, threshold: floa
     speakers = marked.where("license IS NOT NULL AND directory IS NOT NULL").select("path", "license", "cosine").distinct().join(spoken, "path")
     speakers = speakers.groupBy("ancestor").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select("ancestor", F.col("best.license").alias("given"))
     directories = marked.where("directory IS NOT NULL").select("directory").distinct()
-    climbed = directories.select("directory", F.explode(ancestors_of(F.col("directory"))).alias("ancestor")).join(speakers, "ancestor")
+    # All directories meet the few at the top: these answer in SPREAD copies, each to a share of the directories.
+    speakers = speakers.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    share = F.pmod(F.xxhash64("directory"), F.lit(SPREAD)).cast("int").alias("copy")
+    climbed = directories.select("directory", share, F.explode(ancestors_of(F.col("directory"))).alias("ancestor")).join(speakers, ["ancestor", "copy"])
     nearest = climbed.groupBy("directory").agg(F.max(F.struct(F.length("ancestor").alias("n"), "ancestor", "given")).alias("up"))
     nearest = materialize(nearest.select("directory", F.col("up.ancestor").alias("from_directory"), F.col("up.given").alias("given")), "directory-licenses")
     joined = marked.join(nearest, "directory", "left")
