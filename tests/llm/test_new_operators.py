@@ -311,6 +311,17 @@ def test_equal_hashes_are_told_apart(spark, monkeypatch):
     assert sorted(zip(got["lang"], got["phrase"], got["f"])) == [("x", "a", 2), ("x", "b", 1), ("y", "b", 1), ("y", "c", 1)]
 
 
+def test_text_hashes_depend_on_the_text_alone():
+    import pyarrow as pa
+
+    words = ["", "a", "b", "ab", "ba", "é日", "x" * 5000, "ab"]
+    whole = phrases.text_hashes(pa.array(words, pa.large_string()))
+    alone = [phrases.text_hashes(pa.array([w], pa.large_string()))[0] for w in words]
+    assert list(whole) == alone and len(set(alone)) == len(set(words))
+    assert list(phrases.text_hashes(pa.array(["zz", *words], pa.large_string())[1:])) == alone
+    assert len(phrases.text_hashes(pa.array([], pa.large_string()))) == 0
+
+
 def test_phrases_of_an_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
     assert phrases.collocations(spark.createDataFrame([("en", None)], "lang string, text string")).count() == 0
