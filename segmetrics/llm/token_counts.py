@@ -20,7 +20,8 @@ each of them, so such a token has a width.
 Defined results: a null text counts as empty; a document always has its row -1
 (0 tokens if nothing is outside); empty sections take no tokens; sections
 of one document must be sorted and must not overlap; repeated rows give repeated
-rows. Row-local: no shuffle. Whole texts are encoded.
+rows; an empty table gives no rows; further columns are ignored. Row-local: no shuffle. Whole texts are
+encoded; the work on a text's sections is linear in their number.
 """
 
 from __future__ import annotations
@@ -86,42 +87,61 @@ def attributed(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.n
     return np.where(section >= 0, full[np.maximum(section, 0)], -1), crossing
 
 
+COUNTED = "array<struct<section:int,name:string,start:int,finish:int,n_tokens:long,n_crossing:long>>"
+
+
 def section_counts(text: str | Column, sections: str | Column, path: str, pattern: str, rule: str = "majority") -> Column:
-    """Array of (section, n_tokens, n_crossing): -1 first, then every section in order."""
+    """Array of (section, name, start, finish, n_tokens, n_crossing): -1 first, then every section in order."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
-    @F.arrow_udf("array<struct<section:int,n_tokens:long,n_crossing:long>>")
+    @F.arrow_udf(COUNTED)
     def count(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        tokens, crossings, sizes = [], [], [0]
+        columns: dict[str, list] = {c: [] for c in ("section", "name", "start", "finish", "n_tokens", "n_crossing")}
+        sizes = [0]
         for i, text in enumerate(texts):
             starts, ends = token_spans(text.as_py() or "", path, pattern)
             mine = spans[i].values
             if mine is None:
-                low = high = np.zeros(0, np.int64)
-            else:
-                low = mine.field("start").to_numpy(zero_copy_only=False)
-                high = mine.field("finish").to_numpy(zero_copy_only=False)
+                mine = pa.array([], spans.type.value_type)
+            low, high = (mine.field(c).to_numpy(zero_copy_only=False) for c in ("start", "finish"))
             section, crossing = attributed(starts, ends, low, high, rule)
-            tokens.append(np.bincount(section + 1, minlength=len(low) + 1))
-            crossings.append(np.bincount(section + 1, weights=crossing, minlength=len(low) + 1).astype(np.int64))
-            sizes.append(len(low) + 1)
-        number = np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in sizes[1:]] or [np.zeros(0, np.int32)])
-        flat = pa.StructArray.from_arrays([pa.array(number, pa.int32()), *[pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (tokens, crossings)]], ["section", "n_tokens", "n_crossing"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
+            n = len(low) + 1
+            columns["section"].append(np.arange(-1, n - 1, dtype=np.int32))
+            for c in ("name", "start", "finish"):
+                columns[c] += [pa.nulls(1, mine.field(c).type), mine.field(c)]
+            columns["n_tokens"].append(np.bincount(section + 1, minlength=n).astype(np.int64))
+            columns["n_crossing"].append(np.bincount(section + 1, weights=crossing, minlength=n).astype(np.int64))
+            sizes.append(n)
+        kinds = {"section": pa.int32(), "name": pa.string(), "start": pa.int32(), "finish": pa.int32(), "n_tokens": pa.int64(), "n_crossing": pa.int64()}
+        flat = [pa.concat_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns[c]] or [pa.array([], kinds[c])]).cast(kinds[c]) for c in kinds]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.StructArray.from_arrays(flat, list(kinds)))
 
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
     return count(as_column(text), as_column(sections))
 
 
-def line_sections(text: Column) -> Column:
-    """Each line with its line break as a section named ``line``, in code points."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    lengths = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.char_length(x) + 1)
-    ends = F.aggregate(lengths, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends")))["ends"]
-    total = F.char_length(F.coalesce(text, F.lit("")))
-    starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
-    return F.transform(F.arrays_zip(starts.alias("start"), ends.alias("finish")), lambda x: F.struct(F.lit("line").alias("name"), x["start"].alias("start"), F.least(x["finish"], total).alias("finish")))
+def line_sections(text: Column, shift: Column | int = 0) -> Column:
+    """Each line with its line break as a section named ``line``, in code points from ``shift`` on.
+
+    Linear in the text, whatever the number of its lines.
+    """
+
+    @F.arrow_udf(SECTIONS)
+    def lines(texts: pa.Array, shifts: pa.Array) -> pa.Array:
+        starts, finishes, sizes = [], [], [0]
+        for text, at in zip(texts, shifts.to_numpy(zero_copy_only=False)):
+            points = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32)
+            breaks = np.flatnonzero(points == 10) + 1
+            starts.append(at + np.concatenate([[0], breaks]))
+            finishes.append(at + np.concatenate([breaks, [len(points)]]))
+            sizes.append(len(breaks) + 1)
+        low, high = (pa.array(np.concatenate(x) if x else [], pa.int32()) for x in (starts, finishes))
+        names = pa.repeat(pa.scalar("line"), len(low))
+        flat = pa.StructArray.from_arrays([names, low, high], ["name", "start", "finish"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
+
+    return lines(text, (F.lit(shift) if isinstance(shift, int) else shift).cast("int"))
 
 
 def field_document(fields: dict[str, Column], separator: str = "\n") -> tuple[Column, Column]:
@@ -140,9 +160,8 @@ def token_counts(rows: DataFrame, path: str, pattern: str, rule: str = "majority
 
     Columns: doc_id, section (-1: outside), name, start, finish, n_tokens, n_crossing.
     """
-    counted = rows.select("doc_id", "sections", F.explode(section_counts("text", "sections", path, pattern, rule)).alias("c"))
-    own = F.when(F.col("c.section") >= 0, F.get("sections", F.col("c.section")))
-    return counted.select("doc_id", "c.section", own["name"].alias("name"), own["start"].alias("start"), own["finish"].alias("finish"), "c.n_tokens", "c.n_crossing")
+    counted = rows.select("doc_id", F.explode(section_counts("text", "sections", path, pattern, rule)).alias("c"))
+    return counted.select("doc_id", "c.*")
 
 
 def document_token_counts(docs: DataFrame, path: str, pattern: str, rule: str = "majority") -> DataFrame:
@@ -152,7 +171,6 @@ def document_token_counts(docs: DataFrame, path: str, pattern: str, rule: str =
     """
     head, fields = field_document({"lang": F.col("lang"), "source": F.col("source")})
     rows = docs.select("doc_id", head.alias("head"), fields.alias("fields"), F.coalesce("text", F.lit("")).alias("body"))
-    shift = F.char_length("head") + 1
-    lines = F.transform(line_sections(F.col("body")), lambda s: F.struct(s["name"].alias("name"), (s["start"] + shift).alias("start"), (s["finish"] + shift).alias("finish")))
+    lines = line_sections(F.col("body"), F.char_length("head") + 1)
     rows = rows.select("doc_id", F.concat("head", F.lit("\n"), "body").alias("text"), F.concat("fields", lines).alias("sections"))
     return token_counts(rows, path, pattern, rule)
