@@ -14,7 +14,8 @@ Only DataFrame and SQL functions are used. Positions come from the lengths of
 the pieces between the matches, in code points.
 
 Defined results: a null text is an empty one (no spans); repeated rows get
-equal rows; a null doc_id is an id like any other. Whole texts are scanned.
+equal rows; a null doc_id is an id like any other; an empty table gives no rows; further columns are
+ignored (and kept by ``masked``). Whole texts are scanned; many matches in one text cost little more than their number.
 Parts of a weak candidate that overlap a base span are dropped in its favour.
 """
 
@@ -48,14 +49,31 @@ NEEDS = {"account": (2,), "bare": (1, 4), "endpoint": (3,)}
 SPAN = "array<struct<start:int,rank:int,finish:int>>"
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """``items`` in consecutive blocks, about as many as each is long."""
+
+    def cut(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / size).cast("int") - 1), lambda b: F.slice(x, b * size + 1, size))
+
+    return F.when(F.size(items) > 0, _bound(items, cut)).otherwise(F.array(items))
+
+
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """All matches of ``pattern`` as (start, rank of the kind, finish), in code points.
 
-    Match i starts after the first i pieces between matches and the i matches before it.
+    Match i starts after the first i pieces between matches and the i matches before it. The sums run
+    within blocks of matches first and then over the blocks, as an array is copied whenever it grows.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    steps = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("gap"))
+    all_of = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    steps = _bound(found, lambda m: F.arrays_zip(m.alias("m"), F.slice(between, 1, F.size(m)).alias("gap")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
@@ -64,7 +82,15 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), finish.alias("finish"))
         return F.struct(finish.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, first, step)["out"]).otherwise(F.array().cast(SPAN))
+    def join(acc: Column, block: Column) -> Column:
+        def moved(s: Column) -> Column:
+            return F.struct((s["start"] + acc["at"]).alias("start"), s["rank"].alias("rank"), (s["finish"] + acc["at"]).alias("finish"))
+
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(block["out"], moved))).alias("out"))
+
+    blocks = F.transform(_blocks(steps), lambda b: F.aggregate(b, first, step))
+    spans = F.flatten(F.aggregate(blocks, all_of, join)["out"])
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
 def found_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,18 +183,43 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
 
 def _masked(text: Column, spans: Column, mark: str) -> Column:
-    """``text`` with its sorted ``spans`` replaced by ``mark``; spans that overlap are one."""
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """``text`` with its sorted ``spans`` replaced by ``mark``; spans that overlap are one.
+
+    A piece is found by counting characters from the start of its text, so the text is cut at
+    blocks of spans first, and each block at its spans.
+    """
+    farthest = lambda block: F.array_max(F.transform(block, lambda s: s["finish"]))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def before_blocks(blocks: Column) -> Column:
+        """The farthest finish before each block, and after the last one."""
+
+        def step(acc: Column, block: Column) -> Column:
+            return F.struct(F.greatest(acc["at"], farthest(block)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        return F.aggregate(blocks, none, step, lambda acc: F.concat(acc["out"], F.array(acc["at"])))
+
+    def pieces(part: Column, origin: Column, block: Column) -> Column:
+        """The text from ``origin`` on, where the blocks before end, to the end of this one."""
+        first = F.struct(origin.alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substr(part, acc["at"] - origin + 1, s["start"] - acc["at"])
+            out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["finish"]).alias("at"), out.alias("out"))
+
+        return F.array_join(F.aggregate(block, first, step)["out"], "")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["finish"]).alias("at"), out.alias("out"))
+    def whole(x: Column) -> Column:
+        def one(block: Column, i: Column) -> Column:
+            origin = F.get(x["befores"], i)
+            return _bound(F.substr(text, origin + 1, F.get(x["befores"], i + 1) - origin), lambda part: pieces(part, origin, block))
 
-    def whole(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.char_length(text)))
+        rest = F.element_at(x["befores"], -1)
+        return F.concat(F.array_join(F.transform(x["blocks"], one), ""), F.substr(text, rest + 1, F.char_length(text)))
 
-    return F.aggregate(spans, first, step, whole)
+    cut = _bound(_blocks(spans), lambda blocks: F.struct(blocks.alias("blocks"), before_blocks(blocks).alias("befores")))
+    return F.when(F.size(spans) > 0, _bound(cut, whole)).otherwise(text)
 
 
 def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
