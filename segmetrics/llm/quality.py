@@ -31,7 +31,8 @@ touched, so extra columns of any name are safe.
 Scale: signals are row-local (no shuffle, no text moves between executors);
 the holdout join moves narrow rows only, once; a pass over its rows for each
 pick. The driver sees counts by (stratum, rule, grid level) and by (stratum,
-step), bounded by ``max_strata``.
+step), bounded by ``max_strata``: beyond that number of strata, those with the fewest
+labelled documents are pooled to one, and the guarantee holds for the pool.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ from pyspark.sql import functions as F
 
 from segmetrics.session import materialize
 
+POOL = "\0others"
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -84,6 +86,7 @@ class Cutoff:
     good_rejected: int
     bad_rejected: int
     upper_bound: float
+    besides: tuple[str, ...] | None = None  # of the pool: the strata that stand alone
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -262,15 +265,27 @@ def steps_of(picks: list[tuple[str, int]]) -> list[dict[str, int]]:
     return steps
 
 
+def pooled(rows: DataFrame, max_strata: int) -> tuple[DataFrame, tuple[str, ...] | None]:
+    """``rows`` with at most ``max_strata`` strata, and the strata that stand alone (None: all do).
+
+    Beyond that number, the strata with the most labelled documents (of equal ones, the first by name) stand alone
+    and all others are one, ``POOL``: it is tested and has its guarantee as a whole.
+    """
+    largest = rows.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(max_strata + 1).collect()
+    if len(largest) <= max_strata:
+        return rows, None
+    alone = tuple(r["stratum"] for r in largest[: max_strata - 1])
+    return rows.withColumn("stratum", F.when(F.col("stratum").isin(*alone), F.col("stratum")).otherwise(POOL)), alone
+
+
 def certified_cutoffs(
     counted: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, max_strata: int = 200
 ) -> list[Cutoff]:
     """The cutoffs in use: at most one per (stratum, rule), in that order."""
     rows = materialize(holdout(counted, labels), "quality-holdout")
-    got = rows.groupBy("stratum", "half", "good").count().limit(4 * max_strata + 1).collect()
+    rows, alone = pooled(rows, max_strata)
+    got = rows.groupBy("stratum", "half", "good").count().collect()  # of max_strata strata, four rows each
     strata = sorted({r["stratum"] for r in got})
-    if len(strata) > max_strata:
-        raise ValueError(f"more than {max_strata} strata; choose a coarser stratum column")
     level = delta / max(1, len(strata))
     totals = [{s: {r["good"]: r["count"] for r in got if (r["stratum"], r["half"]) == (s, half)} for s in strata} for half in (0, 1)]
     # Where not even a verdict that loses no good document passes, nothing is tuned.
@@ -301,7 +316,8 @@ def certified_cutoffs(
         if passed:
             step, lost_at, caught_at = passed
             bound = upper_bound(lost_at, good, level)
-            found += [Cutoff(stratum, rule, RULES[rule][2][step[rule]], good, lost_at, caught_at, bound) for rule in RULES if rule in step]
+            besides = alone if stratum == POOL else None
+            found += [Cutoff(stratum, rule, RULES[rule][2][step[rule]], good, lost_at, caught_at, bound, besides) for rule in RULES if rule in step]
     return found
 
 
@@ -309,7 +325,8 @@ def passes(cutoffs: list[Cutoff], counts: str, stratum: str) -> Column:
     """Whether a document breaks no cutoff of its stratum (row-local)."""
     verdict = F.lit(True)
     for c in cutoffs:
-        broken = (F.col(stratum) == c.stratum) & (signal(c.rule, counts) > c.cutoff)
+        mine = F.col(stratum) == c.stratum if c.besides is None else ~F.col(stratum).isin(*c.besides)
+        broken = mine & (signal(c.rule, counts) > c.cutoff)
         verdict = verdict & ~F.coalesce(broken, F.lit(False))
     return verdict
 
