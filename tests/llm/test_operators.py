@@ -235,14 +235,19 @@ def test_cutoffs_keep_the_risk(spark):
     truth = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(8000)] + [(None, 1), (5, None), (3, 1)], "doc_id long, quality int")
     counted = quality.document_counts(df)
     found = {c.rule: c for c in quality.certified_cutoffs(counted, truth)}
-    assert all(c.upper_bound <= 0.02 / len(quality.RULES) for c in found.values())
+    assert found and all(c.upper_bound <= 0.02 and c.besides is None for c in found.values())
     out = quality.quality_verdicts(df, truth).join(truth.dropna().distinct(), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     share = {r["quality"]: r["kept"] for r in out}
     assert share[1] >= 0.98 and share[0] < 0.7
     assert quality.certified_cutoffs(counted, truth.where("doc_id < 300")) == []
     assert quality.certified_cutoffs(counted.limit(0), truth) == []
-    with pytest.raises(ValueError):
-        quality.certified_cutoffs(counted.withColumn("stratum", F.col("doc_id").cast("string")), truth, max_strata=3)
+    # With a stratum per document, all but the two first ones are a pool, certified as a whole.
+    many = counted.withColumn("stratum", F.col("doc_id").cast("string"))
+    pool = quality.certified_cutoffs(many, truth, max_strata=3)
+    assert pool and {c.stratum for c in pool} == {quality.POOL} and all(len(c.besides) == 2 and c.upper_bound <= 0.02 for c in pool)
+    kept = many.join(truth.dropna().distinct(), "doc_id").groupBy("quality").agg(F.avg(quality.passes(pool, "counts", "stratum").cast("int")).alias("kept"))
+    share = {r["quality"]: r["kept"] for r in kept.collect()}
+    assert share[1] >= 0.98 and share[0] < 0.7
 
 
 @pytest.mark.parametrize("which", ["edge", "docs"])
