@@ -96,7 +96,79 @@ WITH pieces AS (
 SELECT * FROM ranked WHERE rank <= 2000
 """
 
+# Words of a text; base counts and the base rule. A cutoff needs enough good labels in both halves of a
+# stratum; a stratum with fewer than twice that number certifies nothing, so its documents pass if the base rule
+# does. Where there are more, the verdict depends on the halves, which SQL cannot cut alike: NULL.
+OP5_QUALITY_RULES = r"""
+WITH texts AS (
+  SELECT doc_id, COALESCE(lang, '∅') AS stratum, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), rows AS (SELECT ROW_NUMBER() OVER () AS rid, * FROM texts),
+windows AS (
+  SELECT rid, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT rid, w, UNNEST(range(1, len(w) - 1)) AS i FROM rows) x
+), twice AS (SELECT rid, g FROM windows GROUP BY rid, g HAVING COUNT(*) > 1),
+repeated AS (
+  SELECT rid, COUNT(DISTINCT i + k) AS n FROM windows SEMI JOIN twice USING (rid, g), (SELECT UNNEST([0, 1, 2]) AS k) o GROUP BY rid
+), lines AS (
+  SELECT rid, line, COUNT(*) AS n FROM (SELECT rid, UNNEST(string_split(text, chr(10))) AS line FROM rows) x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid, line
+), dup AS (SELECT rid, CAST(SUM(n - 1) AS BIGINT) AS n FROM lines GROUP BY rid),
+counts AS (
+  SELECT r.rid, r.doc_id, r.stratum, CAST(len(r.w) AS BIGINT) AS n_words, CAST(length(array_to_string(r.w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(r.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, COALESCE(d.n, 0) AS n_dup_lines, COALESCE(p.n, 0) AS n_repeat_words
+  FROM rows r LEFT JOIN dup d USING (rid) LEFT JOIN repeated p USING (rid)
+), judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+truth AS (SELECT doc_id, MAX(CAST(quality AS INTEGER)) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT j.stratum, COUNT(*) FILTER (WHERE t.good > 0) AS n_good FROM judged j JOIN truth t USING (doc_id) WHERE NOT j.base_failed GROUP BY j.stratum),
+needed AS (SELECT 2 * CEIL(LN(0.05 / GREATEST(COUNT(*), 1)) / LN(1 - 0.02)) AS n FROM held)
+SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
+  CASE WHEN j.base_failed THEN FALSE WHEN COALESCE(h.n_good, 0) < (SELECT n FROM needed) THEN TRUE END AS kept
+FROM judged j LEFT JOIN held h ON h.stratum = j.stratum
+"""
+
+# Bytes as pairs of hexadecimal digits; windows are cut from pieces of a text, so that none is sought from its start.
+OP7_SUFFIX_DEDUP = """
+WITH texts AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, base, substr(h, 2 * base + 1, 2 * (1000 + 49)) AS piece FROM (SELECT doc_id, h, UNNEST(range(0, len(h) // 2, 1000)) AS base FROM texts) x),
+windows AS (SELECT doc_id, base + k AS i, substr(piece, 2 * k + 1, 100) AS g FROM (SELECT doc_id, base, piece, UNNEST(range(0, LEAST(1000, len(piece) // 2 - 49))) AS k FROM pieces WHERE len(piece) >= 100) x),
+first AS (SELECT g, MIN(doc_id) AS doc_id FROM windows GROUP BY g HAVING MIN(doc_id) < MAX(doc_id)),
+gone AS (SELECT w.doc_id, w.i FROM windows w JOIN first f ON f.g = w.g AND f.doc_id < w.doc_id),
+marked AS (SELECT doc_id, i, CASE WHEN i <= LAG(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM gone),
+numbered AS (SELECT doc_id, i, SUM(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, MIN(i) AS a, MAX(i) + 50 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, COALESCE(LAG(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+cut AS (
+  SELECT t.doc_id, SUM(g.b - g.a) AS n_removed, COUNT(*) AS n_spans, MAX(g.b) AS last,
+    STRING_AGG(substr(t.h, 2 * g.before + 1, 2 * (g.a - g.before)), '' ORDER BY g.a) AS kept
+  FROM gaps g JOIN texts t USING (doc_id) GROUP BY t.doc_id
+)
+SELECT t.doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(c.n_removed, 0) AS BIGINT) AS n_removed, COALESCE(c.n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN c.doc_id IS NULL THEN t.h ELSE c.kept || substr(t.h, 2 * c.last + 1) END)) AS kept_sha256
+FROM texts t LEFT JOIN cut c ON c.doc_id = t.doc_id
+"""
+
+OP8_MINHASH_DEDUP = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, g FROM (SELECT doc_id, UNNEST(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM words) x
+), sizes AS (SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM shared JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y WHERE 100 * c >= 80 * (sx.n + sy.n - c)
+), steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS seen FROM documents
+  UNION
+  SELECT r.doc_id, s.y FROM reach r JOIN steps s ON s.x = r.seen
+), least AS (SELECT doc_id, MIN(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, COALESCE(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least l ON l.doc_id = d.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": OP5_QUALITY_RULES,
+    "op7_suffix_dedup": OP7_SUFFIX_DEDUP,
+    "op8_minhash_dedup": OP8_MINHASH_DEDUP,
     "op12_merkle_manifest": OP12_MERKLE_MANIFEST,
     "op13_phrase_collocations": OP13_PHRASE_COLLOCATIONS,
 }
