@@ -48,7 +48,8 @@ def test_licenses_of_tags_blocks_and_whole_files(spark):
         (1, "a/x.py", "# SPDX-License-Identifier: MIT\nimport os", "MIT"),
         (2, "b/x.c", "/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"),
         (3, "c/x.c", "// SPDX-License-Identifier: (ISC OR GPL-2.0-only WITH Classpath-exception-2.0)", "GPL-2.0"),
-        (4, "d/x.c", "// SPDX-License-Identifier: BSD-2-Clause", None),
+        (4, "d/x.c", "// SPDX-License-Identifier: Zlib", None),  # no template has it
+        (10, "j/x.c", "// SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
         (5, "e/COPYING", gpl.format("Version 3, 29 June 2007"), "GPL-3.0"),
         (6, "f/COPYING", gpl.format("Version 2, June 1991"), "GPL-2.0"),
         (7, "g/x.c", "#\n# Licensed under the Apache\n# License, Version\n# 2.0.\n#\n\ncode", "Apache-2.0"),
