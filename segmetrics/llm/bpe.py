@@ -12,8 +12,10 @@ Normalization and word cutting are the vocabulary's own rules (its
 ``normalizer`` and ``pre_tokenizer`` sections); merges and decoding are done
 here. Texts are cut at ASCII spaces first. No rule of the supported files
 looks across a space, so every distinct chunk is encoded once per worker and
-then looked up; the table of chunks is cleared when it reaches
-``CACHE_CHUNKS`` entries, which changes the cost only.
+then looked up. The tables hold ids only (decoded texts are joined from the
+tokens, a block of texts at a time) and no chunk or word over ``KEEP_BYTES``, and are
+cleared when they pass ``CACHE_BYTES``, which changes the cost only: a worker
+is kept for later tasks of any kind, and its tables with it.
 
 Defined results: a null text encodes as an empty text (no ids, empty decoded
 text); repeated rows are encoded one by one; whole texts are read. Row-local: no
@@ -30,11 +32,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_CHUNKS = 400_000
+CACHE_BYTES = 64 << 20
+KEEP_BYTES = 64
+ENTRY_BYTES = 150  # of a table's entry besides its key and ids
+BLOCK_TEXTS, BLOCK_CHARS = 256, 2_000_000
 NO_PAIR = (1 << 62) - 1
 
 
@@ -99,6 +105,13 @@ def merge_symbols(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]])
     return [x for x in ids if x >= 0]
 
 
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    """Packed ids of texts as an array of lists."""
+    ends = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in packed], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 class Vocabulary:
     """A BPE vocabulary file with word ends (``end_of_word_suffix``)."""
 
@@ -119,7 +132,9 @@ class Vocabulary:
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens: dict[int, str] = {i: t for t, i in self.ids.items()} | {i: t for t, i in added.items()}
         self.added = added
-        lib = Tokenizer.from_file(path)  # its text rules only; merges are done here
+        self.texts = pa.array([self.tokens.get(i, "") for i in range(max(self.tokens, default=0) + 1)], pa.large_string())
+        # The library's text rules only; merges are done here.
+        lib = Tokenizer.from_str(json.dumps({**spec, "added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self._normal, self._words = lib.normalizer, lib.pre_tokenizer
         # Byte b is written as one character in these files: itself where it is
         # printable, else the next free one from U+0100 on.
@@ -139,8 +154,9 @@ class Vocabulary:
         self._simple = re.compile(r"[!-;=-~\u00a1-\u00ff]+").fullmatch
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._simple_words = regex.compile(split).findall
-        self._words_seen: dict[bytes, tuple[bytes, str]] = {}
-        self._seen: dict[bytes, tuple[bytes, str]] = {}
+        self._words_seen: dict[bytes, bytes] = {}
+        self._seen: dict[bytes, bytes] = {}
+        self._held = 0  # about the bytes of both tables
 
     def _cut(self, chunk: str) -> list[bytes | int]:
         """A chunk's words as bytes, and the ids of the added tokens between them."""
@@ -227,46 +243,67 @@ class Vocabulary:
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Encode chunks that are not in the table; each distinct word of them once."""
-        if len(self._seen) + len(chunks) > CACHE_CHUNKS:
-            self._seen.clear()
-            self._words_seen.clear()
         cut = [self._cut(c.decode("utf-8", "surrogatepass")) for c in chunks]
         known = self._words_seen
         new = list({w for words in cut for w in words if type(w) is bytes and w not in known})
         for word, ids in zip(new, self.merge_words(new)):
-            known[word] = (ids.tobytes(), self.decode(ids.tolist()))
+            known[word] = ids.tobytes()
         for chunk, words in zip(chunks, cut):
-            if len(words) == 1 and type(words[0]) is bytes:
-                self._seen[chunk] = known[words[0]]
-            else:
-                got = [known[w] if type(w) is bytes else (array("i", [w]).tobytes(), self.tokens[w]) for w in words]
-                self._seen[chunk] = (b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]]))
-
-    def pieces(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """(ids as 32-bit integers, decoded text) of each whole text."""
+            got = [known[w] if type(w) is bytes else array("i", [w]).tobytes() for w in words]
+            self._seen[chunk] = got[0] if len(got) == 1 else b"".join(got)
+        self._held += sum([ENTRY_BYTES + len(c) + len(self._seen[c]) for c in chunks]) + sum([ENTRY_BYTES + len(w) + len(known[w]) for w in new])
+        self._forget(known, new)
+
+    def _forget(self, table: dict[bytes, bytes], keys: list[bytes]) -> None:
+        """Take long keys out of a table: they seldom come again, and each may be a whole text."""
+        for key in keys:
+            if len(key) > KEEP_BYTES:
+                self._held -= ENTRY_BYTES + len(key) + len(table.pop(key))
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids (as 32-bit integers) of each whole text."""
         was = gc.isenabled()
         gc.disable()  # the tables hold no cycles, and scanning them costs a third of the time
         try:
-            return self._pieces(texts)
+            out: list[bytes] = []
+            at = 0
+            while at < len(texts):
+                end, chars = at, 0
+                while end < len(texts) and end - at < BLOCK_TEXTS and (end == at or chars + len(texts[end] or "") <= BLOCK_CHARS):
+                    chars += len(texts[end] or "")
+                    end += 1
+                out += self._packed(texts[at:end])
+                at = end
+            return out
         finally:
             if was:
                 gc.enable()
 
-    def _pieces(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        out, seen = [], self._seen
-        for at in range(0, len(texts), 256):
-            cut = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts[at : at + 256]]
-            if new := list({c for chunks in cut for c in chunks if c not in seen}):
-                if len(seen) + len(new) > CACHE_CHUNKS:
-                    new = list({c for chunks in cut for c in chunks})
-                self._learn(new)
-            for chunks in cut:
-                got = [seen[c] for c in chunks]
-                out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])))
+    def _packed(self, texts: list[str | None]) -> list[bytes]:
+        seen = self._seen
+        cut = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        if self._held > CACHE_BYTES:
+            seen.clear()
+            self._words_seen.clear()
+            self._held = 0
+        if new := list({c for chunks in cut for c in chunks if c not in seen}):
+            self._learn(new)
+        out = [b"".join([seen[c] for c in chunks]) for chunks in cut]
+        self._forget(seen, new)
         return out
 
+    def joined(self, packed: list[bytes]) -> pa.Array:
+        """The decoded text (as ``decode`` gives it) of each text's ids."""
+        lists = id_lists(packed)
+        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.texts.take(lists.values)), pa.scalar(" ", pa.large_string()))
+
+    def pieces(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """(ids as 32-bit integers, decoded text) of each whole text."""
+        packed = self.packed(texts)
+        return list(zip(packed, self.joined(packed).to_pylist()))
+
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.pieces([text])[0][0], np.int32).tolist()
+        return np.frombuffer(self.packed([text])[0], np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces, as files without a decoder section say; unknown ids are skipped."""
@@ -285,15 +322,11 @@ def encoded(text: str | Column, path: str) -> Column:
     def encode(texts: pa.Array) -> pa.Array:
         vocab = vocabulary(path)
         ids, decoded = [], []
-        for at in range(0, len(texts), 256):  # few texts as Python objects at a time
-            for packed, text in vocab.pieces(texts.slice(at, 256).to_pylist()):
-                ids.append(packed)
-                decoded.append(text)
-        ends = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
-        flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
+        for at in range(0, len(texts), BLOCK_TEXTS):  # few texts as Python objects at a time
+            some = vocab.packed(texts.slice(at, BLOCK_TEXTS).to_pylist())
+            ids += some
+            decoded.append(vocab.joined(some).cast(pa.string()))
+        return pa.StructArray.from_arrays([id_lists(ids), pa.concat_arrays(decoded) if decoded else pa.array([], pa.string())], ["ids", "decoded"])
 
     return encode(F.col(text) if isinstance(text, str) else text)
 

@@ -342,9 +342,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged.
 
     The counts are computed again beside the text instead of joining the
-    verdicts back, so that no text is shuffled.
+    verdicts back, so that no text is shuffled. Those for the cutoffs are
+    stored: a plan that filters and returns them runs the Python function
+    twice in a task, each time in a worker of its own.
     """
-    cutoffs = certified_cutoffs(document_counts(docs), labels, **limits)
+    counted = materialize(document_counts(docs), "quality-counts")
+    cutoffs = certified_cutoffs(counted, labels, **limits)
     counts, stratum = fresh(docs, "counts"), fresh(docs, "stratum")
     rows = docs.withColumn(stratum, stratum_of("lang")).withColumn(counts, counts_of("text"))
     return rows.where(~base_failed(counts) & passes(cutoffs, counts, stratum)).select(*[F.col(f"`{c}`") for c in docs.columns])
