@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from segmetrics.llm import suffixes
 from segmetrics.llm.suffixes import GRAM, LENGTH
@@ -82,3 +83,39 @@ def test_joined_texts_have_the_minimizers_of_each():
         assert hashes[text == i].tolist() == alone[2].tolist()
         every = suffixes.gram_hashes(t, GRAM) >> np.uint64(16)
         assert set(alone[1].tolist()) == {p + int(every[p : p + SIDE + 1].argmin()) for p in range(max(0, len(t) - LENGTH + 1))} or len(t) < LENGTH
+
+
+def pieces_of(batches: int, docs: int) -> pa.Table:
+    r = random.Random(batches)
+    rows = [(b, b * docs + d, bytes(r.choices(b"abcdefgh ", k=600))) for b in range(batches) for d in range(docs)]
+    return pa.table({"batch": pa.array([x[0] for x in rows], pa.int32()), "doc": [x[1] for x in rows], "piece": pa.array([x[2] for x in rows], pa.binary())})
+
+
+def test_hashes_of_many_batches_are_packed_together():
+    ranges, pieces = 16, pieces_of(60, 5)
+    rows = pa.Table.from_batches(list(suffixes._pack_hashes(ranges)(iter(pieces.to_batches(max_chunksize=25)))))
+    assert rows.num_rows == ranges  # one row for each batch and range before
+    found = [len(x) // 4 for x in rows["prints"].to_pylist()]
+    assert max(found) < 2 * min(found)  # minimizers are low hashes: the first range had most
+
+
+def test_batches_get_back_all_that_they_share():
+    pieces = pieces_of(12, 3).to_pydict()
+    shared = b"one passage that stands in several of these batches, and is long enough"
+    holders = [0, 7, 13, 35]
+    for i in holders:
+        pieces["piece"][i] = pieces["piece"][i][:100] + shared + pieces["piece"][i][100:]
+    pieces = pa.table(pieces, pa.schema([("batch", pa.int32()), ("doc", pa.int64()), ("piece", pa.binary())]))
+    pieces = pieces.append_column("print", pieces["doc"]).append_column("start", pa.array([0] * pieces.num_rows, pa.int32()))
+    for ranges in (1, 4, 1 << 17):
+        packed = pa.Table.from_batches(list(suffixes._pack_hashes(ranges)(iter(pieces.to_batches(max_chunksize=8)))))
+        back = pa.concat_tables([suffixes._shared_of_range(packed.filter(pa.compute.equal(packed["range"], i))) for i in set(packed["range"].to_pylist())])
+        for batch in range(12):
+            mine = lambda t: t.filter(pa.compute.equal(t["batch"], batch))
+            found = suffixes._segments_of_batch(mine(pieces), mine(back), ranges).to_pylist()
+            assert {x["doc"] for x in found} == {i for i in holders if i // 3 == batch}
+            for x in found:
+                whole = pieces["piece"][x["doc"]].as_py()
+                assert whole[x["begin"] : x["begin"] + len(x["bytes"])] == x["bytes"]
+                covered = range(100, 100 + len(shared) - GRAM + 1)
+                assert x["begin"] + x["mid"] in covered
